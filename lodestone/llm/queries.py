@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from .bpe import op6_bpe
+from .packing import op4_packing
 from .simhash import op1_simhash
 
 QUERIES = {
     "op1_simhash": op1_simhash,
+    "op4_packing": op4_packing,
+    "op6_bpe": op6_bpe,
 }
 
 SQL: dict[str, str] = {}
