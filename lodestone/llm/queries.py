@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 from .bpe import op6_bpe
+from .html import op7_html
 from .packing import op4_packing
 from .simhash import op1_simhash
+from .warc import op9_warc
 
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op4_packing": op4_packing,
     "op6_bpe": op6_bpe,
+    "op7_html": op7_html,
+    "op9_warc": op9_warc,
 }
 
 SQL: dict[str, str] = {}
