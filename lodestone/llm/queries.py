@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from .bpe import op6_bpe
 from .html import op7_html
+from .langid import op8_langid
 from .packing import op4_packing
 from .simhash import op1_simhash
+from .urls import OP10_SQL, op10_urls
 from .warc import op9_warc
 
 QUERIES = {
@@ -13,7 +15,9 @@ QUERIES = {
     "op4_packing": op4_packing,
     "op6_bpe": op6_bpe,
     "op7_html": op7_html,
+    "op8_langid": op8_langid,
     "op9_warc": op9_warc,
+    "op10_urls": op10_urls,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op10_urls": OP10_SQL}
