@@ -6,12 +6,14 @@ from .bpe import op6_bpe
 from .html import op7_html
 from .langid import op8_langid
 from .packing import op4_packing
+from .quality import op3_quality
 from .simhash import op1_simhash
 from .urls import OP10_SQL, op10_urls
 from .warc import op9_warc
 
 QUERIES = {
     "op1_simhash": op1_simhash,
+    "op3_quality": op3_quality,
     "op4_packing": op4_packing,
     "op6_bpe": op6_bpe,
     "op7_html": op7_html,
