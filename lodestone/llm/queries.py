@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .bpe import op6_bpe
+from .chat import OP5_SQL, op5_chat
 from .html import op7_html
 from .langid import op8_langid
 from .packing import op4_packing
@@ -15,6 +16,7 @@ QUERIES = {
     "op1_simhash": op1_simhash,
     "op3_quality": op3_quality,
     "op4_packing": op4_packing,
+    "op5_chat": op5_chat,
     "op6_bpe": op6_bpe,
     "op7_html": op7_html,
     "op8_langid": op8_langid,
@@ -22,4 +24,4 @@ QUERIES = {
     "op10_urls": op10_urls,
 }
 
-SQL: dict[str, str] = {"op10_urls": OP10_SQL}
+SQL: dict[str, str] = {"op5_chat": OP5_SQL, "op10_urls": OP10_SQL}
