@@ -6,6 +6,7 @@ from .bpe import op6_bpe
 from .chat import OP5_SQL, op5_chat
 from .html import op7_html
 from .langid import op8_langid
+from .minhash import op2_minhash
 from .packing import op4_packing
 from .quality import op3_quality
 from .simhash import op1_simhash
@@ -14,6 +15,7 @@ from .warc import op9_warc
 
 QUERIES = {
     "op1_simhash": op1_simhash,
+    "op2_minhash": op2_minhash,
     "op3_quality": op3_quality,
     "op4_packing": op4_packing,
     "op5_chat": op5_chat,
