@@ -131,16 +131,31 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     no rows. Other columns of ``docs`` are not read, so their names cannot clash. Texts are read
     once; all that follows runs on fingerprints written to the shared folder.
     """
-    marked = stored(docs.select(F.col(id_col).alias("id"), fingerprint(F.col(text_col), width, seed).alias("fp")), "simhash")
+    return grouped(stored(docs.select(F.col(id_col).alias("id"), fingerprint(F.col(text_col), width, seed).alias("fp")), "simhash"), radius)
+
+
+def grouped(marked: DataFrame, radius: int = 2) -> DataFrame:
+    """(id, fp, component) of rows (id, fp), whose table should be stored, as it is read three times."""
     fps = marked.groupBy("fp").agg(F.min("id").alias("least"))
     roots = stored(components(links(fps, radius)), "roots")
     of = fps.join(roots, fps.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     smallest = of.groupBy("root").agg(F.min("least").alias("component"))
-    # Only fingerprints with links need a second look; the rest are components of their own.
     labels = of.join(smallest, "root").select("fp", "component")
     return marked.join(labels, "fp").select("id", "fp", "component")
 
 
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, seed: int = 42, radius: int = 2) -> DataFrame:
+    """The rows of ``docs`` that have the smallest id of their group of near copies, one for each group.
+
+    Null ids come after all others; of rows with equal ids one stays, which is the first as the
+    table was written to the shared folder. Columns stay as they are.
+    """
+    full = stored(docs.withColumns({"_fp": fingerprint(F.col(text_col), width, seed), "_row": F.monotonically_increasing_id()}), "marked")
+    rank = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col("_row").alias("row"))
+    first = grouped(full.select(rank.alias("id"), F.col("_fp").alias("fp")), radius).where("id = component").select(F.col("id.row").alias("_row"))
+    return full.join(first, "_row", "left_semi").select(*docs.columns)
+
+
 def hex16(fp: Column) -> Column:
     """A fingerprint as 16 lower-case hexadecimal digits."""
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
