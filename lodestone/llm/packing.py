@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import json
 import os
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -11,34 +13,49 @@ import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .bpe import byte_chars
 from .common import stored
-from .pretoken import ChunkCache
 
 CAPACITY = 2048
 #: Pieces that one task packs, about; a task holds only its open sequences, whatever it gets.
 SHARD = 1 << 15
 
-_encoders: dict[str, ChunkCache] = {}
 
+@lru_cache(2)
+def encoder(path: str) -> Callable[[str], bytes]:
+    """This process's encoder of a ``tokenizers`` file: a text's ids as little-endian unsigned 32-bit integers.
 
-def encoder(path: str) -> ChunkCache:
-    """This process's cached encoder of a ``tokenizers`` file. Strings of special tokens are plain text."""
-    if path not in _encoders:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        tok = Tokenizer.from_file(path)
-        tok.encode_special_tokens = True
-
-        def encode(chunks: list[str]) -> list[list[int]]:
-            got = tok.encode(chunks, is_pretokenized=True, add_special_tokens=False)
-            out: list[list[int]] = [[] for _ in chunks]
-            for i, of in zip(got.ids, got.word_ids, strict=True):
-                out[of].append(i)
-            return out
-
-        _encoders[path] = ChunkCache(encode)
-    return _encoders[path]
+    Strings of special tokens are plain text. Where the file is a plain byte-level BPE whose ids
+    follow the order of its merges, so that ids are ranks, the same merges run in tiktoken, which
+    takes a quarter of the time; any other file is left to the tokenizers library.
+    """
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    with open(path, encoding="utf-8") as f:
+        ranks = ranks_of(json.load(f))
+    if ranks is not None:
+        import tiktoken
+
+        own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        return lambda text: own.encode_to_numpy(text, disallowed_special=()).astype("<u4").tobytes()
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(path)
+    tok.encode_special_tokens = True
+    return lambda text: np.array(tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+
+def ranks_of(spec: dict) -> dict[bytes, int] | None:
+    """Rank of each byte string, if the file's ids are ranks under the usual pre-token pattern; else None."""
+    model, pre = spec.get("model", {}), spec.get("pre_tokenizer") or {}
+    odd = spec.get("normalizer") or model.get("type") != "BPE" or model.get("dropout") or model.get("continuing_subword_prefix") or model.get("end_of_word_suffix") or model.get("byte_fallback") or model.get("ignore_merges")
+    if odd or pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or not pre.get("use_regex", True):
+        return None
+    byte_of = {c: b for b, c in enumerate(byte_chars())}
+    special = {x["content"] for x in spec.get("added_tokens", []) if x.get("special")}
+    ranks = {bytes(byte_of[c] for c in piece): i for piece, i in model["vocab"].items() if piece not in special}
+    merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+    plain = sorted(ranks.values()) == list(range(256 + len(merges))) and all(ranks[bytes([b])] < 256 for b in range(256))
+    return ranks if plain and all(model["vocab"][x + y] == 256 + i for i, (x, y) in enumerate(merges)) else None
 
 
 def cuts(n: int, capacity: int) -> list[tuple[int, int]]:
@@ -60,7 +77,7 @@ def token_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of = encoder(path).ids
+        ids_of = encoder(path)
         for batch in batches:
             types = [batch.schema.field(0).type, pa.int32(), pa.int64(), pa.int64(), pa.binary()]
 
