@@ -10,6 +10,7 @@ from .config import SETTINGS
 from .functions import costs, geometry, text
 from .operators import lookup, pixels, recognize, report, vocabulary
 from .operators.resolve import resolve
+from .sources import library
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -408,3 +409,71 @@ def gaussian_blur(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {A.PIXELS} SELECT image, y, x, CASE WHEN y BETWEEN 2 AND 5 AND x BETWEEN 1 AND 4 THEN v ELSE trunc(v * 0.45::DOUBLE)::INT END AS v FROM pixels")
 def dim_highlight(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pixels.dimmed(A.pixels(spark, sf_dir), F.col("y").between(2, 5) & F.col("x").between(1, 4), SETTINGS.dim)
+
+
+def photos_of(pieces: DataFrame) -> DataFrame:
+    """Pieces with made-up boxes as photos of the library."""
+    box = {c: (F.col("piece_ord") % m).cast("int") for c, m in (("x", 900), ("y", 700), ("w", 90), ("h", 80))}
+    rows = pieces.withColumns({**box, "area": (F.col("piece_ord") % 1000).cast("double"), "contour": F.array(F.array((F.col("piece_ord") % 900).cast("int"), (F.col("piece_ord") % 700).cast("int")))})
+    heads = pieces.select("photo_id").distinct().select("photo_id", F.concat(F.lit("/in/"), "photo_id").alias("image_path"), F.lit(1000).alias("width"), F.lit(800).alias("height"), F.lit("2026-01-01T00:00:00").alias("created_at"))
+    return library.nested(heads, rows)
+
+
+@query(f"WITH {A.RESOLVED} SELECT photo_id, row_number() OVER (PARTITION BY photo_id ORDER BY piece_ord) - 1 AS piece_ord, piece_id, (piece_ord % 900)::INT AS x, (piece_ord % 700)::INT AS y, (piece_ord % 90)::INT AS w, (piece_ord % 80)::INT AS h, (piece_ord % 1000)::DOUBLE AS area, code, confidence, method, angle FROM resolved")
+def json_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Photos written as JSON, read again and taken apart."""
+    again = library.from_json(library.to_json(photos_of(resolve(A.pieces(spark, sf_dir)))))
+    return library.flat(again).drop("contour", "raw_text")
+
+
+@query(f"WITH {A.RESOLVED}, new AS (SELECT photo_id, piece_ord, piece_id, code FROM pieces WHERE photo_id IN ('p1', 'p2', 'p3') AND piece_ord % 2 = 0) SELECT photo_id, piece_ord, piece_id, code FROM resolved WHERE photo_id NOT IN (SELECT photo_id FROM new) UNION ALL FROM new")
+def index_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three photos replaced by other versions."""
+    old = resolve(A.pieces(spark, sf_dir)).select("photo_id", "piece_ord", "piece_id", "code")
+    new = A.pieces(spark, sf_dir).where(F.col("photo_id").isin("p1", "p2", "p3") & (F.col("piece_ord") % 2 == 0))
+    return library.upsert(old, new)
+
+
+@query(f"WITH {A.RESOLVED} SELECT photo_id, piece_ord, code FROM resolved WHERE photo_id NOT IN ('p1', 'p2')")
+def index_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    gone = spark.range(2).select(F.concat(F.lit("p"), (F.col("id") + 1).cast("string")).alias("photo_id"))
+    return library.without(resolve(A.pieces(spark, sf_dir)).select("photo_id", "piece_ord", "code"), gone)
+
+
+@query("SELECT conv_id, turn, (k - 1)::INT AS det_ord, string_split(text, ' ')[k] AS text, ((k * 13) % 100)::DOUBLE / 100 AS score FROM (SELECT conv_id, turn, text, unnest(range(1, length(string_split(text, ' ')) + 1)) AS k FROM conversations)")
+def payload_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recognizer payloads in JSON, with a word in each find, taken apart."""
+    table = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    parts = F.split("text", " ")
+    scores = F.transform(parts, lambda _, i: ((i + 1) * 13 % 100).cast("double") / 100)
+    made = table.select("conv_id", "turn", F.to_json(F.struct(F.struct(parts.alias("rec_texts"), scores.alias("rec_scores")).alias("res"))).alias("payload"))
+    return recognize.payload(made).select("conv_id", "turn", "det_ord", "text", "score")
+
+
+def drawn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(photo_id, height, width, data): a dark photo for each 500 events, with six bright discs of sizes by event."""
+    import numpy as np
+    import pandas as pd
+
+    def run(batches):
+        y, x = np.mgrid[:240, :320]
+        for batch in batches:
+            rows = []
+            for n in batch["n"]:
+                image = np.full((240, 320, 3), 20, np.uint8)
+                for k in range(6):
+                    r = 20 + (n * 7 + k * 5) % 12
+                    image[(x - 55 - 100 * (k % 3)) ** 2 + (y - 65 - 110 * (k // 3)) ** 2 <= r * r] = (235, 233, 228)
+                rows.append((f"p{n}", 240, 320, image.tobytes()))
+            yield pd.DataFrame(rows, columns=["photo_id", "height", "width", "data"])
+
+    groups = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.floor(F.col("event_id") / 500).alias("n")).distinct()
+    return groups.mapInPandas(run, "photo_id string, height int, width int, data binary")
+
+
+@query()
+def segment_photos(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Drawn photos segmented into pieces, each with its crop's size."""
+    from .plans.index import segment
+
+    return segment(drawn(spark, sf_dir)).drop("data", "contour")
