@@ -23,17 +23,18 @@ class Recognizer(Protocol):
     def read(self, image: np.ndarray) -> list[tuple[str, float, list[list[int]] | None]]: ...
 
 
-_loaded: dict[Callable, object] = {}
+_loaded: dict[tuple[str, str], Recognizer | None] = {}
 
 
 def loaded(factory: Callable[[], Recognizer]) -> Recognizer | None:
-    """This process's recognizer, made once; a failure to make it is remembered."""
-    if factory not in _loaded:
+    """This process's recognizer, made once by a factory of that name; a failure to make it is remembered."""
+    key = (factory.__module__, factory.__qualname__)
+    if key not in _loaded:
         try:
-            _loaded[factory] = factory()
+            _loaded[key] = factory()
         except Exception:  # noqa: BLE001 a recognizer may fail in any way; its pieces stay unread
-            _loaded[factory] = None
-    return _loaded[factory]
+            _loaded[key] = None
+    return _loaded[key]
 
 
 def detect(crops: DataFrame, factory: Callable[[], Recognizer], settings: Settings = SETTINGS) -> DataFrame:
