@@ -172,6 +172,11 @@ def decide(block: Block, text: str, rules: Rules) -> bool | None:
     return None if density >= rules.stop_low or block.article else False
 
 
+def _tells(block: Block, label: bool | None) -> bool:
+    """Whether a block speaks for its neighbours: it is decided, and no furniture; lists of links in an article don't count."""
+    return label is not None and not block.furniture and (label or not block.article)
+
+
 def main_text(page: str | None, rules: Rules | None = None) -> str:
     """Main text of a page, its blocks joined by line feeds; empty where there is none.
 
@@ -190,7 +195,7 @@ def main_text(page: str | None, rules: Rules | None = None) -> str:
     seen: dict[int, bool] = {}
     for i in range(len(found) - 1, -1, -1):
         after[i] = seen.get(found[i][0].article)
-        if labels[i] is not None and not found[i][0].furniture:
+        if _tells(found[i][0], labels[i]):
             seen[found[i][0].article] = bool(labels[i])
     for i, ((block, _), label) in enumerate(zip(found, labels, strict=True)):
         if label is None:
@@ -198,7 +203,7 @@ def main_text(page: str | None, rules: Rules | None = None) -> str:
             final.append(near == {True} or block.article > 0 and near != {False} or not near and block.article > 0)
         else:
             final.append(label)
-            if not block.furniture:
+            if _tells(block, label):
                 before[block.article] = label
     inside = any(ok and b.article for (b, _), ok in zip(found, final, strict=True))
     return "\n".join(t for (b, t), ok in zip(found, final, strict=True) if ok and (b.article or not inside))
