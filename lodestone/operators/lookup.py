@@ -40,11 +40,11 @@ def misses(queries: DataFrame, pieces: DataFrame, query_col: str = "query") -> D
     """(query, code, photo_id, n, piece_ids) for queries that find nothing: where unrecognized pieces are left.
 
     ``piece_ids`` joins a photo's unrecognized pieces in order, photos without such being left
-    out. Queries without a hit meet the photos, of which there are few, one row each.
+    out. Each query without a hit meets each photo, as the answer asks; the rows met are photos, not pieces.
     """
     asked = queries.select(F.col(query_col).alias("query"), normalize(F.col(query_col)).alias("code"))
     lost = asked.join(recognized(pieces).select("code").distinct(), "code", "left_anti")
-    return lost.join(F.broadcast(left_over(pieces)), how="cross").select("query", "code", "photo_id", "n", "piece_ids")
+    return lost.join(left_over(pieces), how="cross").select("query", "code", "photo_id", "n", "piece_ids")
 
 
 def left_over(pieces: DataFrame) -> DataFrame:
