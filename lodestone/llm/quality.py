@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import SPACES, let, stored, words
+from .common import SPACES, free, let, stored, words
 
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 50
@@ -207,10 +207,18 @@ def judge(measured: DataFrame, lang_col: str = "lang", source_col: str = "source
     rows = measured.where(~q["base_failed"]).select(_key(lang_col, source_col).alias("key"), *[v.alias(f"x{i}") for i, v in enumerate(x)]).join(hint(table), "key").select("grp", *[f"x{i}" for i in range(P)])
     models = fit(rows, n)
     by_key = table.join(models, "grp").drop("grp")
-    packed = stored(by_key.select(F.col("key").alias("_k"), F.struct(*[c for c in by_key.columns if c != "key"]).alias("_g")), "models")
-    joined = measured.withColumn("_k", _key(lang_col, source_col)).join(hint(packed), "_k", "left")
-    ok = ~q["base_failed"] & F.coalesce(_distance(x, F.col("_g")) <= chi2_quantile(1 - tail, P), F.lit(True))
-    return joined.withColumn(to, ok).drop("_k", "_g")
+    k, g = free(measured, "_k"), free(measured, "_g")
+    packed = stored(by_key.select(F.col("key").alias(k), F.struct(*[c for c in by_key.columns if c != "key"]).alias(g)), "models")
+    joined = measured.withColumn(k, _key(lang_col, source_col)).join(hint(packed), k, "left")
+    ok = ~q["base_failed"] & F.coalesce(_distance(x, F.col(g)) <= chi2_quantile(1 - tail, P), F.lit(True))
+    return joined.withColumn(to, ok).drop(k, g)
+
+
+def keep_good(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
+    """The rows of ``docs`` that measure() and judge() keep, with the columns of ``docs``; their statistics are stored with them."""
+    q, kept = free(docs, "_quality"), free(docs, "_kept")
+    measured = stored(measure(docs, text_col, q), "measured")
+    return judge(measured, lang_col, source_col, q, kept).where(F.col(kept)).select(*docs.columns)
 
 
 def op3_quality(spark, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import free, stored
 from .graph import components
 
 BITS = 64
@@ -150,10 +150,11 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Null ids come after all others; of rows with equal ids one stays, which is the first as the
     table was written to the shared folder. Columns stay as they are.
     """
-    full = stored(docs.withColumns({"_fp": fingerprint(F.col(text_col), width, seed), "_row": F.monotonically_increasing_id()}), "marked")
-    rank = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col("_row").alias("row"))
-    first = grouped(full.select(rank.alias("id"), F.col("_fp").alias("fp")), radius).where("id = component").select(F.col("id.row").alias("_row"))
-    return full.join(first, "_row", "left_semi").select(*docs.columns)
+    fp, row = free(docs, "_fp"), free(docs, "_row")
+    full = stored(docs.withColumns({fp: fingerprint(F.col(text_col), width, seed), row: F.monotonically_increasing_id()}), "marked")
+    rank = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col(row).alias("row"))
+    first = grouped(full.select(rank.alias("id"), F.col(fp).alias("fp")), radius).where("id = component").select(F.col("id.row").alias(row))
+    return full.join(first, row, "left_semi").select(*docs.columns)
 
 
 def hex16(fp: Column) -> Column:

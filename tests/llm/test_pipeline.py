@@ -38,6 +38,17 @@ def test_what_each_stage_drops(spark):
     assert {r["doc_id"] for r in C.near_copies(spark, good, DATA).collect()} == {0, 1, 2, 3}
 
 
+def test_clashing_names_stay(spark):
+    text = " ".join(f"word{i}" for i in range(80))
+    docs = spark.createDataFrame([(1, text, "en", "s", 0, "a", "b", "c"), (1, text, "en", "s", 0, "a", "b", "c"), (2, text + " more", "en", "s", 0, None, None, None)], KIND + ", _told string, _quality string, _fp string")
+    docs = docs.withColumns({"_row": docs.doc_id, "_kept": docs.doc_id, "_k": docs.doc_id, "_g": docs.doc_id, "fp": docs.doc_id})
+    for _, stage in C.STAGES[:-1]:
+        after = stage(spark, docs, DATA)
+        assert after.columns == docs.columns and after.exceptAll(docs).count() == 0
+        docs = after
+    assert docs.count() in (1, 2) and docs.where("doc_id = 1").count() == 1
+
+
 def test_empty_tables(spark):
     docs = spark.createDataFrame([], KIND)
     for _, stage in C.STAGES:
