@@ -34,10 +34,25 @@ def prefix_of(number: Column, settings: Settings = SETTINGS) -> Column:
     return out
 
 
+def number_pattern(low: int, high: int) -> str:
+    """A regular expression of the whole numbers from low (1 or more) to high, in blocks of equal leading digits."""
+    blocks = []
+    while low <= high:
+        k = 0
+        while low % 10 ** (k + 1) == 0 and low + 10 ** (k + 1) - 1 <= high:
+            k += 1
+        blocks.append(f"{low // 10**k}" + "[0-9]" * k)
+        low += 10**k
+    return "|".join(blocks)
+
+
 def is_valid(code: Column, settings: Settings = SETTINGS) -> Column:
-    """Whether a text is a code of the vocabulary; false for null. Only ASCII digits count as digits."""
-    number = F.regexp_extract(code, r"^[A-Z]-([1-9][0-9]{0,3})$", 1)
-    return F.coalesce((number != "") & (prefix_of(F.nullif(number, F.lit("")).cast("int"), settings) == F.substring(code, 1, 1)), F.lit(False))
+    """Whether a text is a code of the vocabulary; false for null. Only ASCII digits count as digits.
+
+    One regular expression, so that long expressions for the text are computed once.
+    """
+    ranges = "|".join(f"{p}-(?:{number_pattern(lo, hi)})" for p, lo, hi in settings.ranges)
+    return F.coalesce(code.rlike(rf"\A(?:{ranges})\z"), F.lit(False))
 
 
 class Matcher:
@@ -110,7 +125,9 @@ def snap_distinct(texts: DataFrame, text_col: str = "text", cap: int | None = No
             got = [own.snap(t, limit) for t in values]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([c for c, _ in got], pa.string()), pa.array([d for _, d in got], pa.int64())], ["text", "code", "cost"])
 
-    return exact.unionByName(found.where(~valid).mapInArrow(run, "text string, code string, cost long"))
+    # Few bytes but much work for each: dealt over all cores, which adaptive merging of small partitions would undo.
+    odd = found.where(~valid).repartition(max(texts.sparkSession.sparkContext.defaultParallelism, int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    return exact.unionByName(odd.mapInArrow(run, "text string, code string, cost long"))
 
 
 def snap(rows: DataFrame, raw_col: str, cap: int | None = None, settings: Settings = SETTINGS) -> DataFrame:
