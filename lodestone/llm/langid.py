@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 UNKNOWN = "und"
 #: Stands before every text, so that its first bytes have contexts too.
 START = b"\n"
-#: Bytes scored at once.
-CHUNK = 1 << 22
+#: Bytes scored at once, and texts held as bytes at once.
+CHUNK = 1 << 19
+SLICE = 256
 LETTER = re.compile(r"[A-Za-z]")
 
 
@@ -42,7 +43,7 @@ class Model:
         return isinstance(other, Model) and (self.languages, self.order, self.alphabet) == (other.languages, other.order, other.alphabet) and all(np.array_equal(x, y) for a, b in zip(self.counts, other.counts, strict=True) for p, q in zip(a, b, strict=True) for x, y in zip(p, q, strict=True))
 
 
-def train(texts: dict[str, list[str]], order: int = 3, table_mb: int = 96) -> Model:
+def train(texts: dict[str, list[str]], order: int = 3, table_mb: int = 64) -> Model:
     """Count contexts of up to ``order`` bytes in the texts of each language."""
     data = {k: [START * order + t.encode("utf-8", "surrogatepass") for t in v] for k, v in sorted(texts.items())}
     alphabet = bytes(sorted(set().union(START, *(set(t) for v in data.values() for t in v))))
@@ -176,12 +177,12 @@ def predict(text: Column, model: Model) -> Column:
         for texts in batches:
             lang, score = np.full(len(texts), UNKNOWN, object), np.zeros(len(texts))
             told = [i for i, t in enumerate(texts) if t is not None and own is not None and has_letter(t)]
-            if told:
-                values = texts.tolist()
-                bits = own.lengths([values[i].encode("utf-8", "surrogatepass") for i in told])
-                best = bits.argmin(1)
-                lang[told] = np.array(model.languages, object)[best]
-                score[told] = 1 / np.exp2(np.maximum(bits.min(1, keepdims=True) - bits, -1000)).sum(1)
+            values = texts.tolist()
+            for lo in range(0, len(told), SLICE):
+                some = told[lo : lo + SLICE]
+                bits = own.lengths([values[i].encode("utf-8", "surrogatepass") for i in some])
+                lang[some] = np.array(model.languages, object)[bits.argmin(1)]
+                score[some] = 1 / np.exp2(np.maximum(bits.min(1, keepdims=True) - bits, -1000)).sum(1)
             yield pd.DataFrame({"lang": lang, "score": score})
 
     return of(text)
