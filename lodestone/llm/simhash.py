@@ -101,7 +101,7 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def links(fingerprints: DataFrame, radius: int = 2) -> DataFrame:
+def links(fingerprints: DataFrame, radius: int = 2, family: str | None = None, name: str = "fp") -> DataFrame:
     """(a, b) edges that connect the distinct fingerprints ``fp`` as all pairs within ``radius`` do.
 
     ``radius`` is 1 or 2. Fingerprints are dealt to a table for each covering mask by their kept
@@ -109,18 +109,20 @@ def links(fingerprints: DataFrame, radius: int = 2) -> DataFrame:
     turning at most one of the bits which the mask drops: two that differ in one or two bits
     share such a point, and all who share one differ in two at most. A point has at most
     ``BITS`` + 1 neighbours, so that its set is bounded, no pairs are made and no bucket is cut.
+    With a column ``family``, fingerprints are linked within each family alone. Edges join the
+    values of column ``name``, of which each fingerprint of a family must have one.
     """
     if radius not in (1, 2):
         raise ValueError("radius must be 1 or 2")
     masks = covering_masks(radius)
-    fps = fingerprints.select("fp").distinct()
-    tables = fps.select("fp", F.explode(F.array(*[F.struct(F.lit(v).alias("v"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for v, m in enumerate(masks)])).alias("t")).select("fp", "t.*")
-    shared = tables.groupBy("v", "key").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("lo <> hi").select("v", "key")
-    met = tables.join(shared, ["v", "key"]).select("fp", "v")
+    fps = fingerprints.select((F.col(family) if family else F.lit(0)).alias("k"), "fp", F.col(name).alias("name")).distinct()
+    tables = fps.select("k", "fp", "name", F.explode(F.array(*[F.struct(F.lit(v).alias("v"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for v, m in enumerate(masks)])).alias("t")).select("k", "fp", "name", "t.*")
+    shared = tables.groupBy("k", "v", "key").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("lo <> hi").select("k", "v", "key")
+    met = tables.join(shared, ["k", "v", "key"]).select("k", "fp", "name", "v")
     turned = F.array(*[F.array(F.lit(0), *[F.lit(_signed(1 << i)) for i in range(BITS) if not m >> i & 1]) for m in masks])
-    points = met.select("fp", F.explode(turned[F.col("v")]).alias("turn")).select("fp", F.col("fp").bitwiseXOR(F.col("turn")).alias("point"))
-    stars = points.groupBy("point").agg(F.collect_set("fp").alias("near")).where(F.size("near") > 1)
-    return stars.select(F.array_min("near").alias("b"), F.explode("near").alias("a")).where("a <> b").select("a", "b").distinct()
+    points = met.select("k", "fp", "name", F.explode(turned[F.col("v")]).alias("turn")).select("k", "fp", "name", F.col("fp").bitwiseXOR(F.col("turn")).alias("point"))
+    stars = points.groupBy("k", "point").agg(F.collect_set(F.struct("fp", "name")).alias("near")).where(F.size("near") > 1)
+    return stars.select(F.array_min("near")["name"].alias("b"), F.explode("near.name").alias("a")).where("a <> b").select("a", "b").distinct()
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, seed: int = 42, radius: int = 2) -> DataFrame:
@@ -144,16 +146,95 @@ def grouped(marked: DataFrame, radius: int = 2) -> DataFrame:
     return marked.join(labels, "fp").select("id", "fp", "component")
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, seed: int = 42, radius: int = 2) -> DataFrame:
+#: Fingerprints of one text that similar texts are looked for under.
+FAMILIES = 12
+
+
+def word_families(texts: Iterator[str | None], families: int, seed: int) -> np.ndarray:
+    """(texts, families): SimHashes of each text's set of words, under as many mixings of the words' hashes."""
+    out: list[np.ndarray] = []
+    held: list[np.ndarray] = []
+    load = 0
+
+    def flush() -> None:
+        sizes = np.array([len(x) for x in held], np.int64)
+        done = np.zeros((len(held), families), np.uint64)
+        if sizes.any():
+            whole = np.concatenate(held)
+            for k in range(families):
+                done[sizes > 0, k] = majority(_mixed(whole, k), sizes[sizes > 0])
+        out.append(done)
+        held.clear()
+
+    for text in texts:
+        words = {*(text or "").encode("utf-8", "surrogatepass").lower().split()}
+        held.append(np.fromiter(map(xxhash.xxh64_intdigest, words, repeat(seed)), np.uint64, len(words)))
+        load += len(words)
+        if load >= CHUNK:
+            flush()
+            load = 0
+    flush()
+    return np.concatenate(out)
+
+
+def _mixed(h: np.ndarray, k: int) -> np.ndarray:
+    """Other hashes from given ones: a 64-bit finaliser after an offset for each k."""
+    x = h + np.uint64(0x9E3779B97F4A7C15 * (k + 1) & (1 << 64) - 1)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def similar(texts: DataFrame, width: int = 5, likeness: float = 0.8, families: int = FAMILIES, radius: int = 2, seed: int = 42) -> DataFrame:
+    """(node, root) of a table (row, node, fps, text) whose nodes name its texts: groups of texts of ``likeness`` or more.
+
+    ``fps`` are the word_families() of the text. In each family, texts of one fingerprint are
+    candidates with one of them, and these ones of fingerprints within ``radius`` bits with
+    each other, as links() finds them. Each candidate pair is then held against the Jaccard
+    likeness of its sets of ``width``-word shingles, and only pairs that reach it are linked; two
+    texts without words are alike. The table is read several times and should be stored.
+    """
+
+    @F.pandas_udf("array<long>")
+    def shingles(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for some in batches:
+            yield pd.Series([np.unique(shingle_hashes(t or "", width, seed)).astype(np.int64) for t in some])
+
+    nodes = stored(texts.groupBy("node").agg(F.min("row").alias("row"), F.first("fps").alias("fps")), "nodes")
+    each = nodes.select("node", F.posexplode("fps").alias("k", "fp"))
+    # Another text is the first in each family, so that one which is like none of the others parts them in few.
+    firsts = each.groupBy("k", "fp").agg(F.min_by("node", F.xxhash64("node", "k")).alias("node"))
+    within = each.join(firsts.withColumnRenamed("node", "b"), ["k", "fp"]).select(F.col("node").alias("a"), "b").where("a <> b")
+    tried = stored(within.unionByName(links(firsts, radius, "k", "node")).distinct(), "tried")
+    ends = tried.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes, "node").select("node", "row")
+    sets = stored(texts.join(ends.select("row"), "row", "left_semi").select("node", shingles(F.col("text")).alias("s")), "sets")
+    one = tried.join(sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a")
+    two = one.join(sets.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
+    common = F.size(F.array_intersect("sa", "sb"))
+    alike = common >= likeness * (F.size("sa") + F.size("sb") - common)
+    return stored(components(two.where(alike).select("a", "b")), "roots")
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, likeness: float = 0.8, families: int = FAMILIES, seed: int = 42) -> DataFrame:
     """The rows of ``docs`` that have the smallest id of their group of near copies, one for each group.
 
+    Groups are those of similar(); equal texts, and null and empty ones, are always of one group.
     Null ids come after all others; of rows with equal ids one stays, which is the first as the
     table was written to the shared folder. Columns stay as they are.
     """
-    fp, row = free(docs, "_fp"), free(docs, "_row")
-    full = stored(docs.withColumns({fp: fingerprint(F.col(text_col), width, seed), row: F.monotonically_increasing_id()}), "marked")
+
+    @F.pandas_udf("array<long>")
+    def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series(list(word_families(iter(texts), families, seed).astype(np.int64)))
+
+    fps, row = free(docs, "_fps"), free(docs, "_row")
+    full = stored(docs.withColumns({fps: of(F.col(text_col)), row: F.monotonically_increasing_id()}), "marked")
+    node = F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))
+    roots = similar(full.select(F.col(row).alias("row"), node.alias("node"), F.col(fps).alias("fps"), F.col(text_col).alias("text")), width, likeness, families, seed=seed)
     rank = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col(row).alias("row"))
-    first = grouped(full.select(rank.alias("id"), F.col(fp).alias("fp")), radius).where("id = component").select(F.col("id.row").alias(row))
+    least = full.select(node.alias("node"), rank.alias("rank")).groupBy("node").agg(F.min("rank").alias("rank"))
+    first = least.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("rank").alias("rank")).select(F.col("rank.row").alias(row))
     return full.join(first, row, "left_semi").select(*docs.columns)
 
 
