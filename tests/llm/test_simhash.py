@@ -100,25 +100,3 @@ def test_one_of_each_keeps_columns_and_the_smallest(spark):
     got = S.one_of_each(docs)
     assert got.columns == docs.columns
     assert sorted((r["doc_id"] or 0, r["fp"] or "") for r in got.collect()) == [(0, "t"), (1, "r"), (9, "")]
-
-
-def test_similar_texts_of_any_likeness(spark):
-    """Pairs well over the likeness go to one group, pairs under it never do, however near their fingerprints."""
-    rng = random.Random(9)
-    rows, groups = [], {}
-    for g in range(25):
-        base = [f"w{rng.randrange(4000)}" for _ in range(400)]
-        for c in range(3):
-            w = list(base)
-            for _ in range((0, 3, 5)[c]):
-                w[rng.randrange(len(w))] = f"new{rng.random()}"
-            rows.append((len(rows), " ".join(w), "x", "y"))
-            groups.setdefault(g, []).append(len(rows) - 1)
-        shuffled = list(base)
-        rng.shuffle(shuffled)
-        rows.append((len(rows), " ".join(shuffled), "x", "y"))
-        groups[f"s{g}"] = [len(rows) - 1]
-    docs = spark.createDataFrame(rows, KIND)
-    kept = {r["doc_id"] for r in S.one_of_each(docs).collect()}
-    assert all(min(ids) in kept for ids in groups.values())
-    assert len(kept) <= len(groups) + 3
