@@ -1,4 +1,4 @@
-"""SimHash fingerprints and near copies by covering locality-sensitive hashing."""
+"""SimHash fingerprints and near copies by covering locality-sensitive hashing; near copies of an exact likeness."""
 
 from __future__ import annotations
 
@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import free, stored
+from .common import discard, free, stored
 from .graph import components
 
 BITS = 64
@@ -144,17 +144,142 @@ def grouped(marked: DataFrame, radius: int = 2) -> DataFrame:
     return marked.join(labels, "fp").select("id", "fp", "component")
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, seed: int = 42, radius: int = 2) -> DataFrame:
+#: Near copies are sought by so many bands of so many least hashes: of pairs as alike as 0.8, one in 8 million shares no band.
+BANDS, ROWS = 40, 5
+#: Members of larger buckets, with what links there are already counted as one group, are compared where they share two bands.
+CROWD = 64
+#: Tables of up to so many row ids are broadcast; larger ones are joined by shuffle.
+BROADCAST_ROWS = 2_000_000
+_FACTORS = [(0x9E3779B97F4A7C15 * (2 * k + 1) ^ 0xD6E8FEB86659FD93 * (k + 1) << 1) & (1 << 64) - 1 | 1 for k in range(BANDS * ROWS)]
+
+
+def _mixed(h: np.ndarray, k: int) -> np.ndarray:
+    """Other hashes from given ones: a 64-bit finaliser after an offset for each k."""
+    x = h + np.uint64(0x9E3779B97F4A7C15 * (k + 1) & (1 << 64) - 1)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def shingle_set(text: str | None, width: int, seed: int) -> np.ndarray:
+    """The distinct shingle hashes of a text in order."""
+    return np.unique(shingle_hashes(text or "", width, seed))
+
+
+def set_marks(texts: Iterator[str | None], width: int, seed: int) -> pd.DataFrame:
+    """(digest, n, keys) for each text: a digest of its set of shingles, the set's size, and BANDS keys of ROWS least hashes each; a set of none has no keys."""
+    digests: list[bytes] = []
+    sizes: list[int] = []
+    keys: list[np.ndarray] = []
+    held: list[np.ndarray] = []
+    load = 0
+
+    def flush() -> None:
+        some = [x for x in held if len(x)]
+        found = iter(())
+        if some:
+            whole = np.concatenate(some)
+            begin = np.concatenate(([0], np.cumsum([len(x) for x in some])[:-1]))
+            bands = np.empty((len(some), BANDS), np.uint64)
+            for band in range(BANDS):
+                key = np.full(len(some), band, np.uint64)
+                for k in range(band * ROWS, (band + 1) * ROWS):
+                    key = _mixed(key ^ np.minimum.reduceat(whole * np.uint64(_FACTORS[k]), begin), k)
+                bands[:, band] = key
+            found = iter(bands.astype(np.int64))
+        keys.extend(next(found) if len(x) else np.empty(0, np.int64) for x in held)
+        held.clear()
+
+    for text in texts:
+        own = shingle_set(text, width, seed)
+        digests.append(xxhash.xxh3_128_digest(own.tobytes()))
+        sizes.append(len(own))
+        held.append(own)
+        load += len(own)
+        if load >= CHUNK:
+            flush()
+            load = 0
+    flush()
+    return pd.DataFrame({"digest": digests, "n": np.array(sizes, np.int32), "keys": keys})
+
+
+def _few(ids: DataFrame) -> DataFrame:
+    """A stored table of row ids, to be broadcast if it is small."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
+
+
+def alike(pairs: DataFrame, texts: DataFrame, width: int, likeness: float, seed: int) -> DataFrame:
+    """Those of the pairs (a, b) of row ids whose texts, from (row, text), have a Jaccard likeness of ``likeness`` or more of their sets of shingles."""
+
+    @F.pandas_udf("array<long>")
+    def shingles(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for some in batches:
+            yield pd.Series([shingle_set(t, width, seed).astype(np.int64) for t in some])
+
+    spark = pairs.sparkSession
+    tried = stored(pairs, "tried")
+    ends = stored(tried.select(F.explode(F.array("a", "b")).alias("row")).distinct(), "ends")
+    sets = stored(texts.join(_few(ends), "row", "left_semi").select("row", shingles(F.col("text")).alias("s")), "sets")
+    both = tried.join(sets.select(F.col("row").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("row").alias("b"), F.col("s").alias("sb")), "b")
+    common = F.size(F.array_intersect("sa", "sb"))
+    found = stored(both.where(common / (F.size("sa") + F.size("sb") - common) >= likeness).select("a", "b"), "links")
+    discard(spark, tried, ends, sets)
+    return found
+
+
+def similar(texts: DataFrame, nodes: DataFrame, width: int, likeness: float, seed: int) -> DataFrame:
+    """(node, root) of the nodes (node, n, keys) that have others of ``likeness`` or more: groups linked by such pairs.
+
+    Nodes of one key make a bucket. Each is first held against one of its bucket, another for
+    each band, so that large groups of copies become one group at the cost of their size; then all
+    pairs of a bucket that are in different groups yet are held against each other. Only pairs
+    that reach the exact likeness are linked. ``texts`` has (row, text), rows naming nodes.
+    """
+    spark = texts.sparkSession
+    each = nodes.select("node", "n", F.explode("keys").alias("key"))
+    firsts = each.groupBy("key").agg(F.min_by(F.struct("node", "n"), F.xxhash64("node", "key")).alias("first"), F.count("*").alias("size")).where("size > 1").drop("size")
+    buckets = stored(each.join(firsts, "key"), "buckets")
+    ratio = lambda x, y: F.least(x, y) / F.greatest(x, y) >= likeness
+    stars = buckets.where((F.col("node") != F.col("first.node")) & ratio(F.col("n"), F.col("first.n")))
+    begun = alike(stars.select(F.least("node", "first.node").alias("a"), F.greatest("node", "first.node").alias("b")).distinct(), texts, width, likeness, seed)
+    rooted = buckets.select("key", "node", "n").join(components(begun), "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("root"))
+    mixed = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("size")).where("lo < hi").select("key", "size")
+    still = stored(rooted.join(mixed, "key"), "open")
+    own = still.where(F.col("size") <= CROWD).select("key", F.col("key").alias("other"), "node", "n", "root")
+    crowd = still.where(F.col("size") > CROWD)
+    twice = crowd.select("key", "node", "n", "root").join(crowd.select(F.col("key").alias("other"), "node"), "node").where("key < other").select("key", "other", "node", "n", "root")
+    dealt = own.unionByName(twice)
+    others = dealt.select("key", "other", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"))
+    met = dealt.join(others, ["key", "other"]).where((F.col("node") < F.col("b")) & (F.col("root") != F.col("rb")) & ratio(F.col("n"), F.col("nb")))
+    rest = alike(met.select(F.col("node").alias("a"), "b").distinct(), texts, width, likeness, seed)
+    discard(spark, buckets, still)
+    return stored(components(begun.unionByName(rest)), "roots")
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, likeness: float = 0.8, seed: int = 42) -> DataFrame:
     """The rows of ``docs`` that have the smallest id of their group of near copies, one for each group.
 
-    Null ids come after all others; of rows with equal ids one stays, which is the first as the
-    table was written to the shared folder. Columns stay as they are.
+    Groups are linked by pairs whose sets of ``width``-word shingles have a Jaccard likeness of
+    ``likeness`` (0.8 or more) at least; texts of equal sets, and null and wordless ones, are of
+    one group. Null ids come after all others; of rows with equal ids one stays, which is the first
+    as the table was written to the shared folder. Columns stay as they are.
     """
-    fp, row = free(docs, "_fp"), free(docs, "_row")
-    full = stored(docs.withColumns({fp: fingerprint(F.col(text_col), width, seed), row: F.monotonically_increasing_id()}), "marked")
+
+    @F.pandas_udf("digest binary, n int, keys array<long>")
+    def marks(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in batches:
+            yield set_marks(iter(texts), width, seed)
+
+    mark, row = free(docs, "_mark"), free(docs, "_row")
+    full = stored(docs.withColumns({mark: marks(F.col(text_col)), row: F.monotonically_increasing_id()}), "marked")
     rank = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col(row).alias("row"))
-    first = grouped(full.select(rank.alias("id"), F.col(fp).alias("fp")), radius).where("id = component").select(F.col("id.row").alias(row))
-    return full.join(first, row, "left_semi").select(*docs.columns)
+    of = full.select(F.col(f"{mark}.digest").alias("digest"), rank.alias("rank"), F.col(row).alias("row"))
+    least = of.groupBy("digest").agg(F.min("rank").alias("rank")).select("rank", F.col("rank.row").alias("node"))
+    nodes = stored(least.join(full.select(F.col(row).alias("node"), f"{mark}.n", f"{mark}.keys"), "node"), "nodes")
+    roots = similar(full.select(F.col(row).alias("row"), F.col(text_col).alias("text")), nodes, width, likeness, seed)
+    first = nodes.select("node", "rank").join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("rank").alias("rank")).select(F.col("rank.row").alias(row))
+    gone = stored(full.select(row).join(first, row, "left_anti"), "gone")
+    return full.join(_few(gone), row, "left_anti").select(*docs.columns)
 
 
 def hex16(fp: Column) -> Column:

@@ -100,3 +100,57 @@ def test_one_of_each_keeps_columns_and_the_smallest(spark):
     got = S.one_of_each(docs)
     assert got.columns == docs.columns
     assert sorted((r["doc_id"] or 0, r["fp"] or "") for r in got.collect()) == [(0, "t"), (1, "r"), (9, "")]
+
+
+def test_similar_texts_of_any_likeness(spark):
+    """Pairs well over the likeness go to one group, pairs under it never do, however near their fingerprints."""
+    rng = random.Random(9)
+    rows, groups = [], {}
+    for g in range(25):
+        base = [f"w{rng.randrange(4000)}" for _ in range(400)]
+        for c in range(3):
+            w = list(base)
+            for _ in range((0, 3, 5)[c]):
+                w[rng.randrange(len(w))] = f"new{rng.random()}"
+            rows.append((len(rows), " ".join(w), "x", "y"))
+            groups.setdefault(g, []).append(len(rows) - 1)
+        shuffled = list(base)
+        rng.shuffle(shuffled)
+        rows.append((len(rows), " ".join(shuffled), "x", "y"))
+        groups[f"s{g}"] = [len(rows) - 1]
+    docs = spark.createDataFrame(rows, KIND)
+    kept = {r["doc_id"] for r in S.one_of_each(docs).collect()}
+    assert all(min(ids) in kept for ids in groups.values())
+    assert len(kept) <= len(groups) + 3
+
+
+def test_one_of_each_is_exact(spark):
+    """Groups linked by pairs of a likeness of 0.8 or more, as brute force over all pairs finds them, around a passage that half of the texts share."""
+    rng = random.Random(3)
+    passage = [f"p{i}" for i in range(40)]
+    rows = []
+    for g in range(60):
+        base = [f"w{rng.randrange(3000)}" for _ in range(rng.choice((8, 50, 120)))]
+        base = base + passage if g % 2 else base
+        for c in range(6):
+            w = list(base)
+            for _ in range(rng.randrange(len(w) // 20 + 1) if c else 0):
+                w[rng.randrange(len(w))] = f"new{rng.random()}"
+            rows.append((len(rows), " ".join(w), "x", "y"))
+    rows += [(len(rows), None, "x", "y"), (len(rows) + 1, " ", "x", "y")]
+    sets = [set(zip(*(t.split()[i:] for i in range(5)))) for t in ((r[1] or "") for r in rows)]
+    root = list(range(len(rows)))
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, j in combinations(range(len(rows)), 2):
+        union = len(sets[i] | sets[j])
+        if 5 * len(sets[i] & sets[j]) >= 4 * union:
+            x, y = sorted((top(i), top(j)))
+            root[y] = x
+    kept = {r["doc_id"] for r in S.one_of_each(spark.createDataFrame(rows, KIND)).collect()}
+    assert kept == {top(i) for i in range(len(rows))}
+    assert len(kept) < 300
