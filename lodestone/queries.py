@@ -189,9 +189,8 @@ def lookup_misses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def known_detections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Detections with those texts snapped that are codes once normalised."""
-    named = A.detections(spark, sf_dir).withColumn("t", text.normalize(F.col("raw_text")))
-    return named.withColumn("snapped", F.when(vocabulary.is_valid(F.col("t")), F.col("t"))).drop("t")
+    """Detections with their texts matched to the nearest codes, as build_index does; the SQL below knows only texts that are codes once normalised."""
+    return vocabulary.snap(A.detections(spark, sf_dir), "raw_text")
 
 
 KNOWN = (
