@@ -6,13 +6,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import let, words
+from .common import free, let, words
 
 #: Words of a shingle, bins of a fingerprint, and bits kept of each bin.
 WIDTH, BINS, BITS = 5, 256, 8
-#: Bins probed for an empty one before the nearest of all filled bins is looked up.
-PROBES = 4
+#: Fixed probes of an empty bin; where all find empty bins, its choice is made among all filled ones at once.
+PROBES = 16
 LOW = (1 << 56) - 1
+#: Ranges of the next-row join are taken together to so many rows a task, while every core has one.
+TASK_ROWS = 8192
+#: Bytes of a fingerprint in one long.
+LANES = 8
 
 
 def shingles(text: Column, width: int = WIDTH, seed: int = 42) -> Column:
@@ -25,41 +29,57 @@ def shingles(text: Column, width: int = WIDTH, seed: int = 42) -> Column:
 
 
 def codes(text: Column, width: int = WIDTH, seed: int = 42) -> Column:
-    """The fingerprint of a text, array<tinyint> of BINS: the low-order byte of each bin's least shingle hash.
+    """The fingerprint of a text, array<bigint>: the low-order bytes of each bin's least shingle hash, LANES bins to a long.
 
     Each shingle is hashed once; the top byte of its hash is its bin and the rest its rank there.
-    An empty bin takes the value of a filled one by optimal densification: bins are tried in an
-    order that depends on the empty bin's number alone, so that two texts choose alike. The first
-    PROBES come from a fixed table; where all are empty, the filled bin of the least hash together
-    with the empty bin's number is taken, found among all. A text without words gives all zeros.
+    An empty bin takes the value of a filled one by optimal densification: it tries bins in an
+    order that depends on its own number alone, so that two texts choose alike and each filled bin
+    is as likely. The first PROBES come from fixed tables, and mostly one of few is filled. Where
+    none is, as in texts of few words, the filled bin of the least hash together with the empty
+    bin's number is taken. A text without words gives all zeros.
     """
     # One value above all others for each bin makes bins that got no shingle stand out.
-    none = F.array(*[F.lit(_signed(b << 56 | LOW)) for b in range(BINS)])
-    bin_of = lambda x: F.shiftrightunsigned(x, 56)
-    empty = lambda x: x.bitwiseAND(F.lit(LOW)) == F.lit(LOW)
+    none = F.lit([_signed(b << 56 | LOW) for b in range(BINS)])
 
     def least(order: Column) -> Column:
+        """The least hash of each bin in turn: the first of each in an unsigned order, whose bins are all there."""
+        bin_of = lambda x: F.shiftrightunsigned(x, 56)
         return F.filter(order, lambda x, i: (i == 0) | (bin_of(x) != bin_of(F.get(order, i - 1))))
 
-    def dense(bins: Column) -> Column:
-        filled = F.filter(bins, lambda x: ~empty(x))
+    def value(x: Column) -> Column:
+        """What is kept of a bin's hash; null for an empty bin."""
+        return F.when(x.bitwiseAND(F.lit(LOW)) != F.lit(LOW), x.bitwiseAND(F.lit((1 << BITS) - 1)))
 
-        def fill(x: Column, i: Column, from_: Column) -> Column:
-            tried = [F.get(bins, F.get(F.lit(table), i)) for table in _probes()]
-            value = F.element_at(F.array_sort(F.transform(from_, lambda y: F.struct(F.xxhash64(bin_of(y), i).alias("h"), y.alias("y")))), 1)["y"]
-            for t in reversed(tried):
-                value = F.when(~empty(t), t).otherwise(value)
-            return F.when(~empty(x), x).otherwise(value)
+    def dense(kept: Column) -> Column:
+        """The values by bin with empty bins filled. ``kept`` runs as the sorted hashes do: from bin 128 on, then from 0."""
+        place = [(b + BINS // 2) % BINS for b in range(BINS)]
+        filled = F.filter(F.transform(kept, lambda v, i: F.when(v.isNotNull(), i)), lambda i: i.isNotNull())
 
-        whole = let(filled, lambda f: F.transform(bins, lambda x, i: fill(x, i, f)))
-        return F.when(F.exists(bins, empty), whole).otherwise(bins)
+        def chosen(i: Column, from_: Column) -> Column:
+            ranked = F.transform(from_, lambda j: F.shiftleft(F.xxhash64(j, i), 8).bitwiseOR(j.cast("long")))
+            return F.get(kept, F.array_min(ranked).bitwiseAND(F.lit(BINS - 1)).cast("int"))
 
-    def pack(h: Column) -> Column:
-        bins = let(F.sort_array(F.concat(h, none)), least)
-        return let(bins, lambda b: F.transform(dense(b), lambda x: F.shiftright(F.shiftleft(x, 64 - BITS), 64 - BITS).cast("tinyint")))
+        tables = [[place[j] for j in table] for table in _probes()]
+        fill = lambda at, i, from_: F.coalesce(F.get(kept, at), *[F.get(kept, F.get(F.lit(t), i)) for t in tables], chosen(i, from_))
+        return let(filled, lambda f: F.transform(F.lit(place), lambda at, i: fill(at, i, f)))
 
-    zeros = F.array_repeat(F.lit(0).cast("tinyint"), BINS)
-    return let(shingles(text, width, seed), lambda h: F.when(F.size(h) > 0, pack(h)).otherwise(zeros))
+    def pack(bins: Column) -> Column:
+        """BINS values as longs, the first bin of each in its top byte."""
+
+        def lane(k: Column) -> Column:
+            out = F.shiftleft(F.get(bins, k), 64 - BITS)
+            for i in range(1, LANES):
+                out = out.bitwiseOR(F.shiftleft(F.get(bins, k + i), 64 - BITS * (i + 1)))
+            return out
+
+        return F.transform(F.lit(list(range(0, BINS, LANES))), lane)
+
+    def of(h: Column) -> Column:
+        kept = let(F.sort_array(F.concat(h, none)), lambda order: F.transform(least(order), value))
+        return let(let(kept, dense), pack)
+
+    zeros = F.array_repeat(F.lit(0).cast("bigint"), BINS // LANES)
+    return let(shingles(text, width, seed), lambda h: F.when(F.size(h) > 0, of(h)).otherwise(zeros))
 
 
 def _signed(x: int) -> int:
@@ -68,19 +88,30 @@ def _signed(x: int) -> int:
 
 def _probes() -> list[list[int]]:
     """PROBES bins for each bin, by a fixed mixing function."""
-    mix = lambda i, t: ((i * 2654435761 + t * 40503 + 12345) * 2246822519 >> 13) % BINS
-    return [[mix(i, t) for i in range(BINS)] for t in range(1, PROBES + 1)]
+
+    def mix(x: int) -> int:
+        x = (x ^ x >> 16) * 0x7FEB352D & 0xFFFFFFFF
+        x = (x ^ x >> 15) * 0x846CA68B & 0xFFFFFFFF
+        return x ^ x >> 16
+
+    return [[mix(t << 16 | i) % BINS for i in range(BINS)] for t in range(1, PROBES + 1)]
 
 
 def packed(code: Column) -> Column:
     """A fingerprint as lower-case hexadecimal digits, two for each bin."""
-    digits = F.lit([f"{b:02x}" for b in range(256)])
-    return F.array_join(F.transform(code, lambda x: F.get(digits, x.cast("int").bitwiseAND(F.lit(255)))), "")
+    return F.lower(F.array_join(F.transform(code, lambda x: F.lpad(F.hex(x), 16, "0")), ""))
 
 
 def likeness(a: Column, b: Column) -> Column:
     """Estimated share of common shingles, 0 to 1, of two fingerprints: equal bins, less those equal by chance in BITS bits."""
-    same = F.size(F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda x: x)) / F.lit(float(BINS))
+
+    def folded(values: Column, by: int) -> Column:
+        return F.transform(values, lambda x: x.bitwiseOR(F.shiftrightunsigned(x, by)))
+
+    # Of the bytes of two longs' difference, the lowest bit is made to stand for the whole byte.
+    other = folded(folded(folded(F.zip_with(a, b, lambda x, y: x.bitwiseXOR(y)), 4), 2), 1)
+    differ = F.aggregate(other, F.lit(0), lambda n, x: n + F.bit_count(x.bitwiseAND(F.lit(0x0101010101010101))))
+    same = F.lit(1.0) - differ / F.lit(float(BINS))
     chance = 2.0**-BITS
     return F.greatest(F.lit(0.0), (same - chance) / (1 - chance))
 
@@ -109,20 +140,23 @@ def with_next(rows: DataFrame, id_col: str, columns: list[str], buckets: int | N
     # Ranges count from the largest ids on; rows without an id are the last range's.
     last = len(edges) * parts
     slot = F.coalesce(F.lit(last - 1) - (at * parts + inner), F.lit(last)).cast("long")
-    dealt = rows.withColumn("_slot", slot)
-    tops = dealt.groupBy("_slot").agg(F.max(key).alias("top")).orderBy("_slot").collect()
+    at_, to, some = (free(rows, x) for x in ("_slot", "_to", "_some"))
+    dealt = rows.withColumn(at_, slot)
+    tops = dealt.groupBy(F.col(at_).alias("slot")).agg(F.max(key).alias("top"), F.count("*").alias("rows")).orderBy("slot").collect()
     if not tops:
-        return dealt.drop("_slot").select("*", *[F.col(c).alias(f"next_{c}") for c in columns])
-    before = {r["_slot"]: tops[i - 1]["_slot"] for i, r in enumerate(tops)}
-    first = {r["_slot"]: r["top"] for r in tops}
+        return rows.select("*", *[F.col(c).alias(f"next_{c}") for c in columns])
+    before = {r["slot"]: tops[i - 1]["slot"] for i, r in enumerate(tops)}
+    first = {r["slot"]: r["top"] for r in tops}
     pairs = F.create_map(*[F.lit(x) for s in before for x in (s, before[s])])
     heads = F.create_map(*[F.lit(x) for s in first for x in (s, first[s])]) if all(v is not None for v in first.values()) else F.create_map(*[F.lit(x) for s, v in first.items() if v is not None for x in (s, v)] or [F.lit(-1).cast("long"), F.lit(-1).cast("long")])
-    leads = F.try_element_at(heads, F.col("_slot")).eqNullSafe(key)
-    copies = F.when(leads, F.array(F.struct(F.col("_slot").alias("s"), F.lit(False).alias("g")), F.struct(F.try_element_at(pairs, F.col("_slot")).alias("s"), F.lit(True).alias("g")))).otherwise(F.array(F.struct(F.col("_slot").alias("s"), F.lit(False).alias("g"))))
-    spread = dealt.withColumn("_to", F.explode(copies))
-    order = W.partitionBy("_to.s").orderBy("_to.g", key.desc_nulls_last(), *columns)
-    out = spread.select("*", *[F.lead(c).over(order).alias(f"next_{c}") for c in columns], F.lead(F.lit(True)).over(order).alias("_some"))
-    return out.where("NOT _to.g").drop("_slot", "_to", "_some")
+    leads = F.try_element_at(heads, F.col(at_)).eqNullSafe(key)
+    own = F.struct(F.col(at_).alias("s"), F.lit(False).alias("g"))
+    ahead = F.struct(F.try_element_at(pairs, F.col(at_)).alias("s"), F.lit(True).alias("g"))
+    spread = dealt.withColumn(to, F.explode(F.when(leads, F.array(own, ahead)).otherwise(F.array(own))))
+    order = W.partitionBy(f"{to}.s").orderBy(f"{to}.g", key.desc_nulls_last(), *columns)
+    out = spread.select("*", *[F.lead(c).over(order).alias(f"next_{c}") for c in columns], F.lead(F.lit(True)).over(order).alias(some))
+    tasks = max(spark.sparkContext.defaultParallelism, -(-sum(r["rows"] for r in tops) // TASK_ROWS))
+    return out.where(~F.col(f"{to}.g")).drop(at_, to, some).coalesce(tasks)
 
 
 def edited(text: Column, next_text: Column) -> Column:
