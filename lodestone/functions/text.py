@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -22,6 +24,16 @@ def normalize(raw: Column) -> Column:
     return F.regexp_replace(dashed, r"^(.)-0*([0-9]+)$", "$1-$2")
 
 
+def normal_form(raw: str) -> str:
+    """normalize() of one string in plain Python, for code that already runs in a worker."""
+    text = "".join(c for c in raw.upper().translate(str.maketrans(DASHES, "-" * len(DASHES))) if not c.isspace())
+    if dashed := re.fullmatch(r"(.)([0-9]{1,4})", text):
+        text = f"{dashed[1]}-{dashed[2]}"
+    if padded := re.fullmatch(r"(.)-0*([0-9]+)", text):
+        text = f"{padded[1]}-{padded[2]}"
+    return text
+
+
 def trimmed(text: Column) -> Column:
     """Without Unicode white space at both ends."""
     return F.regexp_replace(F.regexp_replace(text, f"^{WHITE}+", ""), f"{WHITE}+$", "")

@@ -3,15 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 from typing import Protocol
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import SETTINGS, Settings
+from ..functions.text import normal_form
 from ..schema import DETECTION
 
 PIECE_KEY = ("photo_id", "piece_id")
@@ -37,40 +38,72 @@ def loaded(factory: Callable[[], Recognizer]) -> Recognizer | None:
     return _loaded[key]
 
 
-def detect(crops: DataFrame, factory: Callable[[], Recognizer], settings: Settings = SETTINGS) -> DataFrame:
-    """Detections of every pass for crops (photo_id, piece_id, height, width, data as BGR bytes).
+Find = tuple[str, float, list[list[int]] | None]
 
-    The recognizer is made once a process. Where it fails on a crop, the crop has no detections.
+
+def passes(own: Recognizer, image: np.ndarray, matched: Callable[[str], bool], settings: Settings = SETTINGS, everything: bool = False) -> Iterator[tuple[str, int, int, list[Find]]]:
+    """(pass, seq, angle, finds) of a crop, read no more often than its result needs.
+
+    A direct read that is sure enough ends it; else the line, if a quad was found, is read in its
+    orientations until one is certain, which ends it if sure enough; else the crop is turned until
+    a read is certain. ``matched`` tells whether a text has a code. With ``everything`` all reads are
+    made. A call that fails finds nothing.
     """
     from .kernels import deskew, rotate_expand
 
-    def attempt(call: Callable, *args) -> list:
+    def attempt(call: Callable, *args) -> list[Find]:
         try:
             return list(call(*args))
-        except Exception:  # noqa: BLE001
+        except Exception:  # noqa: BLE001 a recognizer may fail in any way
             return []
 
+    def best(found: list[Find]) -> float:
+        return max((float(s) for t, s, _ in found if isinstance(t, str) and s >= settings.least_score and matched(t)), default=0.0)
+
+    direct = attempt(own.read, image)
+    yield "direct", 0, 0, direct
+    sure = best(direct)
+    if sure >= settings.enough and not everything:
+        return
+    quads = [(s, -i, p) for i, (_, s, p) in enumerate(direct) if p]
+    if quads and hasattr(own, "read_line"):
+        line, top = deskew(image, max(quads)[2], settings), 0.0
+        for k, turn in enumerate(settings.orientations):
+            found = attempt(lambda im: [(*own.read_line(im), None)], np.ascontiguousarray(line[::-1, ::-1] if turn == 180 else line))
+            yield "line", k, turn, found
+            top = max(top, best(found))
+            if top >= settings.certain and not everything:
+                break
+        if max(sure, top) >= settings.enough and not everything:
+            return
+    for k, angle in enumerate(settings.angles):
+        found = attempt(own.read, rotate_expand(image, angle, settings.fill))
+        yield "sweep", k, angle, found
+        if best(found) >= settings.certain and not everything:
+            return
+
+
+def detect(crops: DataFrame, factory: Callable[[], Recognizer], settings: Settings = SETTINGS, everything: bool = False) -> DataFrame:
+    """Detections of the passes that each crop (photo_id, piece_id, height, width, data as BGR bytes) needs, or of all.
+
+    The recognizer is made once a process. Where it fails on a crop, the crop has no detections.
+    """
+    from .vocabulary import Matcher
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own = loaded(factory)
+        own, matcher = loaded(factory), Matcher(settings)
+        codes, known = set(matcher.codes), lru_cache(100_000)(lambda t: matcher.snap(t, settings.max_distance)[0] is not None)
+
+        def matched(raw: str) -> bool:
+            text = normal_form(raw)
+            return text in codes or known(text)
+
         for batch in batches:
             rows: list[tuple] = []
-            for r in batch.itertuples():
+            for r in batch.itertuples() if own is not None else ():
                 image = np.frombuffer(r.data, np.uint8).reshape(r.height, r.width, 3)
-
-                def keep(name: str, seq: int, angle: int, found: list, r=r) -> None:
+                for name, seq, angle, found in passes(own, image, matched, settings, everything):
                     rows.extend((r.photo_id, r.piece_id, name, seq, angle, i, t, float(s), p) for i, (t, s, p) in enumerate(found) if isinstance(t, str))
-
-                if own is None:
-                    continue
-                direct = attempt(own.read, image)
-                keep("direct", 0, 0, direct)
-                quads = [(s, -i, p) for i, (_, s, p) in enumerate(direct) if p]
-                if quads and hasattr(own, "read_line"):
-                    line = deskew(image, max(quads)[2], settings)
-                    for k, turn in enumerate(settings.orientations):
-                        keep("line", k, turn, attempt(lambda im: [(*own.read_line(im), None)], np.ascontiguousarray(line[::-1, ::-1] if turn == 180 else line)))
-                for k, angle in enumerate(settings.angles):
-                    keep("sweep", k, angle, attempt(own.read, rotate_expand(image, angle, settings.fill)))
             yield pd.DataFrame(rows, columns=[f.name for f in DETECTION])
 
     return crops.mapInPandas(run, DETECTION)
@@ -105,29 +138,39 @@ def best_poly(detections: DataFrame, keys: tuple[str, ...] = PIECE_KEY) -> DataF
 
 
 def swept(best: DataFrame, keys: tuple[str, ...] = PIECE_KEY, settings: Settings = SETTINGS) -> DataFrame:
-    """The best of a pass's turns (column ``seq``), taken in order until one is certain; the first of equals."""
-    order = W.partitionBy(*keys).orderBy("seq")
-    ahead = F.coalesce(F.max("confidence").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))
-    tried = best.withColumn("_ahead", ahead).where(F.col("_ahead") < settings.certain)
-    top = tried.groupBy(*keys).agg(F.max_by(F.struct("code", "confidence", "raw_text", "angle"), F.struct("confidence", -F.col("seq"))).alias("b"))
+    """The best of a pass's turns (column ``seq``), taken in order until one is certain; the first of equals.
+
+    That is the first certain turn, where there is one, else the best of all: one aggregate by key.
+    """
+    top = best.groupBy(*keys).agg(F.max_by(F.struct("code", "confidence", "raw_text", "angle"), _turn(F.col("confidence"), settings)).alias("b"))
     return top.select(*keys, "b.code", "b.confidence", "b.raw_text", "b.angle")
 
 
+def _turn(score: Column, settings: Settings) -> Column:
+    """What orders the turns of a sweep: the first certain one above all, others by their score, then by their place."""
+    certain = score >= settings.certain
+    return F.struct(certain.alias("certain"), F.when(certain, -F.col("seq")).alias("first"), score.alias("score"), (-F.col("seq")).alias("seq"))
+
+
 def cascade(pieces: DataFrame, detections: DataFrame, settings: Settings = SETTINGS) -> DataFrame:
     """(photo_id, piece_id, code, confidence, raw_text, method, angle) for each of ``pieces``.
 
     ``detections`` holds passes direct, line and sweep, with ``snapped`` and ``raw_text``. The
     direct read stands if it is sure enough; else the line read replaces it if better, given a
     quad; if that is not sure enough either, the sweep replaces what there is if better. The
-    result may still be unsure, or nothing. All passes aggregate by piece in one exchange.
+    result may still be unsure, or nothing. Detections are read once and aggregated by piece in
+    one exchange, with the best of each pass as one of the aggregates.
     """
-    best = best_detection(detections, settings=settings)
     keys = list(PIECE_KEY)
-    direct = best.where("pass = 'direct'").drop("pass", "seq")
-    quads = best_poly(detections.where("pass = 'direct'")).select(*keys, F.lit(True).alias("quad"))
-    line, sweep = (swept(best.where(F.col("pass") == p), settings=settings) for p in ("line", "sweep"))
-    as_ = lambda df, name: df.select(*keys, F.struct("confidence", "code", "raw_text", "angle", F.lit(name).alias("method")).alias(name))
-    joined = pieces.select(*keys).join(as_(direct, "direct"), keys, "left").join(quads, keys, "left").join(as_(line, "line"), keys, "left").join(as_(sweep, "sweep"), keys, "left")
+    fit = (F.col("score") >= settings.least_score) & (F.coalesce(F.col("snapped"), F.lit("")) != "")
+    within = F.struct(_turn(F.col("score"), settings).alias("turn"), (-F.col("det_ord")).alias("det_ord"))
+
+    def top(name: str) -> Column:
+        found = F.struct(F.col("score").alias("confidence"), F.col("snapped").alias("code"), "raw_text", "angle", F.lit(name).alias("method"))
+        return F.max_by(found, F.when(fit & (F.col("pass") == name), within)).alias(name)
+
+    quad = F.bool_or((F.col("pass") == "direct") & F.col("poly").isNotNull()).alias("quad")
+    joined = pieces.select(*keys).join(detections.groupBy(*keys).agg(top("direct"), top("line"), top("sweep"), quad), keys, "left")
     conf = lambda c: F.coalesce(c["confidence"], F.lit(0.0))
     d, ln, sw = F.col("direct"), F.col("line"), F.col("sweep")
     sure = conf(d) >= settings.enough

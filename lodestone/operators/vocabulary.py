@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import SETTINGS, Settings
+from ..functions.columns import free
 from ..functions.costs import CANONICAL, CONFUSED
 from ..functions.text import normalize
 
@@ -131,14 +132,17 @@ def snap_distinct(texts: DataFrame, text_col: str = "text", cap: int | None = No
 
 
 def snap(rows: DataFrame, raw_col: str, cap: int | None = None, settings: Settings = SETTINGS) -> DataFrame:
-    """``rows`` with ``text`` (normalised), ``snapped`` and ``cost``. Null texts get nulls.
+    """``rows`` with ``text`` (normalised), ``snapped`` and ``cost``, in place of any of these names. Null texts get nulls.
 
-    Texts that are codes, the bulk, are done in place; the distinct others are matched and joined
-    back, which a text that many rows share leaves to adaptive skew handling.
+    Each distinct raw text is normalised and matched once and joined back by itself: by broadcast
+    where adaptive execution finds the texts few, else by a shuffle, in which a text that many
+    rows share is left to adaptive skew handling.
     """
-    named = rows.withColumn("text", normalize(F.col(raw_col)))
+    raw = free(rows, "_raw")
+    named = rows.select(F.col(raw_col).alias(raw)).where(F.col(raw).isNotNull()).distinct().withColumn("text", normalize(F.col(raw)))
     valid = is_valid(F.col("text"), settings)
     done = named.where(valid).withColumns({"snapped": F.col("text"), "cost": F.lit(0).cast("long")})
     rest = named.where(~valid)
     table = snap_distinct(rest, "text", cap, settings).withColumnRenamed("code", "snapped")
-    return done.unionByName(rest.join(table, "text", "left").select(*done.columns))
+    known = done.unionByName(rest.join(table, "text", "left").select(*done.columns))
+    return rows.withColumn(raw, F.col(raw_col)).drop("text", "snapped", "cost").join(known, raw, "left").drop(raw)

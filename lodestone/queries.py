@@ -189,13 +189,13 @@ def lookup_misses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def known_detections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Detections with their texts matched to the nearest codes, as build_index does; the SQL below knows only texts that are codes once normalised."""
+    """Detections with their texts matched to the nearest codes, as build_index does."""
     return vocabulary.snap(A.detections(spark, sf_dir), "raw_text")
 
 
 KNOWN = (
     A.DETECTIONS
-    + f""", known AS (SELECT *, CASE WHEN {valid("t")} THEN t END AS snapped FROM (SELECT *, {normal("raw_text")} AS t FROM detections)),
+    + f""", {CODES}, {SNAPPED}, known AS (SELECT d.*, CASE WHEN {valid("d.t")} THEN d.t ELSE snapped.code END AS snapped FROM (SELECT *, {normal("raw_text")} AS t FROM detections) d LEFT JOIN snapped ON d.t = snapped.t),
   fit AS (SELECT *, row_number() OVER (PARTITION BY photo_id, piece_id, pass, seq ORDER BY score DESC, det_ord) AS rn FROM known WHERE score >= 0.35 AND snapped IS NOT NULL),
   best AS (SELECT photo_id, piece_id, pass, seq, snapped AS code, score AS confidence, raw_text, angle FROM fit WHERE rn = 1),
   ahead AS (SELECT *, coalesce(max(confidence) OVER (PARTITION BY photo_id, piece_id, pass ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM best),
@@ -467,6 +467,8 @@ def drawn(spark: SparkSession, sf_dir: str) -> DataFrame:
             yield pd.DataFrame(rows, columns=["photo_id", "height", "width", "data"])
 
     groups = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.floor(F.col("event_id") / 500).alias("n")).distinct()
+    # Few numbers but a photo's work for each: dealt over all cores, which adaptive merging of small partitions would undo.
+    groups = groups.repartition(spark.sparkContext.defaultParallelism * 2)
     return groups.mapInPandas(run, "photo_id string, height int, width int, data binary")
 
 
@@ -476,3 +478,10 @@ def segment_photos(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .plans.index import segment
 
     return segment(drawn(spark, sf_dir)).drop("data", "contour")
+
+
+@query("""WITH discs AS (SELECT n, 55 + 100 * (k % 3) AS cx, 65 + 110 * (k // 3) AS cy, 20 + (n * 7 + k * 5) % 12 AS r FROM (SELECT DISTINCT event_id // 500 AS n FROM events), range(6) t(k))
+SELECT 'p' || n AS photo_id, row_number() OVER (PARTITION BY n ORDER BY cy - r, cx - r) - 1 AS piece_id, (cx - r + 1)::INT AS x, (cy - r + 1)::INT AS y, (2 * r - 1)::INT AS w, (2 * r - 1)::INT AS h, 512 AS height, 512 AS width FROM discs""")
+def segment_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order, boxes and crop sizes of segment_photos(): of each disc the single pixels at its four ends are smoothed away."""
+    return segment_photos(spark, sf_dir).drop("area")

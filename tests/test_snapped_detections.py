@@ -14,7 +14,7 @@ from lodestone.operators.vocabulary import Matcher
 
 @pytest.fixture(scope="module")
 def data(spark, tmp_path_factory):
-    """Events of all eleven kinds, A-10 read as A-1O among them, and their detections with codes by brute force."""
+    """Events of all eleven kinds, A-10 read as A-IO among them, and their detections with codes by brute force."""
     folder = str(tmp_path_factory.mktemp("reads"))
     ids = [*range(0, 120), *range(995, 1010), 9 + 1000 * 3, 9 + 1000 * 7]
     pq.write_table(pa.table({"event_id": pa.array(ids, pa.int64()), "user_id": pa.array([i % 60 for i in ids], pa.int64())}), f"{folder}/events.parquet")
@@ -59,7 +59,7 @@ def shown(b):
 def test_misread_codes_are_snapped(spark, data):
     folder, rows = data
     misread = {r["raw_text"] for r in rows if r["code"] and r["code"] != r["t"]}
-    assert {r["code"] for r in rows if r["raw_text"] == "A-1O"} == {"A-10"} and len(misread) > 5
+    assert {r["code"] for r in rows if r["raw_text"] == "A-IO"} == {"A-10"} and len(misread) > 5
 
 
 @pytest.mark.parametrize(("query", "name", "pick"), [("best_detection", "direct", best), ("line_sweep", "line", swept), ("angle_sweep", "sweep", swept)])
