@@ -13,6 +13,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import trimmed
 from .pretoken import ChunkCache
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -133,7 +134,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
                 values = np.concatenate(got).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values))], ["id", "ids"])
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, ids array<int>")
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(lambda batches: trimmed(run(batches)), f"id {kind}, ids array<int>")
 
 
 def decode(coded: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:
@@ -147,7 +148,7 @@ def decode(coded: DataFrame, path: str | None = None, pattern: str | None = None
             data = [own.decode(np.asarray(x.values)) if x.is_valid else b"" for x in batch.column("ids")]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(data, pa.binary())], [*batch.schema.names, "data"])
 
-    return coded.mapInArrow(run, f"{fields}, data binary")
+    return coded.mapInArrow(lambda batches: trimmed(run(batches)), f"{fields}, data binary")
 
 
 def op6_bpe(spark, sf_dir: str) -> DataFrame:

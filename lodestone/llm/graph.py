@@ -8,17 +8,19 @@ from pyspark.sql import functions as F
 from .common import discard, stored
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, rows: int | None = None) -> DataFrame:
     """(node, root) for every node of ``edges`` (columns a, b), root being the smallest node it reaches.
 
     Alternates large-star and small-star steps until the edges form stars. Each step is two
     joins on the node whose build side is an aggregate; a node with very many edges is only
     ever the probe side, whose partitions adaptive execution splits. Each round is written to
-    the shared folder. Self-edges and repeated edges are allowed; null ends are dropped.
+    the shared folder; the last round's table stays there for as long as the result is read.
+    Self-edges and repeated edges are allowed; null ends are dropped. ``rows`` is about how many
+    edges there are, where that is known.
     """
     spark = edges.sparkSession
     kept = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    now, before = stored(kept, "edges"), None
+    now, before = stored(kept, "edges", rows), None
     sign = _sign(now)
     while sign != before:
         if sign[0] == 0:
@@ -29,7 +31,7 @@ def components(edges: DataFrame) -> DataFrame:
         large = large.distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.explode(F.array(F.struct(F.col("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
-        after = stored(small.select("e.a", "e.b").where("a <> b").distinct(), "edges")
+        after = stored(small.select("e.a", "e.b").where("a <> b").distinct(), "edges", 2 * sign[0])
         before, sign = sign, _sign(after)
         discard(spark, now)
         now = after

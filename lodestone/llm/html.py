@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import trimmed
+
 #: Frequent words of English, German, French and Spanish.
 STOP_WORDS = frozenset(
     """
@@ -214,8 +216,7 @@ def extract(page: Column) -> Column:
 
     @F.pandas_udf("string")
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for pages in batches:
-            yield pages.map(main_text)
+        yield from trimmed(pages.map(main_text) for pages in batches)
 
     return of(F.coalesce(page, F.lit("")))
 

@@ -12,10 +12,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import trimmed
+
 UNKNOWN = "und"
 #: Stands before every text, so that its first bytes have contexts too.
 START = b"\n"
-#: Bytes scored at once, and texts held as bytes at once.
+#: Bytes scored at once for up to four languages, and texts held as bytes at once.
 CHUNK = 1 << 19
 SLICE = 256
 LETTER = re.compile(r"[A-Za-z]")
@@ -73,49 +75,22 @@ def symbols(alphabet: bytes) -> np.ndarray:
 
 
 class Coder:
-    """Code lengths of whole texts under a model, by tables of all contexts of all its trees.
+    """Code lengths of whole texts under a model, exactly, whatever the size of its trees.
 
     A symbol seen c times after a context that was seen n times, before d different symbols, has
     probability c / (n + d); for any other the escape d / (n + d) times its probability after the
-    context without its oldest symbol; after no context at all, 1/256 for every byte. Contexts of
-    the longest order are kept by frequency, then value, within the model's ``table_mb``.
+    context without its oldest symbol; after no context at all, 1/256 for every byte. Where tables
+    of all contexts and symbols fit the model's ``table_mb``, costs stand ready in them (Dense);
+    else only what was seen is held and the rest is added up from it (Sparse).
     """
 
     def __init__(self, model: Model):
-        self.order, base, langs = model.order, len(model.alphabet) + 1, len(model.languages)
-        self.base, self.symbol = base, symbols(model.alphabet)
-        room = max(1, (model.table_mb << 20) // (4 * base * langs))
-        likely = np.full((1, base, langs), 1 / 256, np.float32)
-        nodes = np.zeros(1, np.int64)
-        tables, offset = [], 0
-        place = np.zeros(base**self.order, np.int32)
-        for k in range(self.order + 1):
-            if k:
-                all_ctx = np.concatenate([c[k][0] // base for c in model.counts])
-                all_n = np.concatenate([c[k][1] for c in model.counts])
-                now, at = np.unique(all_ctx, return_inverse=True)
-                if k == self.order and len(now) > room:
-                    weight = np.bincount(at, all_n)
-                    now = np.sort(now[np.lexsort((now, -weight))[:room]])
-                parent = np.searchsorted(nodes, now % base ** (k - 1))
-            else:
-                now, parent = np.zeros(1, np.int64), np.zeros(1, np.int64)
-            p = likely[parent]
-            for lang, of in enumerate(model.counts):
-                key, c = of[k]
-                ctx, s = key // base, key % base
-                at = np.minimum(np.searchsorted(now, ctx), len(now) - 1)
-                ok = now[at] == ctx
-                at, s, c = at[ok], s[ok], c[ok]
-                n, d = np.bincount(at, c, len(now)), np.bincount(at, minlength=len(now))
-                total = np.maximum(n + d, 1)
-                p[:, :, lang] *= np.where(n > 0, d / total, 1).astype(np.float32)[:, None]
-                p[at, s, lang] = c / total[at]
-            place.reshape(-1, base**k)[:, now] = offset + np.arange(len(now), dtype=np.int32)
-            tables.append(-np.log2(p).reshape(-1, langs))
-            offset += len(now)
-            likely, nodes = p, now
-        self.place, self.cost = place, np.concatenate(tables)
+        self.order, self.base, self.symbol, langs = model.order, len(model.alphabet) + 1, symbols(model.alphabet), len(model.languages)
+        contexts = sum(len(np.unique(np.concatenate([c[k][0] // self.base for c in model.counts]))) for k in range(self.order + 1))
+        need = 4 * (contexts * self.base * langs + self.base**self.order)
+        self.costs = Dense(model) if need <= model.table_mb << 20 else Sparse(model)
+        #: Bytes scored at once, fewer the more languages they are scored for.
+        self.langs, self.chunk = langs, max(1, CHUNK * 4 // max(4, langs))
 
     def bits(self, data: bytes) -> np.ndarray:
         """(bytes, languages): code lengths of each byte but the first ``order``."""
@@ -125,23 +100,21 @@ class Coder:
         for i in range(k):
             ctx *= self.base
             ctx += s[i : n - k + i]
-        at = self.place[ctx].astype(np.int64) * self.base
-        at += s[k:]
-        return self.cost[at]
+        return self.costs.of(ctx, s[k:])
 
     def lengths(self, texts: list[bytes]) -> np.ndarray:
         """(texts, languages): code length in bits of each whole text."""
-        out = np.zeros((len(texts), self.cost.shape[1]))
+        out = np.zeros((len(texts), self.langs))
         k, i = self.order, 0
         while i < len(texts):
             j, size = i, 0
-            while j < len(texts) and (j == i or size + len(texts[j]) <= CHUNK):
+            while j < len(texts) and (j == i or size + len(texts[j]) <= self.chunk):
                 size += len(texts[j]) + k
                 j += 1
-            if size > 2 * CHUNK:  # one very long text, in parts that overlap by a context
+            if size > 2 * self.chunk:  # one very long text, in parts that overlap by a context
                 data = START * k + texts[i]
-                for lo in range(0, len(texts[i]), CHUNK):
-                    out[i] += self.bits(data[lo : lo + CHUNK + k]).sum(0, dtype=np.float64)
+                for lo in range(0, len(texts[i]), self.chunk):
+                    out[i] += self.bits(data[lo : lo + self.chunk + k]).sum(0, dtype=np.float64)
             else:
                 data = b"".join([START * k + t for t in texts[i:j]])
                 cost = self.bits(data)
@@ -153,6 +126,83 @@ class Coder:
         return out
 
 
+def _seen(model: Model, k: int) -> tuple[np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray, np.ndarray]]]:
+    """Of order k: the contexts of all languages in order; for each language and context n + d, and d; (place of the context, symbol, count) by language."""
+    base = len(model.alphabet) + 1
+    now = np.unique(np.concatenate([c[k][0] // base for c in model.counts]))
+    total, kinds = np.zeros((2, len(model.languages), len(now)), np.int64)
+    each = []
+    for lang, of in enumerate(model.counts):
+        key, c = of[k]
+        at = np.searchsorted(now, key // base)
+        kinds[lang] = np.bincount(at, minlength=len(now))
+        total[lang] = np.bincount(at, c, len(now)) + kinds[lang]
+        each.append((at, key % base, c))
+    return now, np.stack((total, kinds)), each
+
+
+class Dense:
+    """The cost of every symbol after every context, in one table."""
+
+    def __init__(self, model: Model):
+        order, base, langs = model.order, len(model.alphabet) + 1, len(model.languages)
+        likely, nodes = np.full((1, base, langs), 1 / 256, np.float32), np.zeros(1, np.int64)
+        tables, offset, place = [], 0, np.zeros(base**order, np.int32)
+        for k in range(order + 1):
+            now, (total, kinds), each = _seen(model, k)
+            p = likely[np.searchsorted(nodes, now % base ** (k - 1)) if k else np.zeros(1, np.int64)]
+            for lang, (at, s, c) in enumerate(each):
+                p[:, :, lang] *= np.where(total[lang] > 0, kinds[lang] / np.maximum(total[lang], 1), 1).astype(np.float32)[:, None]
+                p[at, s, lang] = c / total[lang][at]
+            place.reshape(-1, base**k)[:, now] = offset + np.arange(len(now), dtype=np.int32)
+            tables.append(-np.log2(p).reshape(-1, langs))
+            offset += len(now)
+            likely, nodes = p, now
+        self.base, self.place, self.cost = base, place, np.concatenate(tables)
+
+    def of(self, ctx: np.ndarray, s: np.ndarray) -> np.ndarray:
+        at = self.place[ctx].astype(np.int64) * self.base
+        at += s
+        return self.cost[at]
+
+
+class Sparse:
+    """By order: the escape costs of contexts, and the costs of the symbols that some language has after them."""
+
+    def __init__(self, model: Model):
+        self.order, self.base, self.langs = model.order, len(model.alphabet) + 1, len(model.languages)
+        self.levels: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
+        for k in range(self.order + 1):
+            now, (total, kinds), each = _seen(model, k)
+            with np.errstate(divide="ignore", invalid="ignore"):
+                escape = np.where(total > 0, -np.log2(kinds / np.maximum(total, 1)), 0).T.astype(np.float32)
+            pairs = np.unique(np.concatenate([c[k][0] for c in model.counts]))
+            ctx, s = pairs // self.base, pairs % self.base
+            cost = escape[np.searchsorted(now, ctx)] + self._upto(k - 1, ctx % self.base ** max(0, k - 1), s)
+            for lang, (at, s, c) in enumerate(each):
+                cost[np.searchsorted(pairs, now[at] * self.base + s), lang] = -np.log2(c / total[lang][at])
+            self.levels.append((now, escape, pairs, cost.astype(np.float32)))
+
+    def _upto(self, k: int, ctx: np.ndarray, s: np.ndarray) -> np.ndarray:
+        """Costs of symbols after contexts of k symbols, by the levels there are."""
+        out, left = np.zeros((len(s), self.langs)), np.arange(len(s))
+        for level in range(k, -1, -1):
+            now, escape, pairs, cost = self.levels[level]
+            own = ctx[left] % self.base**level
+            key = own * self.base + s[left]
+            at = np.minimum(np.searchsorted(pairs, key), len(pairs) - 1)
+            hit = pairs[at] == key
+            out[left[hit]] += cost[at[hit]]
+            left, own = left[~hit], own[~hit]
+            at = np.minimum(np.searchsorted(now, own), len(now) - 1)
+            out[left] += escape[at] * (now[at] == own)[:, None]
+        out[left] += 8.0
+        return out
+
+    def of(self, ctx: np.ndarray, s: np.ndarray) -> np.ndarray:
+        return self._upto(self.order, ctx, s)
+
+
 @lru_cache(1)
 def coder(model: Model) -> Coder:
     """This process's tables."""
@@ -174,7 +224,8 @@ def predict(text: Column, model: Model) -> Column:
     @F.pandas_udf("lang string, score double")
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         own = coder(model) if model.languages else None
-        for texts in batches:
+
+        def told_by(texts: pd.Series) -> pd.DataFrame:
             lang, score = np.full(len(texts), UNKNOWN, object), np.zeros(len(texts))
             told = [i for i, t in enumerate(texts) if t is not None and own is not None and has_letter(t)]
             values = texts.tolist()
@@ -183,7 +234,9 @@ def predict(text: Column, model: Model) -> Column:
                 bits = own.lengths([values[i].encode("utf-8", "surrogatepass") for i in some])
                 lang[some] = np.array(model.languages, object)[bits.argmin(1)]
                 score[some] = 1 / np.exp2(np.maximum(bits.min(1, keepdims=True) - bits, -1000)).sum(1)
-            yield pd.DataFrame({"lang": lang, "score": score})
+            return pd.DataFrame({"lang": lang, "score": score})
+
+        yield from trimmed(map(told_by, batches))
 
     return of(text)
 
@@ -193,21 +246,23 @@ def remainder(id_: Column, folds: int = 5) -> Column:
     return F.crc32(id_.cast("string").cast("binary")) % folds
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = 400, longest: int = 1 << 16, languages: int = 64, order: int = 3) -> Model:
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = 400, longest: int = 1 << 16, languages: int = 256, total_mb: int = 64, order: int = 3) -> Model:
     """A model from a bounded sample of labelled rows.
 
-    The bound: about ``rows`` rows of at most ``longest`` bytes for each of the ``languages`` most
-    frequent languages, chosen by a hash of their ids; equal texts count once. Rows with null
-    text or language are not used. An empty table gives a model without languages.
+    The bound: about ``rows`` rows, of at most ``longest`` bytes each, for each of the ``languages``
+    most frequent languages, and some ``total_mb`` MB in all, of which each language has an equal
+    part; rows are chosen by a hash of their ids and texts, and equal texts count once. Languages
+    beyond that number, or of which every text is longer, are not learned. Rows with null text or
+    language are not used. An empty table gives a model without languages.
     """
     labelled = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).where("text IS NOT NULL AND lang IS NOT NULL")
     short = labelled.where(F.octet_length("text") <= longest)
-    found = short.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()
+    found = short.groupBy("lang").agg(F.count("*").alias("count"), F.sum(F.octet_length("text").cast("long")).alias("bytes")).orderBy(F.desc("count"), "lang").limit(languages).collect()
     if not found:
         return Model((), order, START, (), 1)
-    share = F.lit(0.0)
-    for r in found:
-        share = F.when(F.col("lang") == r["lang"], F.lit(min(1.0, 1.2 * rows / r["count"]))).otherwise(share)
+    part = (total_mb << 20) / len(found)
+    shares = [(r["lang"], min(1.0, 1.2 * rows / r["count"], max(1.0 / r["count"], part / max(1, r["bytes"])))) for r in found]
+    share = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in shares for x in pair]), F.col("lang")), F.lit(0.0))
     spot = F.xxhash64(F.coalesce("id", F.lit("")), "text").bitwiseAND(F.lit((1 << 32) - 1)) / F.lit(float(1 << 32))
     texts: dict[str, dict[str, None]] = {r["lang"]: {} for r in found}
     for r in sorted(short.withColumn("spot", spot).where(F.col("spot") < share).select("lang", "text", "spot").collect(), key=lambda r: (r["lang"], r["spot"], r["text"])):

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import byte_chars
-from .common import stored
+from .common import free, stored, trimmed
 
 CAPACITY = 2048
 #: Pieces that one task packs, about; a task holds only its open sequences, whatever it gets.
@@ -95,7 +95,7 @@ def token_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                     rows, held = [], 0
             yield made(rows)
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, piece int, start long, length long, ids binary")
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(lambda batches: trimmed(run(batches)), f"id {kind}, piece int, start long, length long, ids binary")
 
 
 class SumOfSquares:

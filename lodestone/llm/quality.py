@@ -155,7 +155,7 @@ def fit(rows: DataFrame, groups: int, share: float = 0.75, steps: int = 4) -> Da
     middle = rows.groupBy("grp").agg(*[F.percentile_approx(x[i], 0.5).alias(f"m{i}") for i in range(P)])
     spread = rows.join(hint(middle), "grp").groupBy("grp").agg(*[F.first(f"m{i}").alias(f"m{i}") for i in range(P)], *[F.percentile_approx(F.abs(x[i] - F.col(f"m{i}")), 0.5).alias(f"d{i}") for i in range(P)])
     now = spread.select("grp", *[f"m{i}" for i in range(P)], *[(F.sqrt(F.pow(1.4826 * F.col(f"d{i}"), 2) + FLOORS[i] ** 2) if i == j else F.lit(0.0)).alias(f"l{i}{j}") for i in range(P) for j in range(i + 1)])
-    now = stored(now, "mcd")
+    now = stored(now, "mcd", groups)
     raw = share / chi2_cdf(chi2_quantile(share, P), P + 2)
     edge = chi2_quantile(0.975, P)
     sums = [c for c in ["n", *[f"s{i}" for i in range(P)], *[f"s{i}{j}" for i in range(P) for j in range(i + 1)]]]
@@ -167,12 +167,12 @@ def fit(rows: DataFrame, groups: int, share: float = 0.75, steps: int = 4) -> Da
         ordered = W.partitionBy("grp").orderBy("step")
         below = F.coalesce(F.sum("n").over(ordered.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
         taken = parts.withColumn("below", below).withColumn("all", F.sum("n").over(W.partitionBy("grp"))).where(F.col("below") < F.ceil(share * F.col("all")))
-        now = stored(_factored(taken.groupBy("grp").agg(*[F.sum(c).alias(c) for c in sums]), raw), "mcd")
+        now = stored(_factored(taken.groupBy("grp").agg(*[F.sum(c).alias(c) for c in sums]), raw), "mcd", groups)
     g = F.col("g")
     at = rows.join(hint(now.select("grp", F.struct(*[c for c in now.columns if c != "grp"]).alias("g"))), "grp")
     near = at.where(_distance(x, g) <= edge).groupBy("grp").agg(*_sums())
     final = _factored(near, 0.975 / chi2_cdf(edge, P + 2))
-    return stored(final.unionByName(now.join(final.select("grp"), "grp", "left_anti")), "mcd")
+    return stored(final.unionByName(now.join(final.select("grp"), "grp", "left_anti")), "mcd", groups)
 
 
 def grouped(measured: DataFrame, lang_col: str, source_col: str, quality: str, least: int) -> tuple[DataFrame, int]:
@@ -183,7 +183,7 @@ def grouped(measured: DataFrame, lang_col: str, source_col: str, quality: str, l
     pools = counts.where(~own).groupBy("lang").agg(F.sum("count").alias("pool"))
     named = counts.join(pools, "lang", "left")
     grp = F.when(own, F.concat(F.lit("="), F.col("key"))).when(F.col("pool") >= least, F.concat(F.lit("~"), F.col("lang"))).otherwise(F.lit("*"))
-    table = stored(named.select("key", grp.alias("grp")), "groups")
+    table = stored(named.select("key", grp.alias("grp")), "groups", 1 << 17)
     return table, table.count()
 
 
@@ -192,7 +192,7 @@ def _key(lang_col: str, source_col: str) -> Column:
     return F.concat(part(lang_col), part(source_col))
 
 
-def judge(measured: DataFrame, lang_col: str = "lang", source_col: str = "source", quality: str = "_quality", to: str = "_kept", least: int = 100, tail: float = 1e-9) -> DataFrame:
+def judge(measured: DataFrame, lang_col: str = "lang", source_col: str = "source", quality: str = "_quality", to: str = "_kept", least: int = 100, tail: float = 1e-7) -> DataFrame:
     """``measured`` with a boolean column ``to``: false for rows that fail the base rules or are outliers.
 
     Rows that pass the base rules are fitted by language and source (nulls being values of their
@@ -208,7 +208,7 @@ def judge(measured: DataFrame, lang_col: str = "lang", source_col: str = "source
     models = fit(rows, n)
     by_key = table.join(models, "grp").drop("grp")
     k, g = free(measured, "_k"), free(measured, "_g")
-    packed = stored(by_key.select(F.col("key").alias(k), F.struct(*[c for c in by_key.columns if c != "key"]).alias(g)), "models")
+    packed = stored(by_key.select(F.col("key").alias(k), F.struct(*[c for c in by_key.columns if c != "key"]).alias(g)), "models", n)
     joined = measured.withColumn(k, _key(lang_col, source_col)).join(hint(packed), k, "left")
     ok = ~q["base_failed"] & F.coalesce(_distance(x, F.col(g)) <= chi2_quantile(1 - tail, P), F.lit(True))
     return joined.withColumn(to, ok).drop(k, g)

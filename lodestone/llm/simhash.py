@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, free, stored
+from .common import discard, files_for, free, stored, trimmed
 from .graph import components
 
 BITS = 64
@@ -78,8 +78,7 @@ def fingerprint(text: Column, width: int = 3, seed: int = 42) -> Column:
 
     @F.pandas_udf("long")
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            yield pd.Series(simhashes(iter(texts), width, seed).astype(np.int64))
+        yield from trimmed(pd.Series(simhashes(iter(texts), width, seed).astype(np.int64)) for texts in batches)
 
     return of(text)
 
@@ -137,15 +136,17 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def grouped(marked: DataFrame, radius: int = 2) -> DataFrame:
     """(id, fp, component) of rows (id, fp), whose table should be stored, as it is read three times."""
     fps = marked.groupBy("fp").agg(F.min("id").alias("least"))
-    roots = stored(components(links(fps, radius)), "roots")
+    n = marked.count()
+    roots = components(links(fps, radius), n)
     of = fps.join(roots, fps.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     smallest = of.groupBy("root").agg(F.min("least").alias("component"))
     labels = of.join(smallest, "root").select("fp", "component")
-    return marked.join(labels, "fp").select("id", "fp", "component")
+    return marked.join(labels, "fp").select("id", "fp", "component").coalesce(files_for(marked.sparkSession, n))
 
 
-#: Near copies are sought by so many bands of so many least hashes: of pairs as alike as 0.8, one in 8 million shares no band.
-BANDS, ROWS = 40, 5
+#: Near copies are sought by so many bands of so many least hashes: of pairs as alike as 0.8, one in 130,000 shares no
+#: band; of pairs as alike as 0.3, as texts with a long passage in common, one in 90 shares one.
+BANDS, ROWS = 50, 7
 #: Members of larger buckets, with what links there are already counted as one group, are compared where they share two bands.
 CROWD = 64
 #: Tables of up to so many row ids are broadcast; larger ones are joined by shuffle.
@@ -208,52 +209,91 @@ def _few(ids: DataFrame) -> DataFrame:
     return F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
 
 
-def alike(pairs: DataFrame, texts: DataFrame, width: int, likeness: float, seed: int) -> DataFrame:
-    """Those of the pairs (a, b) of row ids whose texts, from (row, text), have a Jaccard likeness of ``likeness`` or more of their sets of shingles."""
+def sets_of(texts: DataFrame, ids: DataFrame, width: int, seed: int) -> DataFrame:
+    """(row, s): the sets of shingles, made anew from whole texts (row, text), of the rows in the stored table ``ids``; stored."""
 
     @F.pandas_udf("array<long>")
     def shingles(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for some in batches:
-            yield pd.Series([shingle_set(t, width, seed).astype(np.int64) for t in some])
+        yield from trimmed(pd.Series([shingle_set(t, width, seed).astype(np.int64) for t in some]) for some in batches)
 
-    spark = pairs.sparkSession
-    tried = stored(pairs, "tried")
-    ends = stored(tried.select(F.explode(F.array("a", "b")).alias("row")).distinct(), "ends")
-    sets = stored(texts.join(_few(ends), "row", "left_semi").select("row", shingles(F.col("text")).alias("s")), "sets")
+    return stored(texts.join(_few(ids), "row", "left_semi").select("row", shingles(F.col("text")).alias("s")), "sets")
+
+
+def alike(tried: DataFrame, sets: DataFrame, likeness: float) -> DataFrame:
+    """Those of the pairs (a, b) of row ids, a stored table, whose sets (row, s) have a Jaccard likeness of ``likeness`` or more; stored."""
     both = tried.join(sets.select(F.col("row").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("row").alias("b"), F.col("s").alias("sb")), "b")
     common = F.size(F.array_intersect("sa", "sb"))
-    found = stored(both.where(common / (F.size("sa") + F.size("sb") - common) >= likeness).select("a", "b"), "links")
-    discard(spark, tried, ends, sets)
-    return found
+    linked = both.where(common / (F.size("sa") + F.size("sb") - common) >= likeness).select("a", "b")
+    # Sets are joined in all partitions; what is found is dealt to few files afterwards.
+    return stored(linked.repartition(files_for(tried.sparkSession, tried.count())), "links")
+
+
+#: Shingles are told apart by how many of the sets hold them: from each of these numbers up to the next.
+HOLDERS = (2, 4, 16, 64)
+
+
+def shared_counts(sets: DataFrame) -> DataFrame:
+    """(node, c0, c1, ..): of the shingles of each set (row, s), how many are in so many of the sets, by HOLDERS.
+
+    Shingles that no other set has count nowhere; sets of such alone are left out.
+    """
+    each = sets.select("row", F.explode("s").alias("s"))
+    holders = each.groupBy("s").agg(F.count("*").alias("h")).where("h > 1")
+    ends = (*HOLDERS[1:], 1 << 62)
+    return each.join(holders, "s").groupBy(F.col("row").alias("node")).agg(*[F.count_if((F.col("h") >= lo) & (F.col("h") < hi)).alias(f"c{i}") for i, (lo, hi) in enumerate(zip(HOLDERS, ends, strict=True))])
 
 
 def similar(texts: DataFrame, nodes: DataFrame, width: int, likeness: float, seed: int) -> DataFrame:
     """(node, root) of the nodes (node, n, keys) that have others of ``likeness`` or more: groups linked by such pairs.
 
     Nodes of one key make a bucket. Each is first held against one of its bucket, another for
-    each band, so that large groups of copies become one group at the cost of their size; then all
-    pairs of a bucket that are in different groups yet are held against each other. Only pairs
-    that reach the exact likeness are linked. ``texts`` has (row, text), rows naming nodes.
+    each band, so that large groups of copies become one group at the cost of their size. Then the
+    pairs of a bucket that are in different groups yet are held against each other, but for those
+    that their sizes and counts of shingles rule out: of the shingles that so many such nodes hold,
+    two sets have no more in common than the lesser of their counts, and of those that one alone
+    holds, none. Only pairs that reach the exact likeness are linked. ``texts`` has (row, text), rows naming nodes.
     """
     spark = texts.sparkSession
+    # A node is in some few buckets that it shares; that sets the number of files alone.
+    some = 8 * nodes.count()
     each = nodes.select("node", "n", F.explode("keys").alias("key"))
-    firsts = each.groupBy("key").agg(F.min_by(F.struct("node", "n"), F.xxhash64("node", "key")).alias("first"), F.count("*").alias("size")).where("size > 1").drop("size")
-    buckets = stored(each.join(firsts, "key"), "buckets")
+    shared = each.groupBy("key").count().where("count > 1").select("key")
+    buckets = stored(each.join(shared, "key"), "buckets", some)
+    firsts = buckets.groupBy("key").agg(F.min_by(F.struct("node", "n"), F.xxhash64("node", "key")).alias("first"))
     ratio = lambda x, y: F.least(x, y) / F.greatest(x, y) >= likeness
-    stars = buckets.where((F.col("node") != F.col("first.node")) & ratio(F.col("n"), F.col("first.n")))
-    begun = alike(stars.select(F.least("node", "first.node").alias("a"), F.greatest("node", "first.node").alias("b")).distinct(), texts, width, likeness, seed)
-    rooted = buckets.select("key", "node", "n").join(components(begun), "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("root"))
+    stars = buckets.join(firsts, "key").where((F.col("node") != F.col("first.node")) & ratio(F.col("n"), F.col("first.n")))
+    tried = stored(stars.select(F.least("node", "first.node").alias("a"), F.greatest("node", "first.node").alias("b")).distinct(), "tried", some)
+    ends = stored(tried.select(F.explode(F.array("a", "b")).alias("row")).distinct(), "ends", 2 * tried.count())
+    sets = sets_of(texts, ends, width, seed)
+    begun = alike(tried, sets, likeness)
+    discard(spark, tried, ends, sets)
+
+    at_first = components(begun, begun.count())
+    rooted = buckets.join(at_first, "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("root"))
     mixed = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("size")).where("lo < hi").select("key", "size")
-    still = stored(rooted.join(mixed, "key"), "open")
-    own = still.where(F.col("size") <= CROWD).select("key", F.col("key").alias("other"), "node", "n", "root")
-    crowd = still.where(F.col("size") > CROWD)
-    twice = crowd.select("key", "node", "n", "root").join(crowd.select(F.col("key").alias("other"), "node"), "node").where("key < other").select("key", "other", "node", "n", "root")
+    still = stored(rooted.join(mixed, "key"), "open", some)
+    discard(spark, buckets, at_first)
+    ends = stored(still.select(F.col("node").alias("row")).distinct(), "ends", still.count())
+    sets = sets_of(texts, ends, width, seed)
+    counts = [f"c{i}" for i in range(len(HOLDERS))]
+    enough = sum((F.col(c) for c in counts[1:]), F.col(counts[0])) / F.col("n") >= likeness
+    most = stored(still.join(shared_counts(sets), "node").where(enough), "open", still.count())
+
+    columns = ["key", "other", "node", "n", "root", *counts]
+    own = most.where(F.col("size") <= CROWD).withColumn("other", F.col("key")).select(*columns)
+    crowd = most.where(F.col("size") > CROWD)
+    twice = crowd.join(crowd.select(F.col("key").alias("other"), "node"), "node").where("key < other").select(*columns)
     dealt = own.unionByName(twice)
-    others = dealt.select("key", "other", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"))
-    met = dealt.join(others, ["key", "other"]).where((F.col("node") < F.col("b")) & (F.col("root") != F.col("rb")) & ratio(F.col("n"), F.col("nb")))
-    rest = alike(met.select(F.col("node").alias("a"), "b").distinct(), texts, width, likeness, seed)
-    discard(spark, buckets, still)
-    return stored(components(begun.unionByName(rest)), "roots")
+    others = dealt.select("key", "other", *[F.col(c).alias(f"{c}_b") for c in columns[2:]])
+    common = sum((F.least(c, f"{c}_b") for c in counts[1:]), F.least(counts[0], f"{counts[0]}_b"))
+    can = (F.col("node") < F.col("node_b")) & (F.col("root") != F.col("root_b")) & ratio(F.col("n"), F.col("n_b")) & (common / (F.col("n") + F.col("n_b") - common) >= likeness)
+    met = dealt.join(others, (dealt["key"] == others["key"]) & (dealt["other"] == others["other"]) & can)
+    tried = stored(met.select(F.col("node").alias("a"), F.col("node_b").alias("b")).distinct(), "tried", some)
+    rest = alike(tried, sets, likeness)
+    links = begun.unionByName(rest)
+    roots = components(links, links.count())
+    discard(spark, still, most, tried, ends, sets, begun, rest)
+    return roots
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, likeness: float = 0.8, seed: int = 42) -> DataFrame:
@@ -267,18 +307,19 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     @F.pandas_udf("digest binary, n int, keys array<long>")
     def marks(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for texts in batches:
-            yield set_marks(iter(texts), width, seed)
+        yield from trimmed(set_marks(iter(texts), width, seed) for texts in batches)
 
     mark, row = free(docs, "_mark"), free(docs, "_row")
     full = stored(docs.withColumns({mark: marks(F.col(text_col)), row: F.monotonically_increasing_id()}), "marked")
+    n = full.count()
     rank = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col(row).alias("row"))
     of = full.select(F.col(f"{mark}.digest").alias("digest"), rank.alias("rank"), F.col(row).alias("row"))
     least = of.groupBy("digest").agg(F.min("rank").alias("rank")).select("rank", F.col("rank.row").alias("node"))
-    nodes = stored(least.join(full.select(F.col(row).alias("node"), f"{mark}.n", f"{mark}.keys"), "node"), "nodes")
+    nodes = stored(least.join(full.select(F.col(row).alias("node"), f"{mark}.n", f"{mark}.keys"), "node"), "nodes", n)
     roots = similar(full.select(F.col(row).alias("row"), F.col(text_col).alias("text")), nodes, width, likeness, seed)
     first = nodes.select("node", "rank").join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("rank").alias("rank")).select(F.col("rank.row").alias(row))
-    gone = stored(full.select(row).join(first, row, "left_anti"), "gone")
+    gone = stored(full.select(row).join(first, row, "left_anti"), "gone", n)
+    discard(docs.sparkSession, nodes, roots)
     return full.join(_few(gone), row, "left_anti").select(*docs.columns)
 
 

@@ -35,9 +35,11 @@ def plain_bits(texts, data, order):
     return total
 
 
+@pytest.mark.parametrize("table_mb", [0, 64])
 @pytest.mark.parametrize("order", [1, 2, 3])
-def test_code_lengths(order, monkeypatch):
-    model = L.train(TEXTS, order)
+def test_code_lengths(order, table_mb, monkeypatch):
+    model = L.train(TEXTS, order, table_mb)
+    assert isinstance(L.Coder(model).costs, L.Dense if table_mb else L.Sparse)
     data = [b"", b"abra", "the é mat".encode(), bytes(range(256)), b"zz the cat" * 3]
     got = L.Coder(model).lengths(data)
     for i, d in enumerate(data):
@@ -47,10 +49,19 @@ def test_code_lengths(order, monkeypatch):
     assert L.Coder(model).lengths(data) == pytest.approx(got, rel=1e-6)
 
 
-def test_pruned_trees_still_code():
-    model = L.train({"aa": ["abcdefgh" * 40], "bb": ["hgfedcba" * 40]}, 3, 0)
-    got = L.Coder(model).lengths([b"abcdefgh" * 9, b"hgfedcba" * 9])
-    assert got[0].argmin() == 0 and got[1].argmin() == 1
+def test_many_languages_without_a_table_lose_no_context():
+    texts = {f"l{i:02}": [f"{chr(97 + i % 26)}{chr(98 + i % 7)} the {i * 37} cat" * 3, chr(200 + i) * 4] for i in range(40)}
+    data = [b"the cat 37", "ÈÉ ab".encode(), texts["l07"][0].encode()]
+    small, large = (L.Coder(L.train(texts, 3, mb)).lengths(data) for mb in (0, 512))
+    assert small == pytest.approx(large, rel=1e-4)
+    assert small[2].argmin() == 7
+
+
+def test_the_sample_is_bounded_in_bytes(spark):
+    rows = [(i, f"{i} " + "abc " * 5000, "aa", None) for i in range(60)] + [(100 + i, f"xyz {i}", "bb", None) for i in range(60)]
+    model = L.fit(docs(spark, rows), total_mb=1, order=1)
+    seen = {lang: int(of[0][1].sum()) for lang, of in zip(model.languages, model.counts, strict=True)}
+    assert 0 < seen["aa"] < 1.5 * (1 << 19) and seen["bb"] == sum(len(f"xyz {i}") for i in range(60))
 
 
 def docs(spark, rows):
