@@ -279,15 +279,21 @@ def similar(texts: DataFrame, nodes: DataFrame, width: int, likeness: float, see
     enough = sum((F.col(c) for c in counts[1:]), F.col(counts[0])) / F.col("n") >= likeness
     most = stored(still.join(shared_counts(sets), "node").where(enough), "open", still.count())
 
-    columns = ["key", "other", "node", "n", "root", *counts]
+    # A pair is met once: in the first bucket that it shares, and of crowded ones in the first two.
+    of_size = lambda fits: F.sort_array(F.collect_list(F.when(fits, F.col("key"))))
+    lists = most.groupBy("node").agg(of_size(F.col("size") <= CROWD).alias("single"), of_size(F.col("size") > CROWD).alias("crowded"))
+    most = most.join(lists, "node")
+    columns = ["key", "other", "node", "n", "root", "single", "crowded", *counts]
     own = most.where(F.col("size") <= CROWD).withColumn("other", F.col("key")).select(*columns)
     crowd = most.where(F.col("size") > CROWD)
     twice = crowd.join(crowd.select(F.col("key").alias("other"), "node"), "node").where("key < other").select(*columns)
     dealt = own.unionByName(twice)
     others = dealt.select("key", "other", *[F.col(c).alias(f"{c}_b") for c in columns[2:]])
     common = sum((F.least(c, f"{c}_b") for c in counts[1:]), F.least(counts[0], f"{counts[0]}_b"))
+    both = F.array_intersect("crowded", "crowded_b")
+    once = F.when(F.col("dealt.key") == F.col("dealt.other"), F.get(F.array_intersect("single", "single_b"), F.lit(0)) == F.col("dealt.key")).otherwise((F.get(both, F.lit(0)) == F.col("dealt.key")) & (F.get(both, F.lit(1)) == F.col("dealt.other")))
     can = (F.col("node") < F.col("node_b")) & (F.col("root") != F.col("root_b")) & ratio(F.col("n"), F.col("n_b")) & (common / (F.col("n") + F.col("n_b") - common) >= likeness)
-    met = dealt.join(others, (dealt["key"] == others["key"]) & (dealt["other"] == others["other"]) & can)
+    met = dealt.alias("dealt").join(others.alias("others"), (F.col("dealt.key") == F.col("others.key")) & (F.col("dealt.other") == F.col("others.other")) & can & once)
     tried = stored(met.select(F.col("node").alias("a"), F.col("node_b").alias("b")).distinct(), "tried", some)
     rest = alike(tried, sets, likeness)
     links = begun.unionByName(rest)

@@ -124,8 +124,10 @@ def test_similar_texts_of_any_likeness(spark):
     assert len(kept) <= len(groups) + 3
 
 
-def test_one_of_each_is_exact(spark):
+@pytest.mark.parametrize("crowd", [2, 64])
+def test_one_of_each_is_exact(spark, crowd, monkeypatch):
     """Groups linked by pairs of a likeness of 0.8 or more, as brute force over all pairs finds them, around a passage that half of the texts share."""
+    monkeypatch.setattr(S, "CROWD", crowd)
     rng = random.Random(3)
     passage = [f"p{i}" for i in range(40)]
     rows = []
