@@ -10,9 +10,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import let
+
 BEGIN, END = "<|im_start|>", "<|im_end|>\n"
 #: Control strings of this and other common templates, without their first character.
-CONTROL = r"/?s>|/?INST\]|/?SYS>|\|[A-Za-z_]+\|>"
+CONTROL = r"/?s>|/?INST\]|/?SYS>|\|[A-Za-z0-9_-]+\|>"
 TRAINED = "assistant"
 
 
@@ -52,7 +54,7 @@ LAYOUTS = (
 
 
 def fingerprint_of(paths) -> str:
-    """The hash that names a set of nested field paths, whatever their order."""
+    """The hash that names a set of nested field paths, whatever their order; ``[]`` stands for the elements of a list."""
     return hashlib.sha256("\n".join(sorted(set(paths))).encode()).hexdigest()[:16]
 
 
@@ -95,51 +97,80 @@ def _turns(record: Column, layout: Layout) -> Column:
     return F.filter(F.array(*made), lambda t: t.isNotNull())
 
 
-def json_fingerprint(text: Column) -> Column:
-    """The fingerprint of a JSON record: the hash of the leaf paths of its own schema; null if it is no JSON object.
+def _known(layouts) -> list[str]:
+    """The paths that layouts name, and those of their lists where these are empty."""
+    return sorted({p for x in layouts for p in x.paths} | {f"{x.messages[0]}[]" for x in layouts if x.messages})
+
+
+def json_paths(text: Column, lists: list[str]) -> Column:
+    """The field paths of a JSON record, ``field`` or ``list[].field``, or ``list[]`` for an empty list; null if it is no JSON object.
 
-    The schema is that of a variant, in which types are replaced by nothing and nesting spelled
-    out: a list's elements are told by ``[]``. Null and absent fields differ, as paths do.
+    A field's value is text, which is read as a list of objects just for the names in ``lists``, so
+    that texts may look like lists, names may hold any character and values any nesting. Null and absent fields differ, as paths do.
     """
-    tree = F.schema_of_variant(F.try_parse_json(text))
-    # OBJECT<a: STRING, b: ARRAY<OBJECT<c: BIGINT>>>: two levels are spelled out, which all layouts keep to.
-    inner = F.regexp_extract(tree, r"(?s)^OBJECT<(.*)>$", 1)
-    lists = F.regexp_replace(inner, r"(`?[\w.-]+`?): ARRAY<OBJECT<([^<>]*)>>", "$1@[$2]")
-    parts = F.filter(F.split(F.regexp_replace(lists, r",(?=[^\[\]]*(?:\[|$))", "\u0001"), "\u0001"), lambda p: F.trim(p) != "")
+    fields = F.from_json(text, "map<string,string>")
+
+    def leaves(entry: Column) -> Column:
+        name, value = entry["key"], entry["value"]
+        listed = name.isin(*lists) & value.rlike(r"^\s*\[")
+        items = F.when(listed, F.from_json(value, "array<map<string,string>>"))
+        inner = F.array_distinct(F.flatten(F.transform(F.filter(items, lambda x: x.isNotNull()), F.map_keys)))
+        empty = F.concat(name, F.lit("[]"))
+        paths = F.when(F.size(inner) > 0, F.transform(inner, lambda k: F.concat(empty, F.lit("."), k)))
+        return F.coalesce(paths, F.when(listed & value.rlike(r"^\s*\[\s*\]\s*$"), F.array(empty)), F.array(name))
+
+    return F.array_distinct(F.flatten(F.transform(F.map_entries(fields), leaves)))
+
 
-    def leaf(part: Column) -> Column:
-        part = F.trim(part)
-        name = F.regexp_replace(F.regexp_extract(part, r"^([^:@]*)", 1), "`", "")
-        fields = F.transform(F.split(F.regexp_extract(part, r"(?s)@\[(.*)\]$", 1), ","), lambda f: F.concat(name, F.lit("[]."), F.regexp_replace(F.regexp_extract(F.trim(f), r"^([^:]*)", 1), "`", "")))
-        return F.when(part.contains("@["), fields).otherwise(F.array(name))
+def json_fingerprint(text: Column, layouts=LAYOUTS) -> Column:
+    """The fingerprint of a JSON record: the hash of those of its paths that some layout names; null if there are none.
 
-    leaves = F.array_sort(F.array_distinct(F.flatten(F.transform(parts, leaf))))
-    return F.when(inner != "", F.substring(F.sha2(F.array_join(leaves, "\n").cast("binary"), 256), 1, 16))
+    Other fields, as ids and metadata, leave it alone.
+    """
+    return let(F.array_sort(F.array_intersect(json_paths(text, [x.messages[0] for x in layouts if x.messages]), F.lit(_known(layouts)))), lambda found: F.when(F.size(found) > 0, F.substring(F.sha2(F.array_join(found, "\n").cast("binary"), 256), 1, 16)))
+
+
+def mappings(layouts=LAYOUTS) -> dict[str, Layout]:
+    """The layout for each fingerprint that records may have: of its own paths, of an empty list, and of its own with those of one other.
+
+    Of two layouts in one record that with more paths is taken, the first of equals.
+    """
+    out: dict[str, Layout] = {}
+    for x in layouts:
+        out.setdefault(x.fingerprint, x)
+        if x.messages:
+            out.setdefault(fingerprint_of([f"{x.messages[0]}[]"]), x)
+    for x in sorted(layouts, key=lambda x: -len(x.paths)):
+        for y in layouts:
+            for more in (y.paths, *([[f"{y.messages[0]}[]"]] if y.messages else []), *([p] for p in y.paths)):
+                out.setdefault(fingerprint_of([*x.paths, *more]), x)
+    return out
 
 
 def to_turns(records: DataFrame, id_col: str, record_col: str, layouts=LAYOUTS) -> DataFrame:
     """(id, turn, role, text, layout): a row for each turn of each record.
 
     ``record_col`` is a struct, whose layout is known from the column's type, or a string of JSON,
-    whose layout is known from each row's own fingerprint. Records of no known layout, broken
-    JSON and nulls give one row with null turn, role and text and layout null, so that none is lost.
+    whose layout is known from each row's own fingerprint; fields that no layout names are passed
+    over. Records of no known layout, broken JSON and nulls give one row with null turn, role, text
+    and layout, and empty lists one with the layout alone, so that no record is lost.
     """
     kind = records.schema[record_col].dataType
     id_, record = F.col(id_col), F.col(record_col)
+    by_print, known = mappings(layouts), set(_known(layouts))
     if isinstance(kind, T.StructType):
-        own = fingerprint_of(paths_of(kind))
-        found = [x for x in layouts if x.fingerprint == own]
-        turns = F.when(record.isNotNull(), _turns(record, found[0])) if found else None
-        name = F.when(record.isNotNull(), F.lit(found[0].name)) if found else F.lit(None).cast("string")
-        base = records.select(id_.alias("id"), name.alias("layout"), (turns if found else F.lit(None).cast("array<struct<role:string,text:string>>")).alias("turns"))
+        found = by_print.get(fingerprint_of(known & set(paths_of(kind))))
+        turns = F.when(record.isNotNull(), _turns(record, found)) if found else F.lit(None).cast("array<struct<role:string,text:string>>")
+        name = F.when(record.isNotNull(), F.lit(found.name)) if found else F.lit(None).cast("string")
+        base = records.select(id_.alias("id"), name.alias("layout"), turns.alias("turns"))
     else:
-        base = records.select(id_.alias("id"), record.alias("_record"), json_fingerprint(record).alias("_print"))
-        name = turns = None
+        names = F.create_map(*[F.lit(x) for print_, layout in by_print.items() for x in (print_, layout.name)])
+        base = records.select(id_.alias("id"), record.alias("record"), F.try_element_at(names, json_fingerprint(record, layouts)).alias("layout"))
+        turns = None
         for x in layouts:
-            hit, made = F.col("_print") == x.fingerprint, _turns(F.from_json("_record", _shape(x)), x)
-            name = F.when(hit, F.lit(x.name)) if name is None else name.when(hit, F.lit(x.name))
+            hit, made = F.col("layout") == x.name, _turns(F.from_json("record", _shape(x)), x)
             turns = F.when(hit, made) if turns is None else turns.when(hit, made)
-        base = base.select("id", name.alias("layout"), turns.alias("turns"))
+        base = base.select("id", "layout", turns.alias("turns"))
     return base.select("id", "layout", F.posexplode_outer("turns").alias("turn", "t")).select("id", F.col("turn").cast("long").alias("turn"), "t.role", "t.text", "layout")
 
 
@@ -203,14 +234,22 @@ def trained_text(formatted: Column, loss: Column) -> Column:
 
 
 def op5_chat(spark, sf_dir: str) -> DataFrame:
-    """Contract of operator 5 over all of ``conversations`` and one more, of another layout.
+    """Contract of operator 5 over all of ``conversations`` and one more.
 
-    Each row of the table is a record with one message, of the layout its type shows; the added
-    conversation is a JSON record of prompt and completion.
+    Each row of the table becomes a JSON record with one message, of one of three layouts by its
+    conversation, with fields that no layout names; the added conversation is a record of prompt
+    and completion. Each is told by its own fingerprint.
     """
     table = spark.read.parquet(f"{sf_dir}/conversations.parquet")
-    message = F.struct(F.array(F.struct(F.col("role"), F.col("text"))).alias("messages"))
-    rows = to_turns(table.select(F.struct("conv_id", "turn").alias("at"), message.alias("record")), "at", "record").select(F.col("id.conv_id").alias("id"), F.col("id.turn").alias("turn"), "role", "text")
+    role, text, way = F.coalesce("role", F.lit("")), F.coalesce("text", F.lit("")), F.pmod(F.coalesce("conv_id", F.lit(0)), F.lit(3))
+    records = [
+        F.to_json(F.struct(F.col("conv_id").alias("id"), F.array(F.struct(role.alias("role"), text.alias("content"))).alias("messages"))),
+        F.to_json(F.struct(F.array(F.struct(role.alias("from"), text.alias("value"), F.struct(F.col("turn").alias("at")).alias("meta"))).alias("conversations"))),
+        F.to_json(F.struct(F.array(F.struct(role.alias("role"), text.alias("text"))).alias("messages"), F.array("turn").alias("turns"))),
+    ]
+    record = F.when(way == 0, records[0]).when(way == 1, records[1]).otherwise(records[2])
+    told = to_turns(table.select(F.struct("conv_id", "turn").alias("at"), record.alias("record")), "at", "record")
+    rows = told.select(F.col("id.conv_id").alias("id"), F.col("id.turn").alias("turn"), "role", "text")
     odd = "</s>[INST] ok [/INST]"
     extra = spark.range(1).select(F.lit(-1).cast("long").alias("id"), F.to_json(F.struct(F.lit(odd).alias("prompt"), F.lit(odd).alias("completion"))).alias("record"))
     made = format_turns(rows.unionByName(to_turns(extra, "id", "record").select("id", "turn", "role", "text")))
@@ -233,7 +272,7 @@ WITH turns AS (
   UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]'
   UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'
 ), sized AS (
-  SELECT *, 12 + length(role) + 1 + length(regexp_replace(text, '([<\[])(\\*)(/?s>|/?INST\]|/?SYS>|\|[A-Za-z_]+\|>)', '\1\\\2\3', 'g')) + 11 AS chars
+  SELECT *, 12 + length(role) + 1 + length(regexp_replace(text, '([<\[])(\\*)(/?s>|/?INST\]|/?SYS>|\|[A-Za-z0-9_-]+\|>)', '\1\\\2\3', 'g')) + 11 AS chars
   FROM turns
 )
 SELECT conv_id, count(*)::BIGINT AS n_turns,

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -79,6 +80,7 @@ def blocks(page: str) -> list[Block]:
     """
     out: list[Block] = []
     stack: list[tuple[str, bool, bool, int]] = []  # name, hidden, furniture, article
+    held: Counter[str] = Counter()  # open elements by name, so that stray end tags cost no search
     hidden = furniture = False
     article = articles = links = 0
     now = Block()
@@ -99,6 +101,15 @@ def blocks(page: str) -> list[Block]:
         nonlocal hidden, furniture, article
         hidden, furniture, article = stack[-1][1:] if stack else (False, False, 0)
 
+    def leave(name: str) -> None:
+        """Close the innermost open element of that name, if there is one, with all that is open in it."""
+        if held[name]:
+            while True:
+                gone = stack.pop()[0]
+                held[gone] -= 1
+                if gone == name:
+                    return
+
     at = 0
     while found := TOKEN.search(page, at):
         add(page[at : found.start()])
@@ -111,9 +122,8 @@ def blocks(page: str) -> list[Block]:
                 close()
             if name == "a":
                 links = max(0, links - 1)
-            elif any(x[0] == name for x in stack):
-                while stack.pop()[0] != name:
-                    pass
+            elif held[name]:
+                leave(name)
                 state()
             if name in BLOCKS:
                 now.furniture, now.article = furniture, article
@@ -124,7 +134,10 @@ def blocks(page: str) -> list[Block]:
             links = 0
         if name == "a":
             links += 1
-        elif name not in VOID and not (name == "p" and _close_p(stack)):
+        elif name not in VOID:
+            if name == "p":  # paragraphs don't nest
+                leave(name)
+                state()
             named = {k.lower(): a or b or c for k, a, b, c in NAMED.findall(rest)} if rest.strip() else {}
             inside = article
             if name in ARTICLE and not article:
@@ -135,6 +148,7 @@ def blocks(page: str) -> list[Block]:
             gone = name in HIDDEN or "hidden" in named or named.get("aria-hidden", "").lower() == "true"
             if not rest.rstrip().endswith("/"):
                 stack.append((name, hidden or gone, furniture or odd, inside))
+                held[name] += 1
                 state()
         if name in BLOCKS:
             now.furniture, now.article = furniture, article
@@ -142,7 +156,7 @@ def blocks(page: str) -> list[Block]:
             end = RAW[name].search(page, at)
             at = end.end() if end else len(page)
             if stack and stack[-1][0] == name:
-                stack.pop()
+                leave(name)
                 state()
             now.furniture, now.article = furniture, article
     add(page[at:])
@@ -150,14 +164,6 @@ def blocks(page: str) -> list[Block]:
     return out
 
 
-def _close_p(stack: list[tuple[str, bool, bool, int]]) -> bool:
-    """Paragraphs don't nest: drop an open one, with what is open in it. Always false."""
-    if any(x[0] == "p" for x in stack):
-        while stack.pop()[0] != "p":
-            pass
-    return False
-
-
 def decide(block: Block, text: str, rules: Rules) -> bool | None:
     """First pass: true for main text, false for furniture, None if it can't be told from the block."""
     if block.furniture:

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import byte_chars
-from .common import free, stored, trimmed
+from .common import stored, trimmed
 
 CAPACITY = 2048
 #: Pieces that one task packs, about; a task holds only its open sequences, whatever it gets.
@@ -135,13 +135,14 @@ class SumOfSquares:
 
 
 def place(pieces: DataFrame, capacity: int = CAPACITY, shard: int = SHARD) -> DataFrame:
-    """``pieces`` (with a column ``length``, 1 to capacity) with their sequence_id and offset.
+    """``pieces`` (with a column ``length``, 1 to capacity) with their sequence_id and offset, in place of any such columns.
 
     Rows are dealt by the hash of all their columns to so many shards that each has about
     ``shard`` rows, and each shard is packed on its own, longest first; what is lost is the few
     open sequences that each shard ends with. The order within a shard is fixed by all columns,
     so that a task that runs again gives the same result. ``pieces`` is read twice.
     """
+    pieces = pieces.drop("sequence_id", "offset")
     n = max(1, -(-pieces.count() // shard))
     names = [c for c in pieces.columns if c != "length"]
     dealt = pieces.repartition(n, F.xxhash64(*pieces.columns)).sortWithinPartitions(F.desc("length"), *names)

@@ -146,7 +146,8 @@ def fit(rows: DataFrame, groups: int, share: float = 0.75, steps: int = 4) -> Da
     group, the ``share`` of rows with the least distances, and their mean and covariance; it never
     raises the covariance's determinant. Distances are ranked in steps of 2**(1/STEPS), ties
     within a step going in together, so that a step moves only sums for each group and step: no
-    group is gathered. At last the rows within the 97.5 % quantile are taken, as usual.
+    group is gathered. ``steps`` steps are taken, which is some more than it takes until rows hardly
+    change sides. At last the rows within the 97.5 % quantile are taken, as usual.
     Covariances are scaled to be consistent for normal data; floors on the diagonal keep
     statistics that hardly vary from making them singular.
     """

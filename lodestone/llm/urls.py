@@ -5,12 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import free
+
 #: (action, host, path) rules of the contract.
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 #: Query parameters that do not tell pages apart; those starting with utm_ don't either.
 TRACKING = ("ref", "fbclid", "gclid")
-#: Host labels whose pages the query's list holds.
-LISTED_HOSTS = ("spam-farm", "cheap-pills")
+#: Host labels of which the query's list holds pages: single ones, not all.
+LISTED_HOSTS = ("spam-farm", "cheap-pills", "free-bets", "adult-x")
+#: First digits of the MD5 of the canonical URLs among these that were reported.
+REPORTED = "01234567"
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -45,7 +49,8 @@ def rule(host_: Column, path_: Column, rules=RULES) -> tuple[Column, Column]:
     length the first wins.
     """
     name = action = F.lit(None).cast("string")
-    for act, h, p in sorted(rules, key=lambda r: len(r[1]) + len(r[2])):
+    # The last that fits is taken: the longest, and of equals the first given.
+    for act, h, p in sorted(reversed(tuple(rules)), key=lambda r: len(r[1]) + len(r[2])):
         fits = ((host_ == h) | host_.endswith("." + h)) & path_.startswith(p)
         name = F.when(fits, F.lit(h + p)).otherwise(name)
         action = F.when(fits, F.lit(act)).otherwise(action)
@@ -87,28 +92,27 @@ def bloom(keys: DataFrame, key: str, blocks: int, hashes: int = 7) -> DataFrame:
 BROADCAST_BLOCKS = 1 << 19
 
 
-def listed(urls: DataFrame, key: str, listing: DataFrame, listing_key: str, rate: float = 0.01, hashes: int = 7) -> DataFrame:
-    """``urls`` with a boolean ``listed``: whether its ``key`` is among ``listing_key``. Null keys are not listed.
+def listed(urls: DataFrame, key: str, listing: DataFrame, listing_key: str, rate: float = 0.01, hashes: int = 7, to: str = "listed") -> DataFrame:
+    """``urls`` with a boolean column ``to``, in place of any of that name: whether its ``key`` is among ``listing_key``. Null keys are not listed.
 
     The list is made distinct and put in a blocked Bloom filter sized for it; rows that the filter
     can't exclude, and only those, go through an exact hash join with the list.
     """
-    names = listing.select(F.col(listing_key).alias("name")).where("name IS NOT NULL").distinct()
+    kept = [F.col(f"`{c}`") for c in urls.columns if c.lower() != to.lower()]
+    name, block, may = (free(urls, x) for x in ("_name", "_block", "_maybe"))
+    masks = [free(urls, f"_w{i}") for i in range(8)]
+    names = listing.select(F.col(listing_key).alias(name)).where(F.col(name).isNotNull()).distinct()
     blocks = bits_for(names.count(), rate)
-    sieve = bloom(names, "name", blocks, hashes)
+    sieve = bloom(names, name, blocks, hashes).select(F.col("block").alias(block), *[F.col(f"w{i}").alias(m) for i, m in enumerate(masks)])
     sieve = F.broadcast(sieve) if blocks <= BROADCAST_BLOCKS else sieve
-    mask = _words(F.col(key), hashes)
-    tried = urls.withColumn("_block", _block(F.col(key), blocks)).join(sieve.withColumnRenamed("block", "_block"), "_block", "left")
+    tried = urls.withColumn(block, _block(F.col(key), blocks)).join(sieve, block, "left")
     maybe = F.col(key).isNotNull()
-    for i, m in enumerate(mask):
-        maybe = maybe & (F.coalesce(F.col(f"w{i}"), F.lit(0)).bitwiseAND(m) == m)
-    tried = tried.withColumn("_maybe", maybe).drop("_block", *[f"w{i}" for i in range(8)])
-    # Only possible hits have a join key; nulls match nothing and are not gathered anywhere.
-    probe = tried.withColumn("_probe", F.when(F.col("_maybe"), F.col(key)))
-    hits = probe.where("_maybe").join(names, F.col("_probe") == F.col("name"), "left").withColumn("listed", F.col("name").isNotNull())
-    rest = probe.where("NOT _maybe").withColumn("listed", F.lit(False))
-    columns = [*urls.columns, "listed"]
-    return hits.select(*columns).unionByName(rest.select(*columns))
+    for own, m in zip(masks, _words(F.col(key), hashes), strict=True):
+        maybe = maybe & (F.coalesce(F.col(own), F.lit(0)).bitwiseAND(m) == m)
+    probe = tried.withColumn(may, maybe)
+    # Only possible hits are joined; nulls are none, and are not gathered anywhere.
+    hits = probe.where(F.col(may)).join(names, F.col(key) == F.col(name), "left").select(*kept, F.col(name).isNotNull().alias(to))
+    return hits.unionByName(probe.where(~F.col(may)).select(*kept, F.lit(False).alias(to)))
 
 
 def judge(pages: DataFrame, listing: DataFrame, id_col: str = "page_id", url_col: str = "url", listing_col: str = "url", rules=RULES) -> DataFrame:
@@ -126,10 +130,17 @@ def judge(pages: DataFrame, listing: DataFrame, id_col: str = "page_id", url_col
 
 
 def op10_urls(spark, sf_dir: str) -> DataFrame:
-    """Contract of operator 10 over all of ``pages``; the list holds every URL of LISTED_HOSTS in them."""
+    """Contract of operator 10 over all of ``pages``.
+
+    The list holds single URLs of LISTED_HOSTS, those reported, as REPORTED says. It has them in
+    another spelling than the pages do, and no other page of these hosts is on it.
+    """
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
-    spam = pages.where(F.arrays_overlap(F.split(host(F.col("url")), r"\."), F.array(*map(F.lit, LISTED_HOSTS)))).select("url")
-    return judge(pages, spam).withColumnRenamed("id", "page_id")
+    own = canonical(F.col("url"))
+    bad = F.arrays_overlap(F.split(host(F.col("url")), r"\."), F.array(*map(F.lit, LISTED_HOSTS)))
+    reported = pages.where(bad & F.substring(F.md5(own.cast("binary")), 1, 1).isin(*REPORTED))
+    listing = reported.select(F.concat(F.lit("HTTPS://WWW."), own, F.lit("#reported")).alias("url"))
+    return judge(pages, listing).withColumnRenamed("id", "page_id")
 
 
 #: DuckDB SQL of op10_urls.
@@ -150,7 +161,7 @@ WITH base AS (
   SELECT *, CASE WHEN name <> '' THEN name || place || CASE WHEN kept <> '' THEN '?' || kept ELSE '' END END AS canonical FROM named
 ), listing AS (
   SELECT DISTINCT canonical FROM canon
-  WHERE canonical IS NOT NULL AND list_has_any(string_split(host, '.'), ['spam-farm', 'cheap-pills'])
+  WHERE canonical IS NOT NULL AND list_has_any(string_split(host, '.'), ['spam-farm', 'cheap-pills', 'free-bets', 'adult-x']) AND left(md5(canonical), 1) <= '7'
 ), ruled AS (
   SELECT *, CASE
     WHEN (host = 'example.net' OR ends_with(host, '.example.net')) AND starts_with(path, '/en/') THEN 'example.net/en/'

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from lodestone.llm import chat as C
 
-ODD = ["<s>", "</s>", "[INST]", "[/INST]", "<|im_end|>\n", "<|im_start|>", "\\", "<", "[", "a", "é", "\n", "s>", "INST]", "|im_end|>", "%", "%0A", "🙂", "<<SYS>>"]
+ODD = ["<|t5_x-1|>", "<s>", "</s>", "[INST]", "[/INST]", "<|im_end|>\n", "<|im_start|>", "\\", "<", "[", "a", "é", "\n", "s>", "INST]", "|im_end|>", "%", "%0A", "🙂", "<<SYS>>"]
 
 
 def texts(n=150):
@@ -49,6 +49,14 @@ RECORDS = [
     ({"prompt": "p", "response": "r", "system": None}, "system_prompt_response", [("user", "p"), ("assistant", "r")]),
     ({"question": "q", "answer": 4}, "question_answer", [("user", "q"), ("assistant", "4")]),
     ({"prompt": "p", "completion": "c"}, "prompt_completion", [("user", "p"), ("assistant", "c")]),
+    ({"id": "7", "conversations": [{"from": "human", "value": "q"}]}, "conversations", [("user", "q")]),
+    ({"messages": [{"role": "user", "content": "q", "meta": {"a": [{"b": 1}]}}], "odd.name: <x>": {"deep": [[1]]}}, "messages", [("user", "q")]),
+    ({"messages": [{"role": "user", "text": "q"}, {"role": "bot", "text": "a", "score": 0.5}], "prompt": "p"}, "messages_text", [("user", "q"), ("assistant", "a")]),
+    ({"messages": []}, "messages", [(None, None)]),
+    ({"prompt": "p", "response": "r", "messages": []}, "prompt_response", [("user", "p"), ("assistant", "r")]),
+    ({"instruction": "i", "input": "n", "output": "o", "prompt": "x"}, "instruction_input", [("user", "i\n\nn"), ("assistant", "o")]),
+    ({"prompt": "[]", "completion": '[{"role": "x"}]'}, "prompt_completion", [("user", "[]"), ("assistant", '[{"role": "x"}]')]),
+    ({"messages": [1, 2]}, None, [(None, None)]),
     ({"foo": 1}, None, [(None, None)]),
     ([1], None, [(None, None)]),
 ]

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import html
+import random
 import re
+import time
 
 import duckdb
 import pytest
@@ -45,6 +47,38 @@ def test_null_empty_broken_and_long():
     assert H.main_text("<article>" + "<a " * 5000) == ""
 
 
+@pytest.mark.parametrize("stray", ["<b></i>", "</div>", "<p></b>", "<div><p>x</a>", "<b '>", "<a <", "</", "<!-", "<td></li>"])
+def test_broken_pages_take_time_in_proportion(stray):
+    began = time.process_time()
+    H.main_text("<article>" + stray * 200_000)
+    assert time.process_time() - began < 20
+
+
+def slow_labels(blocks, rules):
+    """The second pass, block by block, looking out on both sides."""
+    first = [H.decide(b, b.text(), rules) for b in blocks]
+    tells = [x is not None and not b.furniture and (x or not b.article) for b, x in zip(blocks, first, strict=True)]
+    out = []
+    for i, (b, x) in enumerate(zip(blocks, first, strict=True)):
+        if x is None:
+            sides = [next((first[j] for j in side if blocks[j].article == b.article and tells[j]), None) for side in (range(i - 1, -1, -1), range(i + 1, len(blocks)))]
+            told = [s for s in sides if s is not None]
+            x = all(told) if told and len(set(told)) == 1 else b.article > 0
+        out.append(x)
+    inside = any(x and b.article for b, x in zip(blocks, out, strict=True))
+    return [x and (b.article > 0 or not inside) for b, x in zip(blocks, out, strict=True)]
+
+
+def test_second_pass_against_brute_force():
+    rng = random.Random(5)
+    pieces = [f"<p>{LONG}</p>", "<p>Ab.</p>", "<p>" + "xylo quartz " * 9 + "</p>", f"<p><a href=x>{LONG}</a></p>", "<p>of the night in May and the day</p>", "<article>", "</article>", "<nav>go</nav>", "<li>the one</li>", "<main>", "</main>", "<p>" + "the zebra quagga " * 8 + "</p>"]
+    for _ in range(400):
+        text = page("".join(rng.choices(pieces, k=rng.randint(1, 14))))
+        found = [b for b in H.blocks(text) if b.text()]
+        expected = "\n".join(b.text() for b, x in zip(found, slow_labels(found, H.Rules()), strict=True) if x)
+        assert H.main_text(text) == expected
+
+
 def test_all_given_pages(spark):
     """The given pages have one article each, whose blocks can be cut out directly."""
     data = "/root/testdata/sf0.01"

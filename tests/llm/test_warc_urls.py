@@ -76,6 +76,25 @@ def test_rules_and_listing(spark):
     assert U.judge(pages.limit(0), listing).count() == 0
 
 
+def test_of_rules_of_one_length_the_first_wins(spark):
+    page = spark.createDataFrame([("a.com", "/x/1")], "h string, p string")
+    for rules in ([("block", "a.com", "/x/"), ("allow", "a.com", "/x/")], [("allow", "com", "/x/1"), ("block", "a.com", "/x")]):
+        name, action = U.rule(F.col("h"), F.col("p"), rules)
+        assert tuple(page.select(name, action).first()) == (rules[0][1] + rules[0][2], rules[0][0])
+
+
+def test_clashing_names_stay_and_old_verdicts_go(spark):
+    rows = spark.createDataFrame([("k1", "n", "w", 1, True, True), ("k2", "n", "w", 2, True, None), (None, "n", "w", 3, True, None)], "key string, name string, w0 string, block int, _maybe boolean, Listed boolean")
+    got = U.listed(rows, "key", spark.createDataFrame([("k2",)], "w0 string"), "w0")
+    assert got.columns == ["key", "name", "w0", "block", "_maybe", "listed"]
+    assert sorted(map(tuple, got.collect()), key=str) == [("k1", "n", "w", 1, True, False), ("k2", "n", "w", 2, True, True), (None, "n", "w", 3, True, False)]
+
+
+def test_the_list_is_no_test_of_hosts(spark):
+    got = U.op10_urls(spark, "/root/testdata/sf0.1").where(F.arrays_overlap(F.split("host", r"\."), F.array(*map(F.lit, U.LISTED_HOSTS)))).groupBy("listed").count().collect()
+    assert {r["listed"] for r in got} == {True, False} and min(r["count"] for r in got) > 5
+
+
 @pytest.mark.parametrize("rate", [0.01, 0.999])
 def test_listed_against_a_set(spark, rate):
     """Even a filter that passes nearly everything gives exact results."""
