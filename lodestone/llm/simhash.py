@@ -147,8 +147,6 @@ def grouped(marked: DataFrame, radius: int = 2) -> DataFrame:
 #: Near copies are sought by so many bands of so many least hashes: of pairs as alike as 0.8, one in 130,000 shares no
 #: band; of pairs as alike as 0.3, as texts with a long passage in common, one in 90 shares one.
 BANDS, ROWS = 50, 7
-#: Members of larger buckets, with what links there are already counted as one group, are compared where they share two bands.
-CROWD = 64
 #: Tables of up to so many row ids are broadcast; larger ones are joined by shuffle.
 BROADCAST_ROWS = 2_000_000
 _FACTORS = [(0x9E3779B97F4A7C15 * (2 * k + 1) ^ 0xD6E8FEB86659FD93 * (k + 1) << 1) & (1 << 64) - 1 | 1 for k in range(BANDS * ROWS)]
@@ -270,7 +268,7 @@ def similar(texts: DataFrame, nodes: DataFrame, width: int, likeness: float, see
 
     at_first = components(begun, begun.count())
     rooted = buckets.join(at_first, "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("root"))
-    mixed = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("size")).where("lo < hi").select("key", "size")
+    mixed = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
     still = stored(rooted.join(mixed, "key"), "open", some)
     discard(spark, buckets, at_first)
     ends = stored(still.select(F.col("node").alias("row")).distinct(), "ends", still.count())
@@ -279,21 +277,17 @@ def similar(texts: DataFrame, nodes: DataFrame, width: int, likeness: float, see
     enough = sum((F.col(c) for c in counts[1:]), F.col(counts[0])) / F.col("n") >= likeness
     most = stored(still.join(shared_counts(sets), "node").where(enough), "open", still.count())
 
-    # A pair is met once: in the first bucket that it shares, and of crowded ones in the first two.
-    of_size = lambda fits: F.sort_array(F.collect_list(F.when(fits, F.col("key"))))
-    lists = most.groupBy("node").agg(of_size(F.col("size") <= CROWD).alias("single"), of_size(F.col("size") > CROWD).alias("crowded"))
-    most = most.join(lists, "node")
-    columns = ["key", "other", "node", "n", "root", "single", "crowded", *counts]
-    own = most.where(F.col("size") <= CROWD).withColumn("other", F.col("key")).select(*columns)
-    crowd = most.where(F.col("size") > CROWD)
-    twice = crowd.join(crowd.select(F.col("key").alias("other"), "node"), "node").where("key < other").select(*columns)
-    dealt = own.unionByName(twice)
-    others = dealt.select("key", "other", *[F.col(c).alias(f"{c}_b") for c in columns[2:]])
+    # Only nodes outside a bucket's largest group meet the rest of it; a pair is met once, in the first bucket that it shares.
+    sizes = most.groupBy("key", "root").count().groupBy("key").agg(F.max_by("root", F.struct("count", "root")).alias("major"))
+    lists = most.groupBy("node").agg(F.sort_array(F.collect_list("key")).alias("keys"))
+    dealt = most.join(lists, "node").join(sizes, "key").select("key", "node", "n", "root", "major", "keys", *counts)
+    others = dealt.drop("major").select("key", *[F.col(c).alias(f"{c}_b") for c in ("node", "n", "root", "keys", *counts)])
     common = sum((F.least(c, f"{c}_b") for c in counts[1:]), F.least(counts[0], f"{counts[0]}_b"))
-    both = F.array_intersect("crowded", "crowded_b")
-    once = F.when(F.col("dealt.key") == F.col("dealt.other"), F.get(F.array_intersect("single", "single_b"), F.lit(0)) == F.col("dealt.key")).otherwise((F.get(both, F.lit(0)) == F.col("dealt.key")) & (F.get(both, F.lit(1)) == F.col("dealt.other")))
-    can = (F.col("node") < F.col("node_b")) & (F.col("root") != F.col("root_b")) & ratio(F.col("n"), F.col("n_b")) & (common / (F.col("n") + F.col("n_b") - common) >= likeness)
-    met = dealt.alias("dealt").join(others.alias("others"), (F.col("dealt.key") == F.col("others.key")) & (F.col("dealt.other") == F.col("others.other")) & can & once)
+    apart = (F.col("root") != F.col("root_b")) & ((F.col("root_b") == F.col("major")) | (F.col("node") < F.col("node_b")))
+    can = apart & ratio(F.col("n"), F.col("n_b")) & (common / (F.col("n") + F.col("n_b") - common) >= likeness)
+    once = F.get(F.array_intersect("keys", "keys_b"), F.lit(0)) == F.col("mine.key")
+    met = dealt.where("root <> major").alias("mine").join(others.alias("rest"), (F.col("mine.key") == F.col("rest.key")) & can & once)
+    met = met.select(F.least("node", "node_b").alias("node"), F.greatest("node", "node_b").alias("node_b"))
     tried = stored(met.select(F.col("node").alias("a"), F.col("node_b").alias("b")).distinct(), "tried", some)
     rest = alike(tried, sets, likeness)
     links = begun.unionByName(rest)
