@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+from pathlib import PurePath
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,10 +26,11 @@ class Missing(LookupError):
 
 
 class Service:
-    """The index in one folder."""
+    """The index in one folder, and uploaded photos in another, ``photos``, which is beside it unless given."""
 
-    def __init__(self, spark: SparkSession, index: str, factory=None, settings: Settings = SETTINGS):
+    def __init__(self, spark: SparkSession, index: str, factory=None, settings: Settings = SETTINGS, photos: str | None = None):
         self.spark, self.index, self.factory, self.settings = spark, index, factory, settings
+        self.uploads = (photos or f"{index.rstrip('/')}-photos").rstrip("/")
 
     def photos(self) -> DataFrame:
         return library.open_index(self.spark, self.index)
@@ -52,6 +56,30 @@ class Service:
         library.save(built, self.index)
         return self.summary().join(named.select("photo_id"), "photo_id", "left_semi")
 
+    def upload(self, data: bytes, filename: str | None, created_at: str, photo_id: str | None = None) -> DataFrame:
+        """Store the bytes of an image, in place of an earlier copy of that name, and index it. The summary's row.
+
+        Without a photo id the file's stem names it, or else a random one. A name is checked before
+        the bytes are decoded, and bytes that are no image leave what is stored as it is.
+        """
+        name = self.check_name(photo_id if photo_id is not None else PurePath(filename or "").stem or uuid.uuid4().hex[:8])
+        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
+        came, kept = (jvm.org.apache.hadoop.fs.Path(x) for x in (f"{self.uploads}/incoming/{uuid.uuid4().hex}", f"{self.uploads}/{name}.image"))
+        store = came.getFileSystem(conf)
+        stream = store.create(came, True)
+        try:
+            stream.write(data)
+        finally:
+            stream.close()
+        try:
+            if read_images(self.spark, came.toString()).isEmpty():
+                raise Invalid("unreadable")
+            store.delete(kept, False)
+            store.rename(came, kept)
+        finally:
+            store.delete(came, False)
+        return self.ingest(kept.toString(), created_at, name)
+
     def summary(self) -> DataFrame:
         """(photo_id, total, recognized, unrecognized, rate, created_at) of every photo."""
         photos = self.photos()

@@ -62,3 +62,21 @@ def test_index_query_and_render(spark, photo, by_size, tmp_path):
     service.delete("desk")
     with pytest.raises(Missing):
         service.delete("desk")
+
+
+def test_upload_of_bytes(spark, photo, by_size, tmp_path):
+    service = Service(spark, str(tmp_path / "index"), by_size)
+    data = photo.read_bytes()
+    with pytest.raises(Invalid):
+        service.upload(data, "x.png", "2026-01-01T00:00:00", " ")
+    with pytest.raises(Invalid):
+        service.upload(b"no image", "x.png", "2026-01-01T00:00:00")
+    assert service.upload(data, "in/left.PNG", "2026-01-01T00:00:00").first()["photo_id"] == "left"
+    assert service.upload(data, "in/left.PNG", "2026-01-02T00:00:00", " right ").first()["photo_id"] == "right"
+    unnamed = service.upload(data, None, "2026-01-03T00:00:00").first()["photo_id"]
+    assert len(unnamed) == 8 and service.upload(data, "left", "2026-01-04T00:00:00").first()["created_at"] == "2026-01-04T00:00:00"
+    with pytest.raises(Invalid):
+        service.upload(b"no image", "left.png", "2026-01-05T00:00:00")
+    stored = tmp_path / "index-photos"
+    assert {p.name for p in stored.glob("*.image")} == {"left.image", "right.image", f"{unnamed}.image"} and (stored / "left.image").read_bytes() == data
+    assert {r["photo_id"]: r["total"] for r in service.summary().collect()} == {"left": 3, "right": 3, unnamed: 3}
