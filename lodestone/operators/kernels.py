@@ -289,7 +289,8 @@ def resize(image: np.ndarray, width: int, height: int) -> np.ndarray:
         return image.copy()
     shrink = width * height < w * h
     across, down = _weights(w, width, shrink), _weights(h, height, shrink)
-    out = np.einsum("ij,jkc->ikc", down, np.einsum("ij,kjc->kic", across, image.astype(np.float64)))
+    wide = across @ image.astype(np.float64).reshape(h, w, -1)
+    out = (down @ wide.reshape(h, -1)).reshape(height, *wide.shape[1:])
     return np.clip(np.rint(out), 0, 255).astype(np.uint8)
 
 

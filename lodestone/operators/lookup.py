@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import normalize
@@ -36,15 +35,20 @@ def hits(queries: DataFrame, pieces: DataFrame, query_col: str = "query") -> Dat
     return asked.join(first, "code").select("query", "code", "p.*")
 
 
+def missed(queries: DataFrame, pieces: DataFrame, query_col: str = "query") -> DataFrame:
+    """(query, code) for queries that find nothing, once each time they are asked."""
+    asked = queries.select(F.col(query_col).alias("query"), normalize(F.col(query_col)).alias("code"))
+    return asked.join(recognized(pieces).select("code").distinct(), "code", "left_anti").select("query", "code")
+
+
 def misses(queries: DataFrame, pieces: DataFrame, query_col: str = "query") -> DataFrame:
     """(query, code, photo_id, n, piece_ids) for queries that find nothing: where unrecognized pieces are left.
 
     ``piece_ids`` joins a photo's unrecognized pieces in order, photos without such being left
-    out. Each query without a hit meets each photo, as the answer asks; the rows met are photos, not pieces.
+    out. Each query without a hit meets each photo, as the answer asks, so this is for few
+    queries; for many, take missed() and left_over(), whose answer is the same for all of them.
     """
-    asked = queries.select(F.col(query_col).alias("query"), normalize(F.col(query_col)).alias("code"))
-    lost = asked.join(recognized(pieces).select("code").distinct(), "code", "left_anti")
-    return lost.join(left_over(pieces), how="cross").select("query", "code", "photo_id", "n", "piece_ids")
+    return missed(queries, pieces, query_col).join(left_over(pieces), how="cross").select("query", "code", "photo_id", "n", "piece_ids")
 
 
 def left_over(pieces: DataFrame) -> DataFrame:
@@ -64,7 +68,14 @@ def method_counts(pieces: DataFrame) -> DataFrame:
     return pieces.groupBy("method").agg(F.count("*").alias("n"))
 
 
+def library_totals(stats: DataFrame) -> DataFrame:
+    """One row (photos, total, recognized, unrecognized, rate) over photo_stats(); zeros and a null rate for none."""
+    sums = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("total", "recognized", "unrecognized")]
+    rate = F.when(F.col("total") > 0, F.round(F.col("recognized") / F.col("total"), 4))
+    return stats.agg(F.count("*").alias("photos"), *sums).withColumn("rate", rate)
+
+
 def first_by_position(pieces: DataFrame, code: str) -> DataFrame:
-    """One photo's or library's first piece of a code as given, trimmed and in upper case."""
-    order = W.partitionBy("photo_id").orderBy("piece_ord")
-    return pieces.where(F.col("code") == F.lit(code.strip().upper())).withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
+    """Each photo's first piece of a code as given, trimmed and in upper case: its columns as they are."""
+    found = pieces.where(F.col("code") == F.lit(code.strip().upper()))
+    return found.groupBy("photo_id").agg(F.min_by(F.struct(*found.columns), "piece_ord").alias("p")).select("p.*")

@@ -6,22 +6,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import SETTINGS, Settings
+from ..functions.text import percent
+from .order import running
 
 
 def confidence_distribution(pieces: DataFrame, settings: Settings = SETTINGS) -> DataFrame:
     """(n, low, q25, mid, high, unsure) of recognized pieces' confidences, quartiles by place in sorted order.
 
-    The value at place n // 4 and n // 2 comes from counts of distinct values, so that no task
-    sorts all pieces: confidences have few distinct values next to their number.
+    The values at places n // 4 and n // 2 come from running counts of distinct values, cut into
+    ranges: no task sorts all pieces, or all values.
     """
-    from pyspark.sql import Window as W
-
     hit = pieces.where(F.coalesce("code", F.lit("")) != "")
     counts = hit.groupBy("confidence").agg(F.count("*").alias("c"))
-    upto = W.orderBy("confidence").rowsBetween(W.unboundedPreceding, W.currentRow)
-    runs = counts.select("confidence", "c", F.sum("c").over(upto).alias("upto"), F.sum("c").over(W.partitionBy()).alias("n"))
+    runs = running(counts, "confidence", F.col("c"), "upto")
+    n = counts.agg(F.sum("c").alias("n"))
     at = lambda d: F.min(F.when(F.col("upto") > F.floor(F.col("n") / d), F.col("confidence")))
-    return runs.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.min("confidence").alias("low"), at(4).alias("q25"), at(2).alias("mid"), F.max("confidence").alias("high"), F.coalesce(F.sum(F.when(F.col("confidence") < settings.enough, F.col("c"))), F.lit(0)).alias("unsure"))
+    unsure = F.sum(F.when(F.col("confidence") < settings.enough, F.col("c")))
+    found = runs.join(F.broadcast(n), how="cross").agg(F.sum("c").alias("n"), F.min("confidence").alias("low"), at(4).alias("q25"), at(2).alias("mid"), F.max("confidence").alias("high"), unsure.alias("unsure"))
+    return found.na.fill(0, ["n", "unsure"])
 
 
 def prefix_coverage(pieces: DataFrame) -> DataFrame:
@@ -51,12 +53,16 @@ def tuning_advice(pieces: DataFrame) -> DataFrame:
     return counts.select("photo_id", "total", "conflicts", "sweeps", advice.alias("advice"), ((F.col("total") > 0) & (F.col("hit") < 0.7 * F.col("total"))).alias("low_rate"))
 
 
-def benchmark_report(pieces: DataFrame, seconds: float) -> DataFrame:
-    """One row: totals, rate, given seconds and seconds a piece, methods and sorted codes as JSON."""
-    from ..functions.text import percent
+def benchmark_report(pieces: DataFrame, seconds: float, photo: str | None = None) -> DataFrame:
+    """One row: the photo, totals, rate, given seconds and seconds a piece, methods and sorted codes as JSON.
 
+    The report lists the codes of one photo's pieces, so they meet in one value; nothing else
+    does. Without pieces the rates are 0.
+    """
     total, hit = F.count("*"), F.count_if(F.coalesce("code", F.lit("")) != "")
-    totals = pieces.agg(total.alias("total"), hit.alias("recognized"), F.round(F.try_divide(hit, total), 4).alias("rate"), F.array_sort(F.collect_list("code")).alias("codes"))
-    methods = pieces.groupBy("method").agg(F.count("*").alias("n")).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("method", "n")))).alias("methods"))
-    row = totals.join(methods, how="cross").withColumns({"seconds": F.round(F.lit(seconds), 1), "seconds_per_piece": F.round(F.try_divide(F.lit(seconds), F.col("total")), 3), "shown": percent(F.col("recognized"), F.col("total"))})
-    return row.select(F.to_json(F.struct("total", "recognized", "rate", "shown", "seconds", "seconds_per_piece", "methods", "codes")).alias("report"))
+    by_method = pieces.groupBy("method").agg(total.alias("n"), hit.alias("hit"), F.collect_list(F.nullif("code", F.lit(""))).alias("codes"))
+    methods = F.map_from_entries(F.array_sort(F.collect_list(F.struct("method", "n"))))
+    sums = by_method.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"), F.coalesce(F.sum("hit"), F.lit(0)).alias("recognized"), methods.alias("methods"), F.array_sort(F.flatten(F.collect_list("codes"))).alias("codes"))
+    share = lambda part, digits: F.round(F.coalesce(F.try_divide(part, F.col("total")), F.lit(0.0)), digits)
+    row = sums.withColumns({"photo": F.lit(photo), "rate": share(F.col("recognized"), 4), "shown": percent(F.col("recognized"), F.col("total")), "seconds": F.round(F.lit(float(seconds)), 1), "seconds_per_piece": share(F.lit(float(seconds)), 3)})
+    return row.select(F.to_json(F.struct("photo", "total", "recognized", "rate", "shown", "seconds", "seconds_per_piece", "methods", "codes")).alias("report"))

@@ -27,8 +27,12 @@ def segment(images: DataFrame, settings: Settings = SETTINGS) -> DataFrame:
             for r in batch.itertuples():
                 image = np.frombuffer(r.data, np.uint8).reshape(r.height, r.width, 3)
                 found, rows = kernels.extract_contours(image, settings), []
+                boxes = np.array([kernels.contour_bbox(c) for c in found]).reshape(-1, 4)
                 for i, c in enumerate(found):
-                    crop = kernels.crop_piece(image, c, [o for j, o in enumerate(found) if j != i], settings)
+                    x, y, w, h = boxes[i]
+                    gap = np.abs(2 * (boxes[:, :2] - [x, y]) + boxes[:, 2:] - [w, h]) - boxes[:, 2:] - [w, h]
+                    near = [found[j] for j in np.flatnonzero((gap < 2 * settings.pad).all(1)) if j != i]
+                    crop = kernels.crop_piece(image, c, near, settings)
                     rows.append((r.photo_id, i, *kernels.contour_bbox(c), kernels.contour_area(c), c.tolist(), *crop.shape[:2], crop.tobytes()))
                 yield pd.DataFrame(rows, columns=[f.split()[0] for f in PARTS.split(", ")])
 

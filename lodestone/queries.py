@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from . import adapters as A
 from .config import SETTINGS
 from .functions import costs, geometry, text
-from .operators import lookup, pixels, recognize, report, vocabulary
+from .operators import lookup, neighbours, pixels, recognize, report, vocabulary
 from .operators.resolve import resolve
 from .sources import library
+from .sources.scratch import fresh_folder
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -279,12 +280,7 @@ def contour_bbox(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {A.BOXES}, windows AS (SELECT photo_id, piece_ord, greatest(0, x - 6) AS x0, greatest(0, y - 6) AS y0, least(4000, x + w + 6) AS x1, least(3000, y + h + 6) AS y1 FROM boxes)
 SELECT a.photo_id, a.piece_ord, b.piece_ord AS neighbour FROM windows a JOIN boxes b ON a.photo_id = b.photo_id AND a.piece_ord <> b.piece_ord AND b.x < x1 AND b.y < y1 AND b.x + b.w > x0 AND b.y + b.h > y0""")
 def overlap_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = A.boxes(spark, sf_dir)
-    window = geometry.crop_window(*(F.col(c) for c in "xywh"), F.lit(4000), F.lit(3000))
-    a = b.select("photo_id", "piece_ord", window.alias("c")).select("photo_id", "piece_ord", "c.x0", "c.y0", "c.x1", "c.y1")
-    other = b.withColumnRenamed("piece_ord", "neighbour")
-    met = geometry.overlaps(*(F.col(c) for c in ("x", "y", "w", "h", "x0", "y0", "x1", "y1")))
-    return a.join(other, "photo_id").where(met & (F.col("piece_ord") != F.col("neighbour"))).select("photo_id", "piece_ord", "neighbour")
+    return neighbours.in_windows(A.boxes(spark, sf_dir), 4000, 3000)
 
 
 @query(f"""WITH {A.BOXES}, windows AS (SELECT piece_ord, greatest(0, x - 6) AS x0, greatest(0, y - 6) AS y0, least(4000, x + w + 6) AS x1, least(3000, y + h + 6) AS y1 FROM boxes)
@@ -485,3 +481,65 @@ SELECT 'p' || n AS photo_id, row_number() OVER (PARTITION BY n ORDER BY cy - r,
 def segment_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order, boxes and crop sizes of segment_photos(): of each disc the single pixels at its four ends are smoothed away."""
     return segment_photos(spark, sf_dir).drop("area")
+
+
+FLAT = "photo_id, row_number() OVER (PARTITION BY photo_id ORDER BY piece_ord) - 1 AS piece_ord, piece_id, (piece_ord % 900)::INT AS x, (piece_ord % 700)::INT AS y, (piece_ord % 90)::INT AS w, (piece_ord % 80)::INT AS h, (piece_ord % 1000)::DOUBLE AS area, code, confidence, raw_text, method, angle"
+
+
+@query(f"WITH {A.RESOLVED}, named AS (SELECT photo_id, row_number() OVER (ORDER BY photo_id) AS photo_ord FROM (SELECT DISTINCT photo_id FROM resolved)) SELECT r.*, photo_ord FROM (SELECT {FLAT} FROM resolved) r JOIN named USING (photo_id)")
+def library_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Photos exported to JSON files in order of their names, and the folder loaded."""
+    folder = fresh_folder(spark, "json")
+    library.export_json(photos_of(resolve(A.pieces(spark, sf_dir))).orderBy("photo_id"), folder)
+    photos = library.load(spark, folder)
+    return library.flat(photos).drop("contour").join(photos.select("photo_id", "photo_ord"), "photo_id")
+
+
+@query(f"WITH {A.RESOLVED}, new AS (SELECT * FROM pieces WHERE photo_id IN ('p1', 'p3') AND piece_ord % 2 = 0) SELECT {FLAT} FROM (FROM resolved WHERE photo_id NOT IN ('p1', 'p2', 'p3') UNION ALL BY NAME FROM new)")
+def library_save(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Photos saved to an index on disk, two of them saved again in another version, one deleted."""
+    folder = fresh_folder(spark, "index")
+    library.save(photos_of(resolve(A.pieces(spark, sf_dir))), folder)
+    again = A.pieces(spark, sf_dir).where(F.col("photo_id").isin("p1", "p3") & (F.col("piece_ord") % 2 == 0))
+    library.save(photos_of(again), folder)
+    library.delete(spark, folder, "p2")
+    return library.flat(library.open_index(spark, folder)).drop("contour")
+
+
+@query(f"WITH {A.PIECES} SELECT photo_id, piece_ord, piece_id, code, confidence, method FROM (SELECT *, row_number() OVER (PARTITION BY photo_id ORDER BY piece_ord) AS rn FROM pieces WHERE code = 'A-101') WHERE rn = 1")
+def find_code(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each photo's first piece of one code."""
+    return lookup.first_by_position(A.pieces(spark, sf_dir).drop("raw_text", "angle"), " a-101 ")
+
+
+@query(f"WITH {A.PIECES} SELECT count(DISTINCT photo_id)::BIGINT AS photos, count(*)::BIGINT AS total, count(*) FILTER (WHERE code <> '')::BIGINT AS recognized, count(*) FILTER (WHERE coalesce(code, '') = '')::BIGINT AS unrecognized, round(count(*) FILTER (WHERE code <> '') / count(*), 4) AS rate FROM pieces")
+def library_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = A.pieces(spark, sf_dir)
+    return lookup.library_totals(lookup.photo_stats(rows.select("photo_id").distinct(), rows))
+
+
+@query(f"""WITH {A.RESOLVED}, m AS (SELECT method, count(*) AS n FROM resolved GROUP BY 1)
+SELECT count(*)::BIGINT AS total, count(*) FILTER (WHERE code <> '')::BIGINT AS recognized, round(count(*) FILTER (WHERE code <> '') / count(*), 4) AS rate, 12.3::DOUBLE AS seconds, round(12.34 / count(*), 3) AS seconds_per_piece,
+  array_to_string(list_sort(list(code) FILTER (WHERE code <> '')), ' ') AS codes, (SELECT string_agg(method || '=' || n, ' ' ORDER BY method) FROM m) AS methods, format('{{:.1f}}%', 100.0::DOUBLE * count(*) FILTER (WHERE code <> '') / count(*)) AS shown FROM resolved""")
+def benchmark_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The JSON report of a run of 12.34 seconds, read back."""
+    kinds = "total bigint, recognized bigint, rate double, shown string, seconds double, seconds_per_piece double, methods map<string, bigint>, codes array<string>"
+    made = report.benchmark_report(resolve(A.pieces(spark, sf_dir)), 12.34).select(F.from_json("report", kinds).alias("r")).select("r.*")
+    entries = F.transform(F.array_sort(F.map_entries("methods")), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
+    return made.withColumns({"codes": F.array_join("codes", " "), "methods": F.array_join(entries, " ")})
+
+
+@query("SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d 08:30:00') AS shown FROM orders")
+def display_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    iso = F.date_format("o_orderdate", "yyyy-MM-dd'T'08:30:00")
+    return spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", text.display_date(iso).alias("shown"))
+
+
+@query("""WITH photos AS (SELECT DISTINCT event_id // 500 AS n FROM events), discs AS (SELECT n, k, 55 + 100 * (k % 3) AS cx, 65 + 110 * (k // 3) AS cy, 20 + (n * 7 + k * 5) % 12 AS r FROM photos, range(6) t(k))
+SELECT 'p' || n AS photo_id, 'crops/00' || k AS name, 512 AS height, 512 AS width FROM discs
+UNION ALL SELECT 'p' || n, name, 240, 320 FROM photos, (SELECT unnest(['01_mask', '02_blobs', '03_split']) AS name)""")
+def calibration_pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names and sizes of the calibration pictures of the drawn photos."""
+    from .plans.calibrate import artefacts
+
+    return artefacts(drawn(spark, sf_dir)).drop("png")

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.order import running
 from ..schema import PHOTO
 
 
@@ -42,7 +43,7 @@ def load(spark: SparkSession, path: str) -> DataFrame:
     good = scan_json(spark, path).where("NOT bad")
     by_id = W.partitionBy("photo_id")
     kept = good.withColumns({"place": F.min("file").over(by_id), "last": F.max("file").over(by_id)}).where("file = last")
-    ranked = kept.select("photo_id", F.row_number().over(W.orderBy("place")).cast("long").alias("photo_ord"))
+    ranked = running(kept.select("photo_id", "place"), "place", F.lit(1), "photo_ord").drop("place")
     return kept.drop("file", "bad", "place", "last").join(ranked, "photo_id")
 
 
@@ -75,6 +76,11 @@ def from_json(texts: DataFrame) -> DataFrame:
     return texts.select(F.from_json("json", PHOTO).alias("r")).select("r.*")
 
 
+def export_json(photos: DataFrame, path: str) -> None:
+    """A JSON file for each photo, as scan_json() reads them; null fields are written."""
+    photos.select(*PHOTO.names).write.option("maxRecordsPerFile", 1).option("ignoreNullFields", "false").json(path)
+
+
 def save(photos: DataFrame, path: str) -> None:
     """Write photos to the index; those already there with the same ids are replaced, others stay."""
     photos.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("photo_id").parquet(path)
