@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -107,28 +108,35 @@ class Matcher:
         return (code if best <= min(cap, s.per_digit * (len(code) - 2)) else None), best
 
 
-def snap_distinct(texts: DataFrame, text_col: str = "text", cap: int | None = None, settings: Settings = SETTINGS) -> DataFrame:
-    """(text, code, cost) for each distinct text of a column of normalised texts; nulls are left out.
+def _matched(texts: DataFrame, limit: int, settings: Settings) -> DataFrame:
+    """The rows, whose last column is ``text`` (normalised, without nulls), with ``code`` and ``cost``.
 
-    Codes are told by a rule; only other texts are matched, each once, against the vocabulary.
-    ``cost`` is in hundredths and null where infinite; ``code`` is null where there is no match,
-    where two are too close to tell, or where the best costs more than its length allows.
+    Codes are told by looking them up; other texts are matched, each once a worker as far as its
+    cache goes, against the vocabulary.
     """
-    limit = settings.max_distance if cap is None else cap
-    found = texts.select(F.col(text_col).alias("text")).where("text IS NOT NULL").distinct()
-    valid = is_valid(F.col("text"), settings)
-    exact = found.where(valid).select("text", F.col("text").alias("code"), F.lit(0).cast("long").alias("cost"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Matcher(settings)
+        codes, near = set(own.codes), lru_cache(100_000)(lambda t: own.snap(t, limit))
         for batch in batches:
-            values = batch.column(0).to_pylist()
-            got = [own.snap(t, limit) for t in values]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([c for c, _ in got], pa.string()), pa.array([d for _, d in got], pa.int64())], ["text", "code", "cost"])
+            got = [(t, 0) if t in codes else near(t) for t in batch.column("text").to_pylist()]
+            added = [pa.array([c for c, _ in got], pa.string()), pa.array([d for _, d in got], pa.int64())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *added], [*batch.schema.names, "code", "cost"])
 
+    spark = texts.sparkSession
     # Few bytes but much work for each: dealt over all cores, which adaptive merging of small partitions would undo.
-    odd = found.where(~valid).repartition(max(texts.sparkSession.sparkContext.defaultParallelism, int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-    return exact.unionByName(odd.mapInArrow(run, "text string, code string, cost long"))
+    dealt = texts.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    return dealt.mapInArrow(run, ", ".join([*(f"`{c}` string" for c in texts.columns), "code string", "cost long"]))
+
+
+def snap_distinct(texts: DataFrame, text_col: str = "text", cap: int | None = None, settings: Settings = SETTINGS) -> DataFrame:
+    """(text, code, cost) for each distinct text of a column of normalised texts; nulls are left out.
+
+    ``cost`` is in hundredths and null where infinite; ``code`` is null where there is no match,
+    where two are too close to tell, or where the best costs more than its length allows.
+    """
+    found = texts.select(F.col(text_col).alias("text")).where("text IS NOT NULL").distinct()
+    return _matched(found, settings.max_distance if cap is None else cap, settings)
 
 
 def snap(rows: DataFrame, raw_col: str, cap: int | None = None, settings: Settings = SETTINGS) -> DataFrame:
@@ -136,13 +144,9 @@ def snap(rows: DataFrame, raw_col: str, cap: int | None = None, settings: Settin
 
     Each distinct raw text is normalised and matched once and joined back by itself: by broadcast
     where adaptive execution finds the texts few, else by a shuffle, in which a text that many
-    rows share is left to adaptive skew handling.
+    rows share is left to adaptive skew handling. ``rows`` is read twice.
     """
     raw = free(rows, "_raw")
     named = rows.select(F.col(raw_col).alias(raw)).where(F.col(raw).isNotNull()).distinct().withColumn("text", normalize(F.col(raw)))
-    valid = is_valid(F.col("text"), settings)
-    done = named.where(valid).withColumns({"snapped": F.col("text"), "cost": F.lit(0).cast("long")})
-    rest = named.where(~valid)
-    table = snap_distinct(rest, "text", cap, settings).withColumnRenamed("code", "snapped")
-    known = done.unionByName(rest.join(table, "text", "left").select(*done.columns))
+    known = _matched(named, settings.max_distance if cap is None else cap, settings).withColumnRenamed("code", "snapped")
     return rows.withColumn(raw, F.col(raw_col)).drop("text", "snapped", "cost").join(known, raw, "left").drop(raw)
