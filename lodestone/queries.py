@@ -104,17 +104,30 @@ def edit_distance_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return named.select("read", "code", costs.distance(F.col("read"), F.col("code")).alias("cost"))
 
 
-SUB = "list_sum([CASE WHEN {t}[i] = {c}[i] THEN 0 WHEN translate({t}[i], 'ODILBSZGQ', '001185269') = translate({c}[i], 'ODILBSZGQ', '001185269') THEN 40 ELSE 100 END for i in range(1, length({c}) + 1)])"
+def spelt(column: str) -> str:
+    """Columns p1 to p6, the characters of a text as numbers, and q1 to q6, those without regard to confusion; alike beyond the end."""
+    plain = f"translate({column}, 'ODILBSZGQ', '001185269')"
+    return ", ".join(f"unicode(substr({column}, {i}, 1)) AS p{i}, unicode(substr({plain}, {i}, 1)) AS q{i}" for i in range(1, 7))
+
+
+#: The substitution sum of two texts of equal length, six at most, as codes are.
+SUB = "(" + " + ".join(f"CASE WHEN a.p{i} = b.p{i} THEN 0 WHEN a.q{i} = b.q{i} THEN 40 ELSE 100 END" for i in range(1, 7)) + ")"
 #: Matching by substitution sums alone: of texts one longer, all ways to leave out one character; of shorter ones, of the code.
 #: It equals the alignment wherever that costs under 350, and texts whose best costs more are aligned in full.
 SNAPPED = f"""texts AS (SELECT DISTINCT {normal("raw")} AS t FROM reads),
   odd AS (SELECT t, length(t) AS lt FROM texts WHERE t <> '' AND NOT {valid("t")}),
-  equal_ AS (SELECT t, code, {SUB.format(t="t", c="code")} AS cost FROM odd JOIN codes ON lt = len),
-  longer AS (SELECT t, code, 150 + min({SUB.format(t="s", c="code")}) AS cost FROM (SELECT t, lt, left(t, k - 1) || substr(t, k + 1) AS s FROM (SELECT t, lt, unnest(range(1, lt + 1)) AS k FROM odd)) JOIN codes ON lt - 1 = len GROUP BY ALL),
-  shorter AS (SELECT t, code, 100 + min({SUB.format(t="t", c="s")}) AS cost FROM odd JOIN (SELECT code, len, left(code, k - 1) || substr(code, k + 1) AS s FROM (SELECT code, len, unnest(range(1, len + 1)) AS k FROM codes)) ON lt + 1 = len GROUP BY ALL),
-  shortest AS (SELECT t, code, 200 + min({SUB.format(t="t", c="s")}) AS cost FROM odd JOIN (SELECT DISTINCT code, len, left(s, k - 1) || substr(s, k + 1) AS s FROM (SELECT code, len, s, unnest(range(1, len)) AS k FROM (SELECT code, len, left(code, k - 1) || substr(code, k + 1) AS s FROM (SELECT code, len, unnest(range(1, len + 1)) AS k FROM codes)))) ON lt + 2 = len GROUP BY ALL),
-  near AS (FROM equal_ UNION ALL FROM longer UNION ALL FROM shorter UNION ALL FROM shortest),
-  ranked AS (SELECT t, code, cost, row_number() OVER (PARTITION BY t ORDER BY cost, ord) AS rn, lead(cost) OVER (PARTITION BY t ORDER BY cost, ord) AS second FROM near JOIN codes USING (code)),
+  whole_t AS (SELECT t, lt, {spelt("t")} FROM odd), whole_c AS (SELECT ord, len, {spelt("code")} FROM codes),
+  less_t AS (SELECT t, lt, {spelt("s")} FROM (SELECT t, lt, left(t, k - 1) || substr(t, k + 1) AS s FROM (SELECT t, lt, unnest(range(1, lt + 1)) AS k FROM odd WHERE lt < 8))),
+  less AS (SELECT DISTINCT ord, len, left(code, k - 1) || substr(code, k + 1) AS s FROM (SELECT ord, code, len, unnest(range(1, len + 1)) AS k FROM codes)),
+  less_c AS (SELECT ord, len, {spelt("s")} FROM less),
+  least_c AS (SELECT ord, len, {spelt("s")} FROM (SELECT DISTINCT ord, len, left(s, k - 1) || substr(s, k + 1) AS s FROM (SELECT ord, len, s, unnest(range(1, len)) AS k FROM less))),
+  met AS (
+    SELECT t, ord, {SUB} AS cost FROM whole_t a JOIN whole_c b ON lt = len
+    UNION ALL SELECT t, ord, 150 + {SUB} FROM less_t a JOIN whole_c b ON lt - 1 = len
+    UNION ALL SELECT t, ord, 100 + {SUB} FROM whole_t a JOIN less_c b ON lt + 1 = len
+    UNION ALL SELECT t, ord, 200 + {SUB} FROM whole_t a JOIN least_c b ON lt + 2 = len),
+  near AS (SELECT t, code, ord, cost FROM (SELECT t, ord, min(cost) AS cost FROM met GROUP BY ALL) JOIN codes USING (ord)),
+  ranked AS (SELECT t, code, cost, row_number() OVER (PARTITION BY t ORDER BY cost, ord) AS rn, lead(cost) OVER (PARTITION BY t ORDER BY cost, ord) AS second FROM near),
   snapped AS (
     SELECT t, t AS code, 0 AS cost FROM texts WHERE {valid("t")}
     UNION ALL SELECT t, CASE WHEN coalesce(second - cost >= 25, TRUE) AND cost <= least(200, 70 * (length(code) - 2)) THEN code END, cost FROM ranked WHERE rn = 1
