@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import heapq
 import struct
 import zlib
 
@@ -15,6 +14,8 @@ from .pixels import BINOMIAL, ELLIPSE
 SIDE, CORNER, KNIGHT = 1.0, 1.4, 2.1969
 #: Shares of a blob's greatest depth at which its peaks are counted.
 PEAK_SHARES = tuple(round(0.30 + 0.05 * i, 2) for i in range(13))
+#: Levels of depth that flooding tells apart.
+LEVELS = 256
 AROUND = ((0, 1), (1, 1), (1, 0), (1, -1), (0, -1), (-1, -1), (-1, 0), (-1, 1))
 
 
@@ -172,10 +173,21 @@ def outline(shape: tuple[int, int], points: np.ndarray, thickness: int) -> np.nd
     return out
 
 
+def boxes_of(count: int, labels: np.ndarray) -> list[tuple[slice, slice]]:
+    """The rows and columns that each label from 1 to count extends over, by one pass over the pixels."""
+    y, x = np.nonzero(labels)
+    own = labels[y, x] - 1
+    low, high = np.full((2, count), max(labels.shape)), np.zeros((2, count), int)
+    for k, v in enumerate((y, x)):
+        np.minimum.at(low[k], own, v)
+        np.maximum.at(high[k], own, v + 1)
+    return [(slice(*r[:2]), slice(*r[2:])) for r in zip(low[0].tolist(), high[0].tolist(), low[1].tolist(), high[1].tolist(), strict=True)]
+
+
 def find_blobs(mask: np.ndarray, settings: Settings = SETTINGS) -> list[np.ndarray]:
     """Contours of the mask's components, but those of less than a share of the median area (of all of them)."""
     n, labels = components(mask)
-    found = [trace(labels == i) for i in range(1, n + 1)]
+    found = [trace(labels[box] == i) + np.array([box[1].start, box[0].start], np.int32) for i, box in enumerate(boxes_of(n, labels), 1)]
     middle = median_area(found)
     return [c for c in found if contour_area(c) >= settings.least_area * middle]
 
@@ -223,26 +235,39 @@ def unit_area(shape: tuple[int, int], contours: list[np.ndarray], settings: Sett
 
 
 def flood(deep: np.ndarray, markers: np.ndarray, mask: np.ndarray) -> np.ndarray:
-    """Markers grown over the mask, deepest pixels first, each pixel to the marker that reaches it first."""
-    labels, heap, n = markers.copy(), [], 0
-    h, w = mask.shape
+    """Markers grown over the mask, deepest level first.
 
-    def push(y: int, x: int) -> None:
-        nonlocal n
-        for dy, dx in AROUND:
-            j, i = y + dy, x + dx
-            if 0 <= j < h and 0 <= i < w and mask[j, i] and not labels[j, i]:
-                n += 1
-                heapq.heappush(heap, (-deep[j, i], n, j, i, labels[y, x]))
-
-    for y, x in zip(*np.nonzero(markers), strict=True):
-        push(y, x)
-    while heap:
-        _, _, y, x, label = heapq.heappop(heap)
-        if not labels[y, x]:
-            labels[y, x] = label
-            push(y, x)
-    return labels
+    Depths are told apart as LEVELS levels. Pixels wait in a bucket for each level; a level's
+    pixels are taken as whole fronts, and one that several reach at once goes with the deepest of
+    these, of equals with the marker of least number. What a front reaches that is deeper than the
+    level belongs to its next front.
+    """
+    h, w = mask.shape
+    labels, free_ = np.pad(markers, 1).ravel(), np.pad(mask > 0, 1).ravel()
+    level = np.pad(np.minimum(deep / (deep.max() or 1) * LEVELS, LEVELS - 1).astype(np.int64), 1).ravel()
+    shallow = -np.pad(np.rint(deep * 10_000).astype(np.int64), 1).ravel()
+    steps = np.array([dy * (w + 2) + dx for dy, dx in AROUND])
+    buckets: list[list[np.ndarray]] = [[] for _ in range(LEVELS)]
+
+    def wait(at: np.ndarray, now: int) -> None:
+        found = np.stack([(at[:, None] + steps).ravel(), *np.repeat([labels[at], shallow[at]], len(steps), 1)])
+        found = found[:, free_[found[0]] & (labels[found[0]] == 0)]
+        when = np.minimum(level[found[0]], now)
+        order = np.argsort(when, kind="stable")
+        levels, first = np.unique(when[order], return_index=True)
+        for k, part in zip(levels.tolist(), np.split(order, first[1:]), strict=True) if len(order) else ():
+            buckets[k].append(found[:, part])
+
+    wait(np.flatnonzero(labels), LEVELS - 1)
+    for now in range(LEVELS - 1, -1, -1):
+        while buckets[now]:
+            found = np.concatenate(buckets[now], axis=1)
+            buckets[now] = []
+            to, label, _ = found[:, np.lexsort((found[1], found[2], found[0]))]
+            fresh = np.concatenate([[True], to[1:] != to[:-1]]) & (labels[to] == 0)
+            labels[to[fresh]] = label[fresh]
+            wait(to[fresh], now)
+    return labels.reshape(h + 2, w + 2)[1:-1, 1:-1]
 
 
 def split_blob(shape: tuple[int, int], points: np.ndarray, expected: int, settings: Settings = SETTINGS) -> list[np.ndarray]:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from . import adapters as A
 from .config import SETTINGS
 from .functions import costs, geometry, text
-from .operators import lookup, neighbours, pixels, recognize, report, vocabulary
+from .operators import lookup, neighbours, pixels, recognize, report, tiles, vocabulary
 from .operators.resolve import resolve
 from .sources import library
 from .sources.scratch import fresh_folder
@@ -556,3 +556,82 @@ def calibration_pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .plans.calibrate import artefacts
 
     return artefacts(drawn(spark, sf_dir)).drop("png")
+
+
+#: The grids' pixels as tiles of three by three: most components and ways cross borders of tiles.
+GRID = 3
+
+
+@query(f"""WITH RECURSIVE {A.PIXELS}, lit AS (SELECT image, y, x, y * 8 + x AS p FROM pixels WHERE v > 127),
+reach AS (SELECT image, p, p AS s FROM lit UNION SELECT r.image, l.p, r.s FROM reach r JOIN lit l ON l.image = r.image AND abs(l.y - r.p // 8) <= 1 AND abs(l.x - r.p % 8) <= 1 AND l.p > r.s),
+owner AS (SELECT image, p, min(s) AS s FROM reach GROUP BY ALL)
+SELECT image, (s // 8)::INT AS first_y, (s % 8)::INT AS first_x, count(*)::BIGINT AS n, min(p % 8)::INT AS x, min(p // 8)::INT AS y, (max(p % 8) - min(p % 8) + 1)::INT AS w, (max(p // 8) - min(p // 8) + 1)::INT AS h FROM owner GROUP BY image, s""")
+def tile_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of the grids' bright pixels, the grids being cut into tiles."""
+    cells = tiles.stored(tiles.cut(A.pixels(spark, sf_dir), (F.col("v") > 127).cast("int"), side=GRID), "cells")
+    first = F.col("component")
+    return tiles.component_table(cells, GRID).select("image", tiles.spot_y(first).alias("first_y"), tiles.spot_x(first).alias("first_x"), "n", "x", "y", "w", "h")
+
+
+#: The chamfer distance of a pixel (y, x) to another (b, a), whose shortest way keeps to the rectangle between them.
+AWAY = "CASE WHEN 2 * least(abs(y - b), abs(x - a)) <= greatest(abs(y - b), abs(x - a)) THEN 21969 * least(abs(y - b), abs(x - a)) + 10000 * (greatest(abs(y - b), abs(x - a)) - 2 * least(abs(y - b), abs(x - a))) ELSE 21969 * (greatest(abs(y - b), abs(x - a)) - least(abs(y - b), abs(x - a))) + 14000 * (2 * least(abs(y - b), abs(x - a)) - greatest(abs(y - b), abs(x - a))) END"
+
+
+@query(f"WITH {A.PIXELS}, dark AS (SELECT image, y AS b, x AS a FROM pixels WHERE v <= 60) SELECT image, y, x, CASE WHEN v <= 60 THEN 0 ELSE coalesce(min({AWAY}), 0) END::BIGINT AS depth FROM pixels LEFT JOIN dark USING (image) GROUP BY image, y, x, v")
+def tile_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The distance of each of the grids' pixels to the nearest dark one, the grids being cut into tiles."""
+    cells = tiles.stored(tiles.cut(A.pixels(spark, sf_dir), (F.col("v") > 60).cast("int"), side=GRID), "cells")
+    return tiles.pixels_of(tiles.distances(cells, GRID), "depth", GRID)
+
+
+def touching(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(image, y, x, v): for each 500 events 64 x 96 pixels with a row of one to three overlapping discs and a single one below."""
+    n, y, x = F.col("image"), F.col("y"), F.col("x")
+    r = 9 + n % 4
+    grid = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.floor(F.col("event_id") / 500).alias("image")).distinct()
+    grid = grid.select("image", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("y")).select("image", "y", F.explode(F.sequence(F.lit(0), F.lit(95))).alias("x"))
+    disc = lambda cy, cx, r: (y - cy) * (y - cy) + (x - cx) * (x - cx) <= r * r
+    on = disc(48, 14 + n % 30, 8)
+    for k in range(3):
+        on = on | ((n % 3 >= k) & disc(20, 14 + k * (2 * r - 2), r))
+    return grid.select("image", "y", "x", on.cast("int").alias("v"))
+
+
+@query("""WITH photos AS (SELECT DISTINCT event_id // 500 AS image FROM events)
+SELECT image, (11 - image % 4)::INT AS y, 14 AS x, (image % 3 + 1)::BIGINT AS peaks FROM photos UNION ALL SELECT image, 40, (14 + image % 30)::INT, 1 FROM photos""")
+def tile_peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The peaks of blobs of overlapping discs, as many as discs; a blob is told by its first pixel."""
+    cells = tiles.stored(tiles.cut(touching(spark, sf_dir), F.col("v"), side=32), "cells")
+    first = F.col("component")
+    return tiles.peaks(cells, 32).select("image", tiles.spot_y(first).alias("y"), tiles.spot_x(first).alias("x"), "peaks")
+
+
+def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(photo_id, height, width, data): a dark photo for each 500 events, with five bright discs and two that touch."""
+    import numpy as np
+    import pandas as pd
+
+    def run(batches):
+        y, x = np.mgrid[:240, :320]
+        for batch in batches:
+            rows = []
+            for n in batch["n"]:
+                image, r = np.full((240, 320, 3), 20, np.uint8), 16 + n % 6
+                for cy, cx in [(60, 60), (60, 160), (60, 260), (170, 60), (170, 260), (130, 160 - r + 2), (130, 160 + r - 2)]:
+                    image[(x - cx) ** 2 + (y - cy) ** 2 <= r * r] = (235, 233, 228)
+                rows.append((f"p{n}", 240, 320, image.tobytes()))
+            yield pd.DataFrame(rows, columns=["photo_id", "height", "width", "data"])
+
+    groups = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.floor(F.col("event_id") / 500).alias("n")).distinct()
+    return groups.repartition(spark.sparkContext.defaultParallelism * 2).mapInPandas(run, "photo_id string, height int, width int, data binary")
+
+
+@query("""WITH photos AS (SELECT DISTINCT event_id // 500 AS n, 16 + event_id // 500 % 6 AS r FROM events),
+found AS (SELECT n, cx - r + 1 AS x, cy - r + 1 AS y, 2 * r - 1 AS w, 2 * r - 1 AS h FROM photos, (VALUES (60, 60), (60, 160), (60, 260), (170, 60), (170, 260)) t(cy, cx)
+  UNION ALL SELECT n, 160 - 2 * r + 3, 131 - r, 2 * r - 2, 2 * r - 1 FROM photos UNION ALL SELECT n, 161, 131 - r, 2 * r - 3, 2 * r - 1 FROM photos)
+SELECT 'p' || n AS photo_id, row_number() OVER (PARTITION BY n ORDER BY y, x) - 1 AS piece_id, x::INT AS x, y::INT AS y, w::INT AS w, h::INT AS h FROM found""")
+def split_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of photos in which two of seven discs touch: these are cut apart half way between their centres."""
+    from .plans.index import segment
+
+    return segment(pairs(spark, sf_dir)).select("photo_id", "piece_id", "x", "y", "w", "h")
