@@ -38,13 +38,22 @@ FURNITURE = frozenset("nav header footer aside form menu dialog".split())
 #: Elements that hold the article.
 ARTICLE = frozenset("article main".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: What classes and ids of other furniture consist of.
-FURNITURE_NAME = re.compile(r"(?i)(?:^|[\s_-])(?:ads?|adverts?|advertisement|banner|sponsor(?:ed)?|promo|cookies?|consent|notice|popup|modal|newsletter|subscribe|nav|navbar|navigation|menu|breadcrumbs?|sidebar|header|footer|masthead|comments?|disqus|respond|replies|share|sharing|social|related|recommended|widget|toolbar|pagination|pager|login|signup|search)(?:$|[\s_-])")
+#: Words that name furniture wherever they stand in a class or id.
+NEVER = frozenset("ad ads advert adverts advertisement sponsor sponsored promo cookie cookies consent popup modal newsletter subscribe breadcrumb breadcrumbs comment comments disqus respond replies share sharing social related recommended pagination pager login signup".split())
+#: Words that name furniture, but not as part of an article, as in ``article-header``.
+AROUND = frozenset("banner notice nav navbar navigation menu sidebar header footer masthead widget toolbar search".split())
+OF_ARTICLE = frozenset("article post entry story content main text body".split())
+#: First words of classes that say what a container has.
+STATE = frozenset("has with no without is".split())
 FURNITURE_ROLE = re.compile(r"(?i)^(?:navigation|banner|contentinfo|complementary|search|form|menu|menubar|dialog|alertdialog|alert)$")
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(?P<end>/?)(?P<name>[A-Za-z][^\s/>]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<(?P<end2>/?)(?P<name2>[A-Za-z][^\s/>]*)(?P<rest2>[^>]*)(?:>|\Z)", re.S)
 RAW = {x: re.compile(rf"</{x}(?=[\s/>])[^>]*(?:>|\Z)", re.I) for x in ("script", "style", "textarea", "title", "iframe", "noscript")}
-NAMED = re.compile(r"(?i)\b(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+#: An attribute with its value; matched one after another, so that nothing within a value is taken for a name.
+ATTRIBUTE = re.compile(r"([^\s\"'>/=][^\s\"'>/=]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?|\"[^\"]*\"|'[^']*'")
+LETTERS = re.compile(r"[^\W\d_]")
+#: Letters of scripts other than Latin.
+OTHER = re.compile(r"[^\W\d_\u0000-\u024F]")
 EDGE = re.compile(r"^\W+|\W+$")
 
 
@@ -57,6 +66,7 @@ class Rules:
     stop_low: float = 0.15
     stop_high: float = 0.3
     links: float = 0.5  #: share of characters in links from which a block is furniture
+    foreign: float = 0.15  #: share of stop words under which they do not cover a page's language
 
 
 @dataclass
@@ -72,6 +82,24 @@ class Block:
         return " ".join(html.unescape("".join(self.parts)).split())
 
 
+def attributes(rest: str) -> dict[str, str]:
+    """The attributes of a tag by whole names in lower case; of repeated ones the first counts."""
+    out: dict[str, str] = {}
+    for name, *values in ATTRIBUTE.findall(rest):
+        if name:
+            out.setdefault(name.lower(), html.unescape("".join(values)))
+    return out
+
+
+def names_furniture(value: str) -> bool:
+    """Whether one of the names in a class or id, each judged as a whole, is furniture's."""
+    for name in value.lower().split():
+        words = [w for w in re.split(r"[_-]+", name) if w]
+        if words and words[0] not in STATE and (not NEVER.isdisjoint(words) or words[0] not in OF_ARTICLE and not AROUND.isdisjoint(words)):
+            return True
+    return False
+
+
 def blocks(page: str) -> list[Block]:
     """The blocks of a page in order, those without text left out.
 
@@ -138,12 +166,12 @@ def blocks(page: str) -> list[Block]:
             if name == "p":  # paragraphs don't nest
                 leave(name)
                 state()
-            named = {k.lower(): a or b or c for k, a, b, c in NAMED.findall(rest)} if rest.strip() else {}
+            named = attributes(rest) if rest.strip() else {}
             inside = article
             if name in ARTICLE and not article:
                 articles += 1
                 inside = articles
-            odd = name in FURNITURE or bool(FURNITURE_NAME.search(named.get("class", "")) or FURNITURE_NAME.search(named.get("id", "")) or FURNITURE_ROLE.search(named.get("role", "")))
+            odd = name in FURNITURE or names_furniture(named.get("class", "")) or names_furniture(named.get("id", "")) or bool(FURNITURE_ROLE.search(named.get("role", "").strip()))
             odd = odd and name not in ARTICLE and name not in ("html", "body")
             gone = name in HIDDEN or "hidden" in named or named.get("aria-hidden", "").lower() == "true"
             if not rest.rstrip().endswith("/"):
@@ -164,17 +192,48 @@ def blocks(page: str) -> list[Block]:
     return out
 
 
-def decide(block: Block, text: str, rules: Rules) -> bool | None:
-    """First pass: true for main text, false for furniture, None if it can't be told from the block."""
+def _stops(text: str) -> tuple[int, int]:
+    """How many words a text has, and how many of them are stop words."""
+    words = text.lower().split()
+    return len(words), sum(w in STOP_WORDS or not w.isalpha() and EDGE.sub("", w) in STOP_WORDS for w in words)
+
+
+def foreign(found: list[tuple[Block, str]], rules: Rules) -> bool:
+    """Whether the stop words do not cover a page's language: few of the words outside of furniture and lists of links are any."""
+    words = stops = 0
+    for block, text in found:
+        if not block.furniture and not _of_links(block, text, rules):
+            n, s = _stops(text)
+            words, stops = words + n, stops + s
+    return stops < rules.foreign * words
+
+
+def _of_links(block: Block, text: str, rules: Rules) -> bool:
+    return block.linked > rules.links * max(1, len(text.replace(" ", "")))
+
+
+def decide(block: Block, text: str, rules: Rules, uncovered: bool = False) -> bool | None:
+    """First pass: true for main text, false for furniture, None if it can't be told from the block.
+
+    A block in another script than the stop words' or, where the page's language is not theirs
+    (``uncovered``), any block is told by links and length alone.
+    """
     if block.furniture:
         return False
     size = len(text)
-    if block.linked > rules.links * max(1, len(text.replace(" ", ""))):
+    if _of_links(block, text, rules):
         return False
+    if OTHER.search(text):
+        letters = len(LETTERS.findall(text))
+        if 2 * len(OTHER.findall(text)) > letters:
+            # Scripts without spaces say as much in a third of the characters.
+            return True if 3 * letters >= rules.long else None
     if size < rules.short:
         return None
-    words = [EDGE.sub("", w) for w in text.lower().split()]
-    density = sum(w in STOP_WORDS for w in words) / len(words)
+    if uncovered:
+        return True if size >= rules.long else None
+    n, stops = _stops(text)
+    density = stops / n
     if density >= rules.stop_high or density >= rules.stop_low and size >= rules.long:
         return True
     return None if density >= rules.stop_low or block.article else False
@@ -196,7 +255,8 @@ def main_text(page: str | None, rules: Rules | None = None) -> str:
     """
     rules = rules or Rules()
     found = [(b, t) for b in blocks(page or "") if (t := b.text())]
-    labels = [decide(b, t, rules) for b, t in found]
+    uncovered = foreign(found, rules)
+    labels = [decide(b, t, rules, uncovered) for b, t in found]
     final: list[bool] = []
     before: dict[int, bool] = {}
     after: list[bool | None] = [None] * len(found)

@@ -56,7 +56,8 @@ def test_broken_pages_take_time_in_proportion(stray):
 
 def slow_labels(blocks, rules):
     """The second pass, block by block, looking out on both sides."""
-    first = [H.decide(b, b.text(), rules) for b in blocks]
+    away = H.foreign([(b, b.text()) for b in blocks], rules)
+    first = [H.decide(b, b.text(), rules, away) for b in blocks]
     tells = [x is not None and not b.furniture and (x or not b.article) for b, x in zip(blocks, first, strict=True)]
     out = []
     for i, (b, x) in enumerate(zip(blocks, first, strict=True)):
@@ -92,3 +93,67 @@ def test_all_given_pages(spark):
 def test_columns(spark):
     got = spark.createDataFrame([(1, None), (1, None), (2, "<article>a</article>")], "page_id long, html string").select("page_id", H.extract(H.F.col("html")).alias("text")).collect()
     assert sorted(map(tuple, got)) == [(1, ""), (1, ""), (2, "a")]
+
+
+PLAIN = "The council met on Monday to talk about the new bridge and its cost for the town, which will be paid by the state."
+
+
+@pytest.mark.parametrize(
+    "body",
+    [
+        f"<article><div style='overflow:hidden'><p>{PLAIN}</p></div></article>",
+        f"<article><div data-hidden='false'><p>{PLAIN}</p></div></article>",
+        f"<article><div data-id='sidebar'><p>{PLAIN}</p></div></article>",
+        f"<article><p title='class = header'>{PLAIN}</p></article>",
+        f"<article><p title=\"x class='ad' hidden id=menu\">{PLAIN}</p></article>",
+        f"<article class='has-sidebar'><div class='article-header'><p>{PLAIN}</p></div></article>",
+        f"<div class='page has-sidebar no-footer'><p>{PLAIN}</p></div>",
+        f"<article><div class='main-menu-story headline'></div><p class='shadow adorned'>{PLAIN}</p></article>",
+        f"<article><p onclick='hide()' data-role=navigation>{PLAIN}</p></article>",
+    ],
+)
+def test_ordinary_attributes_cost_no_text(body):
+    assert H.main_text(page(body)) == PLAIN
+
+
+@pytest.mark.parametrize("tag", ["div class=site-footer", "div class='x y ad-slot'", "div id=nav", "div class=post-comments", "div class=cookie_banner", "div ROLE='Navigation'", "div hidden=''", "div aria-hidden = 'true'", "div class='&#97;d'", "section class=article-related"])
+def test_furniture_by_name(tag):
+    assert H.main_text(page(f"<article><p>{PLAIN}</p><{tag}><p>{PLAIN}</p></div></section></article>")) == PLAIN
+
+
+def test_attributes():
+    assert H.attributes(" class = 'a b' ID=x hidden data-class=\"c\" Class=z href=/a/b?c=d 'stray' =") == {"class": "a b", "id": "x", "hidden": "", "data-class": "c", "href": "/a/b?c=d"}
+
+
+@pytest.mark.parametrize("text", ["Совет собрался в понедельник, чтобы обсудить новый мост и его стоимость. " * 4, "市议会周一开会讨论新桥及其费用。" * 8, "Il consiglio si riunisce oggi, discute il nuovo ponte, costi, tempi, pareri, cittadini, imprese. " * 4])
+def test_languages_that_the_stop_words_do_not_cover(text):
+    text = text.strip()
+    links = "<div><a href=a>Uno</a> <a href=b>Due</a> <a href=c>Tre</a></div>"
+    assert H.main_text(page(f"{links}<div>{text}</div><div>{text}</div>{links}")) == f"{text}\n{text}"
+
+
+#: A page without an article element, its furniture unmarked: what is dropped and kept is for the two passes to say.
+UNMARKED = page(
+    "<div><a href=a>Home</a> <a href=b>News</a> <a href=c>Sport</a></div>"
+    "<div>Weather maps, station lists, tide tables, road reports, ferry times, market prices, flight boards, radio plans</div>"
+    f"<div>By A. Writer</div><div>{LONG}</div><div>Photo: archive</div><div>{LONG}</div>"
+    "<div>Imprint, terms, contact, careers, licences, partners, awards, archives, sitemap, accessibility, mirrors, feeds</div>"
+    "<div>Reg. no. 12345</div>"
+)
+
+
+def test_both_passes_decide(monkeypatch):
+    kept = f"{LONG.strip()}\nPhoto: archive\n{LONG.strip()}"
+    assert H.main_text(UNMARKED) == kept
+    # Without density (no stop words) the lists of services are kept, or all is judged by length.
+    with monkeypatch.context() as m:
+        m.setattr(H, "STOP_WORDS", frozenset())
+        assert H.main_text(UNMARKED) != kept
+    # Without link density the links are text.
+    assert H.main_text(UNMARKED, H.Rules(links=2.0, short=10)) != kept
+    # Without the second pass what is short is lost, or all kept.
+    first = H.decide
+    for label in (True, False):
+        with monkeypatch.context() as m:
+            m.setattr(H, "decide", lambda *a, label=label: label if (x := first(*a)) is None else x)
+            assert H.main_text(UNMARKED) != kept
