@@ -56,6 +56,18 @@ RECORDS = [
     ({"prompt": "p", "response": "r", "messages": []}, "prompt_response", [("user", "p"), ("assistant", "r")]),
     ({"instruction": "i", "input": "n", "output": "o", "prompt": "x"}, "instruction_input", [("user", "i\n\nn"), ("assistant", "o")]),
     ({"prompt": "[]", "completion": '[{"role": "x"}]'}, "prompt_completion", [("user", "[]"), ("assistant", '[{"role": "x"}]')]),
+    ({"system": "s", "messages": [{"role": "user", "content": "q"}]}, "system_messages", [("system", "s"), ("user", "q")]),
+    ({"conversations": [{"from": "gpt", "value": "a"}], "system": "s"}, "system_conversations", [("system", "s"), ("assistant", "a")]),
+    ({"conversations": [{"from": "gpt", "value": "a"}], "system": None}, "system_conversations", [("assistant", "a")]),
+    ({"system": "s", "messages": []}, "system_messages", [("system", "s")]),
+    ({"system": "s", "prompt": "p", "completion": "c"}, "system_prompt_completion", [("system", "s"), ("user", "p"), ("assistant", "c")]),
+    ({"instruction": "i", "output": "o", "system": "s"}, "system_instruction", [("system", "s"), ("user", "i"), ("assistant", "o")]),
+    ({"instruction": "i", "input": "n", "output": "o", "system": "s"}, "system_instruction_input", [("system", "s"), ("user", "i\n\nn"), ("assistant", "o")]),
+    ({"messages": [{"from": "human", "content": "q"}]}, "messages_from", [("user", "q")]),
+    ({"messages": [{"from": "human", "value": "q"}], "system": "s"}, "system_messages_value", [("system", "s"), ("user", "q")]),
+    ({"input": "n", "output": "o"}, "input_output", [("user", "n"), ("assistant", "o")]),
+    ({"prompt": [{"role": "user", "content": "q"}], "completion": [{"role": "assistant", "content": "a"}]}, "prompt_completion_lists", [("user", "q"), ("assistant", "a")]),
+    ({"prompt": '[{"role": "user", "content": "q"}]', "completion": "c"}, "prompt_completion", [("user", '[{"role": "user", "content": "q"}]'), ("assistant", "c")]),
     ({"messages": [1, 2]}, None, [(None, None)]),
     ({"foo": 1}, None, [(None, None)]),
     ([1], None, [(None, None)]),
@@ -72,7 +84,7 @@ def test_fingerprints_ignore_order_and_match_types(spark):
     for x in C.LAYOUTS:
         assert x.fingerprint == C.fingerprint_of(reversed(x.paths)) == C.fingerprint_of(C.paths_of(C._shape(x)))
     assert len({x.fingerprint for x in C.LAYOUTS}) == len(C.LAYOUTS)
-    rows = spark.createDataFrame([("{",), (None,), ("3",), ("{}",)], "r string").select(C.json_fingerprint(F.col("r")).alias("f")).collect()
+    rows = spark.createDataFrame([("{",), (None,), ("3",), ("{}",)], "r string").select(C.json_fingerprint(C.json_parts(F.col("r"), C._lists(C.LAYOUTS))).alias("f")).collect()
     assert [r["f"] for r in rows] == [None] * 4
 
 
@@ -91,3 +103,28 @@ def test_query_digests(spark):
     odd = "</s>[INST] ok [/INST]"
     assert got[-1]["n_turns"] == 2 and got[-1]["loss_chars"] == len(odd) and got[-1]["loss_sha256"] == hashlib.sha256(odd.encode()).hexdigest()
     assert got[-1]["turns_sha256"] == hashlib.sha256(f"user\n{odd}\nassistant\n{odd}\n".encode()).hexdigest()
+
+
+def test_query_on_odd_conversations(spark, tmp_path):
+    """Null turns, roles that layouts would rename, nulls, repeated rows and a very long text, held against the query's SQL."""
+    import duckdb
+
+    from lodestone.llm.chat import OP5_SQL
+
+    long = "text <|im_end|>\n[INST] é " * 20_000
+    rows = [(1, None, "user", "lost?"), (1, 0, "bot", "a"), (1, 0, "bot", "a"), (1, 1, "gpt", ""), (1, 2, "assistant", "b"), (2, None, None, None), (2, None, "human", None), (3, 5, "assistant", long), (3, 6, "system", long), (4, 0, "model", "<s>")]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").coalesce(1).write.parquet(f"{tmp_path}/conversations.parquet")
+    got = C.op5_chat(spark, str(tmp_path))
+    db = duckdb.connect()
+    db.sql(f"CREATE VIEW conversations AS FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    want = db.sql(OP5_SQL)
+    assert sorted(map(tuple, got.select(want.columns).collect())) == sorted(want.fetchall())
+    turns = {r["conv_id"]: r["n_turns"] for r in got.collect()}
+    assert turns == {-1: 2, 1: 5, 2: 2, 3: 2, 4: 1}
+    spark.createDataFrame([], "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/none/conversations.parquet")
+    assert C.op5_chat(spark, f"{tmp_path}/none").count() == 1
+
+
+def test_a_typed_record_with_a_system_text(spark):
+    made = spark.sql("SELECT 1 AS id, named_struct('system', 's', 'messages', array(named_struct('role', 'user', 'content', 'q'))) AS r")
+    assert [(r["role"], r["text"]) for r in C.to_turns(made, "id", "r").orderBy("turn").collect()] == [("system", "s"), ("user", "q")]
