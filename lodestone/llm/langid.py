@@ -246,28 +246,40 @@ def remainder(id_: Column, folds: int = 5) -> Column:
     return F.crc32(id_.cast("string").cast("binary")) % folds
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = 400, longest: int = 1 << 16, languages: int = 256, total_mb: int = 64, order: int = 3) -> Model:
-    """A model from a bounded sample of labelled rows.
-
-    The bound: about ``rows`` rows, of at most ``longest`` bytes each, for each of the ``languages``
-    most frequent languages, and some ``total_mb`` MB in all, of which each language has an equal
-    part; rows are chosen by a hash of their ids and texts, and equal texts count once. Languages
-    beyond that number, or of which every text is longer, are not learned. Rows with null text or
-    language are not used. An empty table gives a model without languages.
+#: Characters of the one text that every language has in its sample.
+LEAST = 1024
+
+
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = 400, longest: int = 1 << 16, total_mb: int = 64, order: int = 3) -> Model:
+    """A model of all languages that rows are labelled with, from a bounded sample of these rows.
+
+    The bound: about ``rows`` rows for each language, and some ``total_mb`` MB in all, of which
+    each language has an equal part. Of a text of more than ``longest`` bytes, or more than that
+    part, the beginning is the sample. Rows are chosen by a hash of their ids and texts, and equal
+    texts count once; where none is chosen, LEAST characters of one are. Rows with null text or
+    language are not used. An empty table gives a model without languages. The driver gets a row
+    for each language besides the sample.
     """
     labelled = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).where("text IS NOT NULL AND lang IS NOT NULL")
-    short = labelled.where(F.octet_length("text") <= longest)
-    found = short.groupBy("lang").agg(F.count("*").alias("count"), F.sum(F.octet_length("text").cast("long")).alias("bytes")).orderBy(F.desc("count"), "lang").limit(languages).collect()
+    spot = F.xxhash64(F.coalesce("id", F.lit("")), "text").bitwiseAND(F.lit((1 << 32) - 1)) / F.lit(float(1 << 32))
+    size = F.least(F.octet_length("text"), F.lit(longest)).cast("long")
+    one = F.min_by(F.left("text", F.lit(LEAST)), F.when(F.col("text") != "", F.struct(spot.alias("spot"), F.left("text", F.lit(LEAST)).alias("part"))))
+    found = labelled.groupBy("lang").agg(F.count("*").alias("count"), F.sum(size).alias("bytes"), one.alias("one")).orderBy("lang").collect()
     if not found:
         return Model((), order, START, (), 1)
     part = (total_mb << 20) / len(found)
+    most = int(min(longest, max(4 * LEAST, part)))
     shares = [(r["lang"], min(1.0, 1.2 * rows / r["count"], max(1.0 / r["count"], part / max(1, r["bytes"])))) for r in found]
     share = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in shares for x in pair]), F.col("lang")), F.lit(0.0))
-    spot = F.xxhash64(F.coalesce("id", F.lit("")), "text").bitwiseAND(F.lit((1 << 32) - 1)) / F.lit(float(1 << 32))
+    begin = F.when(F.octet_length("text") <= most, F.col("text")).otherwise(F.left("text", F.lit(most // 4)))
+    chosen = labelled.select("lang", "text", spot.alias("spot")).where(F.col("spot") < share).select("lang", begin.alias("text"), "spot")
     texts: dict[str, dict[str, None]] = {r["lang"]: {} for r in found}
-    for r in sorted(short.withColumn("spot", spot).where(F.col("spot") < share).select("lang", "text", "spot").collect(), key=lambda r: (r["lang"], r["spot"], r["text"])):
+    for r in sorted(chosen.collect(), key=lambda r: (r["lang"], r["spot"], r["text"])):
         if len(texts[r["lang"]]) < rows:
             texts[r["lang"]][r["text"]] = None
+    for r in found:
+        if r["one"] is not None and not any(texts[r["lang"]]):
+            texts[r["lang"]][r["one"]] = None
     return train({k: list(v) for k, v in texts.items() if v}, order)
 
 

@@ -86,3 +86,25 @@ def test_held_out_accuracy(spark):
     assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) for r in rows) and len(rows) == len(truth)
     held = [r for r in rows if r["held_out"]]
     assert sum(truth[r["doc_id"]] == r["lang_pred"] for r in held) >= 0.98 * len(held) > 100
+
+
+def test_all_languages_are_learned_whatever_their_number_and_length(spark):
+    """Three hundred languages, each of words of its own, one with long texts only, one in one row of many."""
+    import random
+
+    some = random.Random(11)
+    words = {f"l{k:03}": ["".join(some.choices("abcdefghijklmnopqrstuvwxyzäöüéñ", k=6)) for _ in range(12)] for k in range(300)}
+    say = lambda lang, n: " ".join(some.choices(words[lang], k=n))
+    rows = [(k * 10 + i, say(lang, 40), lang, None) for k, lang in enumerate(words) for i in range(2 if k != 7 else 0)]
+    rows += [(5000 + i, say("l007", 12_000), "l007", None) for i in range(3)] + [(9000, "zyzzy qwqwq zyzzy qwqwq", "only", None)]
+    model = L.fit(docs(spark, rows), order=2)
+    assert set(model.languages) == {*words, "only"}
+    asked = [(k, say(lang, 25), lang, None) for k, lang in enumerate(words)] + [(999, "qwqwq zyzzy qwqwq", "only", None)]
+    got = docs(spark, asked).select("lang", L.predict(F.col("text"), model).alias("p")).collect()
+    assert all(r["p"]["lang"] == r["lang"] for r in got) and len(got) == 301
+
+
+def test_a_language_has_a_text_in_the_sample_even_if_none_is_chosen(spark):
+    rows = [(i, "abc def " * 200, "aa", None) for i in range(40)] + [(100 + i, f"xyz {i} uvw " * 300, "bb", None) for i in range(40)] + [(500, "", "cc", None)]
+    model = L.fit(docs(spark, rows), total_mb=0, order=1)
+    assert {"aa", "bb"} <= set(model.languages)
