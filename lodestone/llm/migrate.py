@@ -182,6 +182,11 @@ def tasks(spark: SparkSession) -> int:
     return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def dealt(paths: DataFrame, path_col: str) -> DataFrame:
+    """Paths dealt over tasks() partitions; by a hash of their own, as after distinct() the column's own partitions would be kept, and merged where they hold few bytes."""
+    return paths.repartition(tasks(paths.sparkSession), F.xxhash64(path_col))
+
+
 def numbered(df: DataFrame, *keys: Column) -> tuple[DataFrame, int]:
     """``df`` with column ``r``, the place of each row from 0 in the order of ``keys``, and the number of rows.
 
@@ -288,7 +293,7 @@ def rewrite(files: DataFrame, target: pa.Schema, fill: dict[str, object] | None
             yield batch
 
     paths = files.select(F.col(path_col).cast("string").alias(path_col)).where(F.col(path_col).isNotNull()).distinct()
-    done = stored(paths.repartition(tasks(files.sparkSession), path_col).mapInArrow(run, f"`{path_col}` string, drift long, final_path string, rewritten boolean"), "rewritten")
+    done = stored(dealt(paths, path_col).mapInArrow(run, f"`{path_col}` string, drift long, final_path string, rewritten boolean"), "rewritten")
     done.where("rewritten").select(path_col).mapInArrow(drop, f"`{path_col}` string").write.format("noop").mode("overwrite").save()
     return stored(files.join(done, path_col, "left"), "migrated")
 
@@ -330,7 +335,7 @@ def digests(files: DataFrame, path_col: str = "final_path") -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*told, strict=True), types, strict=True)], names)
 
     paths = files.select(F.col(path_col).cast("string").alias(path_col)).where(F.col(path_col).isNotNull()).distinct()
-    found = paths.repartition(tasks(files.sparkSession), path_col).mapInArrow(run, f"`{path_col}` string, n_rows long, n_nulls long, ids_sha256 string, rows_sha256 string, columns string")
+    found = dealt(paths, path_col).mapInArrow(run, f"`{path_col}` string, n_rows long, n_nulls long, ids_sha256 string, rows_sha256 string, columns string")
     return files.join(found, path_col, "left")
 
 
