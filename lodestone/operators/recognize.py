@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import SETTINGS, Settings
+from ..functions.columns import free
 from ..functions.text import normal_form
 from ..schema import DETECTION
 
@@ -120,8 +121,9 @@ def payload(frame: DataFrame, json_col: str = "payload") -> DataFrame:
     n = F.least(F.size(top("rec_texts")), F.size(top("rec_scores")))
     zipped = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(i.alias("det_ord"), F.get(top("rec_texts"), i).alias("v"), F.get(top("rec_scores"), i).alias("score"), F.transform(F.get(top("dt_polys"), i), lambda p: F.transform(p, lambda x: x.cast("int"))).alias("poly")))
     kept = F.filter(F.when(n > 0, zipped).otherwise(F.array()), lambda d: F.schema_of_variant(d["v"]) == "STRING")
-    found = frame.withColumn("_d", F.explode(kept))
-    return found.select(*frame.columns, F.col("_d.det_ord").alias("det_ord"), F.variant_get("_d.v", "$", "string").alias("text"), F.col("_d.score").alias("score"), F.col("_d.poly").alias("poly"))
+    name = free(frame, "_d")
+    found, d = frame.withColumn(name, F.explode(kept)), F.col(name)
+    return found.select(*frame.columns, d["det_ord"].alias("det_ord"), F.variant_get(d["v"], "$", "string").alias("text"), d["score"].alias("score"), d["poly"].alias("poly"))
 
 
 def best_detection(detections: DataFrame, keys: tuple[str, ...] = (*PIECE_KEY, "pass", "seq"), settings: Settings = SETTINGS) -> DataFrame:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.scratch import fresh_folder
+from ..sources.scratch import stored
 from .kernels import PEAK_SHARES, components
 
 ABSENT = -1
@@ -33,13 +33,6 @@ SIDE = 256
 HELD = 1 << 22
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder and read again, which cuts its lineage."""
-    path = fresh_folder(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def spot(y: Column, x: Column) -> Column:
     """A number for a pixel, from 1 on, ordered as one reads."""
     return F.shiftleft(y.cast("long"), 32) + x + 1

@@ -15,6 +15,7 @@ from ..operators.recognize import Recognizer, cascade, detect
 from ..operators.resolve import resolve
 from ..operators.vocabulary import snap
 from ..sources.library import nested
+from ..sources.scratch import stored
 
 PARTS = "photo_id string, piece_id long, x int, y int, w int, h int, area double, contour array<array<int>>, height int, width int, data binary"
 
@@ -43,10 +44,10 @@ def build_index(images: DataFrame, factory: Callable[[], Recognizer], created_at
     """Photos with their pieces: segmented, read in passes, matched to codes, unique within the photo.
 
     ``factory`` makes the recognizer in each worker; ``created_at`` is the time to record. Crops
-    and detections are checkpointed between the steps, so that no image is segmented or read twice.
+    and detections are stored between the steps, so that no image is segmented or read twice.
     """
-    parts = segment(images, settings).checkpoint()
-    found = detect(parts.select("photo_id", "piece_id", "height", "width", "data"), factory, settings).checkpoint()
+    parts = stored(segment(images, settings), "parts")
+    found = stored(detect(parts.select("photo_id", "piece_id", "height", "width", "data"), factory, settings), "detections")
     named = snap(found.withColumnRenamed("text", "raw_text"), "raw_text", settings=settings)
     results = cascade(parts, named, settings).withColumn("piece_ord", F.col("piece_id"))
     unique = resolve(results)

@@ -59,10 +59,10 @@ class Service:
     def upload(self, data: bytes, filename: str | None, created_at: str, photo_id: str | None = None) -> DataFrame:
         """Store the bytes of an image, in place of an earlier copy of that name, and index it. The summary's row.
 
-        Without a photo id the file's stem names it, or else a random one. A name is checked before
+        Without a photo id, or with an empty one, the file's stem names it, or else a random one. A name is checked before
         the bytes are decoded, and bytes that are no image leave what is stored as it is.
         """
-        name = self.check_name(photo_id if photo_id is not None else PurePath(filename or "").stem or uuid.uuid4().hex[:8])
+        name = self.check_name(photo_id or PurePath(filename or "").stem or uuid.uuid4().hex[:8])
         jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
         came, kept = (jvm.org.apache.hadoop.fs.Path(x) for x in (f"{self.uploads}/incoming/{uuid.uuid4().hex}", f"{self.uploads}/{name}.image"))
         store = came.getFileSystem(conf)

@@ -635,3 +635,42 @@ def split_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .plans.index import segment
 
     return segment(pairs(spark, sf_dir)).select("photo_id", "piece_id", "x", "y", "w", "h")
+
+
+@query(f"""WITH {CODES}, discs AS (SELECT n, k, (n * 131 + k % 5 * 37) % 1000 + 1 AS number, 55 + 100 * (k % 3) AS cx, 65 + 110 * (k // 3) AS cy, 20 + (n * 7 + k * 5) % 12 AS r FROM (SELECT DISTINCT event_id // 500 AS n FROM events), range(6) t(k)),
+seen AS (SELECT *, row_number() OVER (PARTITION BY n ORDER BY cy - r, cx - r) - 1 AS piece_id, c.code AS real FROM discs JOIN codes c USING (number)),
+told AS (SELECT *, CASE WHEN number % 25 <> 0 THEN row_number() OVER (PARTITION BY n, number ORDER BY piece_id) END AS rn FROM seen)
+SELECT 'p' || n AS photo_id, '2026-01-01T10:00:00' AS created_at, piece_id::INT AS piece_id, (cx - r + 1)::INT AS x, (cy - r + 1)::INT AS y, (2 * r - 1)::INT AS w, (2 * r - 1)::INT AS h, CASE WHEN rn = 1 THEN real END AS code,
+  CASE WHEN rn = 1 THEN CASE WHEN number % 9 <> 0 THEN 0.95 ELSE 0.6 END ELSE 0 END::DOUBLE AS confidence, CASE WHEN rn IS NOT NULL THEN CASE WHEN number % 7 = 0 THEN lower(left(real, 1)) || number ELSE real END END AS raw_text,
+  CASE WHEN rn = 1 THEN 'direct' WHEN rn > 1 THEN 'conflict' ELSE 'none' END AS method, CASE WHEN rn IS NOT NULL THEN 0 END AS angle FROM told""")
+def build_photos(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Photos of pieces whose colours tell their codes, indexed whole: segmented, cropped, read in passes by a recognizer, matched, made unique."""
+    from .plans.index import build_index
+
+    photos = build_index(A.coded_photos(spark, sf_dir), A.DrawnCodes, "2026-01-01T10:00:00")
+    rows = library.flat(photos).join(photos.select("photo_id", "created_at"), "photo_id")
+    return rows.select("photo_id", "created_at", "piece_id", "x", "y", "w", "h", "code", "confidence", "raw_text", "method", "angle")
+
+
+@query(f"""WITH {A.PIECES}, versions AS (SELECT photo_id, v, CASE WHEN v * 7 % 3 <> 0 OR photo_id < 'p2' THEN format('2026-01-0{{}}T10:00:00', (v + length(photo_id) * 2 + ascii(right(photo_id, 1))) % 4 + 1) END AS created_at FROM (SELECT DISTINCT photo_id FROM pieces), range(3) t(v)),
+newest AS (SELECT photo_id, arg_max(v, coalesce(created_at, '')) AS v, max(created_at) AS created_at FROM versions GROUP BY 1)
+SELECT photo_id, n.created_at, count(*)::BIGINT AS n, count(DISTINCT code) FILTER (WHERE code <> '')::BIGINT AS codes, min(piece_id)::INT AS first_piece FROM newest n JOIN pieces USING (photo_id) WHERE piece_ord % 3 = v GROUP BY ALL""")
+def stream_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Versions of photos from a stream of files, three batches in which newer ones may come first: the index ends with the newest of each."""
+    from .streaming.upsert import follow
+
+    folder = fresh_folder(spark, "stream")
+    rows = A.pieces(spark, sf_dir)
+    kinds = None
+    for v in range(3):
+        number = (v + F.length("photo_id") * 2 + F.ascii(F.right("photo_id", F.lit(1)))) % 4 + 1
+        at = F.when(F.lit(v * 7 % 3 != 0) | (F.col("photo_id") < "p2"), F.format_string("2026-01-0%dT10:00:00", number))
+        batch = photos_of(rows.where(F.col("piece_ord") % 3 == v)).withColumn("created_at", at)
+        batch.write.parquet(f"{folder}/in/v{v}")
+        kinds = batch.schema
+    for v in range(3):
+        stream = spark.readStream.schema(kinds).parquet(f"{folder}/in/v{v}")
+        follow(stream, f"{folder}/index", f"{folder}/checkpoint{v}").awaitTermination()
+    photos = library.open_index(spark, f"{folder}/index")
+    found = library.flat(photos).groupBy("photo_id").agg(F.count("*").alias("n"), F.count_distinct(F.when(F.col("code") != "", F.col("code"))).alias("codes"), F.min("piece_id").alias("first_piece"))
+    return photos.select("photo_id", "created_at").join(found, "photo_id")
