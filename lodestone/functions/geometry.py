@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..config import SETTINGS, Settings
+from .columns import let
 
 
 def area(points: Column) -> Column:
@@ -71,3 +72,32 @@ def zone(x, y, w, h, width, height) -> Column:
     col, row = third(x + w / 2, width), third(y + h / 2, height)
     name = F.concat(F.element_at(F.lit(["左", "中", "右"]), col + 1), F.element_at(F.lit(["上", "中", "下"]), row + 1), F.lit("区"))
     return F.when((col == 1) & (row == 1), F.lit("正中")).otherwise(name)
+
+
+def homography(quad: Column, w: Column, h: Column) -> Column:
+    """struct(a, b, c, d, e, f, g, h) of the perspective map from a w x h rectangle to a quad, whose points follow the rectangle's corners from the upper left on, clockwise.
+
+    The eight equations in closed form. Null where they have no solution: for a null or short quad,
+    one whose second, third and fourth points lie on a line, or a side of no length.
+    """
+    xs, ys = ([F.get(F.get(quad, i), k).cast("double") for i in range(4)] for k in (0, 1))
+
+    def across(v: list[Column]) -> tuple[Column, Column, Column]:
+        return v[1] - v[2], v[3] - v[2], v[0] - v[1] + v[2] - v[3]
+
+    (x1, x2, sx), (y1, y2, sy) = across(xs), across(ys)
+    area = F.nullif(x1 * y2 - x2 * y1, F.lit(0.0))
+    solved = F.struct(((sx * y2 - x2 * sy) / area).alias("g"), ((x1 * sy - sx * y1) / area).alias("h"), F.nullif(w.cast("double"), F.lit(0.0)).alias("w"), F.nullif(h.cast("double"), F.lit(0.0)).alias("t"))
+
+    def scaled(s: Column) -> Column:
+        g, k = s["g"], s["h"]
+        made = {"a": (xs[1] - xs[0] + g * xs[1]) / s["w"], "b": (xs[3] - xs[0] + k * xs[3]) / s["t"], "c": xs[0], "d": (ys[1] - ys[0] + g * ys[1]) / s["w"], "e": (ys[3] - ys[0] + k * ys[3]) / s["t"], "f": ys[0], "g": g / s["w"], "h": k / s["t"]}
+        return F.when((g + k + s["w"] + s["t"]).isNotNull(), F.struct(*[v.alias(n) for n, v in made.items()]))
+
+    return let(solved, scaled)
+
+
+def mapped(by: Column, x: Column, y: Column) -> Column:
+    """struct(x, y): where a homography takes a point; null on its horizon."""
+    below = F.nullif(by["g"] * x + by["h"] * y + 1, F.lit(0.0))
+    return F.struct(((by["a"] * x + by["b"] * y + by["c"]) / below).alias("x"), ((by["d"] * x + by["e"] * y + by["f"]) / below).alias("y"))

@@ -674,3 +674,16 @@ def stream_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     photos = library.open_index(spark, f"{folder}/index")
     found = library.flat(photos).groupBy("photo_id").agg(F.count("*").alias("n"), F.count_distinct(F.when(F.col("code") != "", F.col("code"))).alias("codes"), F.min("piece_id").alias("first_piece"))
     return photos.select("photo_id", "created_at").join(found, "photo_id")
+
+
+@query(f"""WITH {A.DETECTIONS}, quads AS (SELECT photo_id, piece_id, det_ord, (piece_id % 50)::DOUBLE AS x, 40 + piece_id % 50 % 7 AS r, 15 + piece_id % 50 % 60 AS d FROM detections WHERE quad),
+crossed AS (SELECT *, (r * 15 - 0 * -r)::DOUBLE / (40 * 15 - d * -r)::DOUBLE AS t FROM quads)
+SELECT photo_id, piece_id, det_ord, floor((x + t * 40) * 1000 + 0.1234567)::BIGINT AS centre_x, floor((x + t * d) * 1000 + 0.1234567)::BIGINT AS centre_y, floor(x * 1000 + 0.1234567)::BIGINT AS corner_x, floor((x + 15) * 1000 + 0.1234567)::BIGINT AS corner_y FROM crossed""")
+def quad_centres(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where the perspective map of each detection's quad takes the centre of its upright rectangle, which is where the quad's diagonals cross, and the lower left corner."""
+    found = A.detections(spark, sf_dir).where(F.col("poly").isNotNull())
+    size = geometry.quad_size(F.col("poly"))
+    placed = found.withColumn("size", size).withColumn("by", geometry.homography(F.col("poly"), F.col("size.w"), F.col("size.h")))
+    centre, corner = geometry.mapped(F.col("by"), F.col("size.w") / 2, F.col("size.h") / 2), geometry.mapped(F.col("by"), F.lit(0), F.col("size.h"))
+    whole = lambda c: F.floor(c * 1000 + 0.1234567)
+    return placed.select("photo_id", "piece_id", "det_ord", whole(centre["x"]).alias("centre_x"), whole(centre["y"]).alias("centre_y"), whole(corner["x"]).alias("corner_x"), whole(corner["y"]).alias("corner_y"))
