@@ -164,8 +164,8 @@ def outline(shape: tuple[int, int], points: np.ndarray, thickness: int) -> np.nd
     reach = range(-((thickness - 1) // 2), thickness // 2 + 1)
     for (ax, ay), (bx, by) in zip(points, np.roll(points, -1, 0), strict=True):
         n = int(max(abs(bx - ax), abs(by - ay), 1))
-        xs = np.rint(np.linspace(ax, bx, n + 1)).astype(int)
-        ys = np.rint(np.linspace(ay, by, n + 1)).astype(int)
+        i = np.arange(n + 1)
+        xs, ys = ((2 * (int(a) * n + i * (int(b) - int(a))) + n) // (2 * n) for a, b in ((ax, bx), (ay, by)))
         for dy in reach:
             for dx in reach:
                 ok = (ys + dy >= 0) & (ys + dy < h) & (xs + dx >= 0) & (xs + dx < w)

@@ -78,3 +78,55 @@ def blur(pixels: DataFrame, height: int, width: int, image: str = "image") -> Da
 def dimmed(pixels: DataFrame, inside: Column, dim: float) -> DataFrame:
     """Pixels outside the target darkened, cut off to whole levels."""
     return pixels.withColumn("v", F.when(inside, F.col("v")).otherwise((F.col("v") * F.lit(dim)).cast("int")))
+
+
+#: Weights of cubic interpolation are whole parts of this.
+UNIT = 1 << 20
+#: Fixed value: the parameter of the cubic.
+CUBIC = -0.75
+
+
+def _cubic(t: Column) -> Column:
+    """The weight at a distance of 0 to 2, in parts of UNIT."""
+    near = ((CUBIC + 2) * t - (CUBIC + 3)) * t * t + 1
+    far = ((CUBIC * t - 5 * CUBIC) * t + 8 * CUBIC) * t - 4 * CUBIC
+    return F.rint(F.when(t <= 1, near).otherwise(far) * UNIT).cast("long")
+
+
+def _along(pixels: DataFrame, keys: tuple[str, ...], at: str, old: Column, new: Column, channels: tuple[str, ...]) -> DataFrame:
+    """One axis resampled: what each pixel gives to those that it reaches, added up in whole numbers. ``shrink`` says how."""
+    p = F.col(at)
+    first = lambda m: F.ceil(((2 * m + 1) * new - old) / (2 * old))  # noqa: E731  (the first whose base is m or more)
+    low = F.when(F.col("shrink"), F.floor(p * new / old)).when(p == 0, 0).otherwise(F.greatest(F.lit(0), first(p - 2)))
+    high = F.when(F.col("shrink"), F.floor(((p + 1) * new - 1) / old)).when(p == old - 1, new - 1).otherwise(F.least(new - 1, first(p + 2) - 1))
+    reached = pixels.withColumns({"_low": low.cast("long"), "_high": high.cast("long")}).where("_low <= _high").withColumn("_to", F.explode(F.sequence("_low", "_high")))
+    to = F.col("_to")
+    shared = F.least((to + 1) * old, (p + 1) * new) - F.greatest(to * old, p * new)
+    based = reached.withColumn("_base", F.floor(((2 * to + 1) * old - new) / (2 * new)))
+    past = ((2 * to + 1) * old - new - 2 * new * F.col("_base")) / (2 * new)
+    parts = based.withColumns({"_w0": _cubic(past + 1), "_w2": _cubic(1 - past), "_w3": _cubic(2 - past)})
+    taps = {-1: F.col("_w0"), 0: UNIT - F.col("_w0") - F.col("_w2") - F.col("_w3"), 1: F.col("_w2"), 2: F.col("_w3")}
+    cubic = sum((F.when(F.least(F.greatest(F.col("_base") + k, F.lit(0)), old - 1) == p, w).otherwise(0) for k, w in taps.items()), F.lit(0))
+    weighed = parts.withColumn("_weight", F.when(F.col("shrink"), shared).otherwise(cubic))
+    sums = [F.sum(F.col(c) * F.col("_weight")).alias(c) for c in channels]
+    return weighed.groupBy(*keys, to.alias(at)).agg(*sums)
+
+
+def resampled(pixels: DataFrame, keys: tuple[str, ...] = ("image",), channels: tuple[str, ...] = ("v",)) -> DataFrame:
+    """(keys, y, x, channels) in another size: by area averages when a picture shrinks, by cubic interpolation when it grows.
+
+    Pixels are rows (keys, y, x, height, width, to_height, to_width, channels), the sizes being
+    those of the picture and of what is made of it; a pixel without a row counts as 0, and rows
+    with a null or no size are left out. Each axis is one aggregation, combined before the shuffle.
+    Sums are whole numbers, so results depend on no order; halves go to the even level.
+    """
+    sizes = ("height", "width", "to_height", "to_width")
+    longs = {c: F.col(c).cast("long") for c in ("y", "x", *sizes)}
+    sized = pixels.select(*keys, "y", "x", *sizes, *channels).withColumns(longs).where("height > 0 AND width > 0 AND to_height > 0 AND to_width > 0")
+    told = sized.withColumn("shrink", F.col("to_height") * F.col("to_width") < F.col("height") * F.col("width"))
+    kept = (*keys, *sizes, "shrink")
+    across = _along(told, (*kept, "y"), "x", F.col("width"), F.col("to_width"), channels)
+    down = _along(across, (*kept, "x"), "y", F.col("height"), F.col("to_height"), channels)
+    whole = F.when(F.col("shrink"), F.col("height") * F.col("width")).otherwise(F.lit(UNIT * UNIT))
+    level = lambda c: F.least(F.lit(255), F.greatest(F.lit(0), F.rint(F.col(c) / whole).cast("int"))).alias(c)
+    return down.select(*keys, F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"), *[level(c) for c in channels])

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from . import adapters as A
 from .config import SETTINGS
 from .functions import costs, geometry, text
-from .operators import lookup, neighbours, pixels, recognize, report, tiles, vocabulary
+from .operators import lookup, neighbours, pixels, polygons, recognize, report, tiles, vocabulary
 from .operators.resolve import resolve
 from .sources import library
 from .sources.scratch import fresh_folder
@@ -687,3 +687,48 @@ def quad_centres(spark: SparkSession, sf_dir: str) -> DataFrame:
     centre, corner = geometry.mapped(F.col("by"), F.col("size.w") / 2, F.col("size.h") / 2), geometry.mapped(F.col("by"), F.lit(0), F.col("size.h"))
     whole = lambda c: F.floor(c * 1000 + 0.1234567)
     return placed.select("photo_id", "piece_id", "det_ord", whole(centre["x"]).alias("centre_x"), whole(centre["y"]).alias("centre_y"), whole(corner["x"]).alias("corner_x"), whole(corner["y"]).alias("corner_y"))
+
+
+def shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(image, piece_id, contour, thickness, unknown): for each of the grids none to two polygons of five points, some with crossing sides, some beyond the grid."""
+    images = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("image"))
+    rows = images.select("image", F.explode(F.sequence(F.lit(0), F.lit(1))).alias("piece_id")).where("piece_id < image % 3")
+    corner = lambda k, m: ((F.col("image") * (k + 3) + F.col("piece_id") * 5 + k * 7) % m - 1).cast("int")
+    return rows.select("image", "piece_id", F.array(*[F.array(corner(k, 10), corner(k + 5, 11)) for k in range(5)]).alias("contour"), (F.col("image") % 2 + 1).cast("int").alias("thickness"), (F.col("image") % 5 == 0).alias("unknown"))
+
+
+SIDES = """corners AS (SELECT vec_id AS image, piece_id, k, (vec_id * (k + 3) + piece_id * 5 + k * 7) % 10 - 1 AS x, (vec_id * (k + 8) + piece_id * 5 + (k + 5) * 7) % 11 - 1 AS y FROM embeddings, range(2) p(piece_id), range(5) t(k) WHERE piece_id < vec_id % 3),
+  sides AS (SELECT a.image, a.piece_id, a.x AS ax, a.y AS ay, b.x AS bx, b.y AS by_, greatest(abs(b.x - a.x), abs(b.y - a.y), 1) AS n FROM corners a JOIN corners b ON a.image = b.image AND a.piece_id = b.piece_id AND b.k = (a.k + 1) % 5),
+  inside AS (SELECT image, piece_id, q.y, q.x FROM sides, (SELECT y, x FROM range(8) a(y), range(8) b(x)) q WHERE q.y >= least(ay, by_) AND q.y < greatest(ay, by_) AND q.x >= ax + ((q.y - ay) * (bx - ax))::DOUBLE / (by_ - ay) GROUP BY ALL HAVING count(*) % 2 = 1),
+  walked AS (SELECT image, piece_id, i, floor((2 * (ax * n + i * (bx - ax)) + n) / (2 * n)::DOUBLE)::BIGINT AS x, floor((2 * (ay * n + i * (by_ - ay)) + n) / (2 * n)::DOUBLE)::BIGINT AS y FROM (SELECT *, unnest(range(n + 1)) AS i FROM sides)),
+  shaped AS (SELECT image, piece_id, y, x FROM inside UNION SELECT image, piece_id, y, x FROM walked),
+  band AS (SELECT DISTINCT image, y + dy AS y, x + dx AS x FROM walked, range(2) a(dy), range(2) b(dx) WHERE dy <= image % 2 AND dx <= image % 2)"""
+
+
+@query(f"""WITH {A.PIXELS}, {SIDES}, lit AS (SELECT DISTINCT image, y, x FROM shaped)
+SELECT p.image, p.y, p.x, c.level AS channel, CASE WHEN b.x IS NOT NULL THEN CASE WHEN p.image % 5 = 0 THEN [255, 255, 0][c.level + 1] ELSE [255, 0, 255][c.level + 1] END WHEN l.x IS NOT NULL THEN (v + c.level * 11) % 256 ELSE trunc((v + c.level * 11) % 256 * 0.45::DOUBLE) END::INT AS v
+FROM pixels p, (SELECT unnest([0, 1, 2]) AS level) c LEFT JOIN lit l ON l.image = p.image AND l.y = p.y AND l.x = p.x LEFT JOIN band b ON b.image = p.image AND b.y = p.y AND b.x = p.x""")
+def highlight_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The grids in three colours, dimmed but for their polygons, which get outlines: every level of every pixel."""
+    level = lambda k: ((F.col("v") + k * 11) % 256).alias("bgr"[k])
+    lit = polygons.highlighted(A.pixels(spark, sf_dir).select("image", "y", "x", *map(level, range(3))), shapes(spark, sf_dir))
+    return lit.select("image", "y", "x", F.posexplode(F.array("b", "g", "r")).alias("channel", "v"))
+
+
+#: One axis of the grids resampled: what share of pixel j goes to pixel i of n.
+SHARES = """weights AS (
+    SELECT n, TRUE AS shrink, i, j, least((i + 1) * 8, (j + 1) * n) - greatest(i * 8, j * n) AS w FROM range(1, 24) s(n), range(23) a(i), range(8) b(j) WHERE i < n AND least((i + 1) * 8, (j + 1) * n) > greatest(i * 8, j * n)
+    UNION ALL SELECT n, FALSE, i, greatest(0, least(7, base + k)), CASE k WHEN -1 THEN w0 WHEN 0 THEN 1048576 - w0 - w2 - w3 WHEN 1 THEN w2 ELSE w3 END FROM (
+      SELECT n, i, base, round_even(1048576 * (((-0.75::DOUBLE * (f + 1) + 3.75::DOUBLE) * (f + 1) - 6) * (f + 1) + 3), 0)::BIGINT AS w0, round_even(1048576 * ((1.25::DOUBLE * (1 - f) - 2.25::DOUBLE) * (1 - f) * (1 - f) + 1), 0)::BIGINT AS w2, round_even(1048576 * (((-0.75::DOUBLE * (2 - f) + 3.75::DOUBLE) * (2 - f) - 6) * (2 - f) + 3), 0)::BIGINT AS w3
+      FROM (SELECT n, i, floor(((2 * i + 1) * 8 - n)::DOUBLE / (2 * n))::BIGINT AS base, ((2 * i + 1) * 8 - n)::DOUBLE / (2 * n) - floor(((2 * i + 1) * 8 - n)::DOUBLE / (2 * n)) AS f FROM range(1, 24) s(n), range(23) a(i) WHERE i < n)), range(-1, 3) c(k))"""
+
+
+@query(f"""WITH {A.PIXELS}, {SHARES}, sized AS (SELECT *, 3 + image % 17 AS tall, 2 + image % 19 AS wide, (3 + image % 17) * (2 + image % 19) < 64 AS small FROM pixels),
+across AS (SELECT image, tall, small, y, i AS x, sum(v * w) AS v FROM sized JOIN weights ON n = wide AND shrink = small AND j = x GROUP BY ALL),
+down AS (SELECT image, small, i AS y, x, sum(v * w) AS v FROM across JOIN weights ON n = tall AND shrink = small AND j = y GROUP BY image, small, i, x)
+SELECT image, y::INT AS y, x::INT AS x, greatest(0, least(255, round_even(v::DOUBLE / CASE WHEN small THEN 64 ELSE 1099511627776 END, 0)))::INT AS v FROM down""")
+def resample_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The grids in 323 other sizes, smaller by area and larger by cubic weights."""
+    image = F.col("image")
+    sizes = {"height": F.lit(8), "width": F.lit(8), "to_height": 3 + image % 17, "to_width": 2 + image % 19}
+    return pixels.resampled(A.pixels(spark, sf_dir).withColumns(sizes))
