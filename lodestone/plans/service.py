@@ -10,9 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import SETTINGS, Settings
-from ..functions.text import name_error, photo_name
+from ..functions.text import name_error, normalize, photo_name
 from ..operators import kernels, lookup
-from ..sources import library
+from ..sources import library, store
 from ..sources.images import read_images
 from .index import build_index
 
@@ -33,7 +33,7 @@ class Service:
         self.uploads = (photos or f"{index.rstrip('/')}-photos").rstrip("/")
 
     def photos(self) -> DataFrame:
-        return library.open_index(self.spark, self.index)
+        return store.open_index(self.spark, self.index)
 
     def pieces(self) -> DataFrame:
         return library.flat(self.photos())
@@ -53,7 +53,7 @@ class Service:
             raise Invalid("unreadable")
         named = images.withColumn("photo_id", photo_name(F.lit(name), F.col("image_path")))
         built = build_index(named, self.factory, created_at, self.settings)
-        library.save(built, self.index)
+        store.save(built, self.index)
         return self.summary().join(named.select("photo_id"), "photo_id", "left_semi")
 
     def upload(self, data: bytes, filename: str | None, created_at: str, photo_id: str | None = None) -> DataFrame:
@@ -65,8 +65,8 @@ class Service:
         name = self.check_name(photo_id or PurePath(filename or "").stem or uuid.uuid4().hex[:8])
         jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
         came, kept = (jvm.org.apache.hadoop.fs.Path(x) for x in (f"{self.uploads}/incoming/{uuid.uuid4().hex}", f"{self.uploads}/{name}.image"))
-        store = came.getFileSystem(conf)
-        stream = store.create(came, True)
+        disk = came.getFileSystem(conf)
+        stream = disk.create(came, True)
         try:
             stream.write(data)
         finally:
@@ -74,10 +74,10 @@ class Service:
         try:
             if read_images(self.spark, came.toString()).isEmpty():
                 raise Invalid("unreadable")
-            store.delete(kept, False)
-            store.rename(came, kept)
+            disk.delete(kept, False)
+            disk.rename(came, kept)
         finally:
-            store.delete(came, False)
+            disk.delete(came, False)
         return self.ingest(kept.toString(), created_at, name)
 
     def summary(self) -> DataFrame:
@@ -86,18 +86,23 @@ class Service:
         return lookup.photo_stats(photos, library.flat(photos)).join(photos.select("photo_id", "created_at"), "photo_id")
 
     def delete(self, photo_id: str) -> None:
-        if not library.delete(self.spark, self.index, photo_id):
+        if not store.delete(self.spark, self.index, photo_id):
             raise Missing(photo_id)
 
     def query(self, code: str) -> tuple[bool, DataFrame]:
-        """Whether a code is found, with its piece's row, or else the rows of unrecognized pieces by photo."""
+        """Whether a code is found, with its piece's row, or else the rows of unrecognized pieces by photo. A hit reads a bucket of codes and one of photos."""
         asked = self.spark.range(1).select(F.lit(code).alias("query"))
-        hit = lookup.hits(asked, self.pieces())
-        return (False, lookup.misses(asked, self.pieces())) if hit.isEmpty() else (True, hit)
+        now = store.current(self.spark, self.index)
+        plain = asked.select(normalize(F.col("query"))).first()[0]
+        first = None if plain is None else lookup.hits(asked, now.codes(plain)).first()
+        if first is None:
+            return False, lookup.misses(asked, library.flat(now.photos()))
+        row = library.flat(now.photos(first["photo_id"])).where(F.col("piece_ord") == first["piece_ord"])
+        return True, row.select(F.lit(code).alias("query"), "code", *[c for c in row.columns if c != "code"])
 
     def _image(self, photo_id: str) -> np.ndarray:
         """A photo's own picture."""
-        row = self.photos().where(F.col("photo_id") == photo_id).select("image_path").first()
+        row = store.current(self.spark, self.index).photos(photo_id).select("image_path").first()
         found = row and read_images(self.spark, row["image_path"]).first()
         if not found:
             raise Missing(photo_id)
@@ -111,7 +116,7 @@ class Service:
             return kernels.png(kernels.highlight(self._image(row["photo_id"]), [np.array(row["contour"])], False, self.settings))
         if photo_id is None:
             raise Missing(code)
-        left = lookup.unrecognized(self.pieces()).where(F.col("photo_id") == photo_id).orderBy("piece_ord").select("contour").collect()
+        left = lookup.unrecognized(library.flat(store.current(self.spark, self.index).photos(photo_id))).orderBy("piece_ord").select("contour").collect()
         return kernels.png(kernels.highlight(self._image(photo_id), [np.array(r["contour"]) for r in left], True, self.settings))
 
     def thumbnail(self, code: str, size: int | None = None) -> bytes:

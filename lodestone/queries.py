@@ -10,7 +10,7 @@ from .config import SETTINGS
 from .functions import costs, geometry, text
 from .operators import lookup, neighbours, pixels, polygons, recognize, report, tiles, vocabulary
 from .operators.resolve import resolve
-from .sources import library
+from .sources import library, store
 from .sources.scratch import fresh_folder
 
 QUERIES: dict = {}
@@ -512,11 +512,21 @@ def library_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def library_save(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Photos saved to an index on disk, two of them saved again in another version, one deleted."""
     folder = fresh_folder(spark, "index")
-    library.save(photos_of(resolve(A.pieces(spark, sf_dir))), folder)
+    store.save(photos_of(resolve(A.pieces(spark, sf_dir))), folder)
     again = A.pieces(spark, sf_dir).where(F.col("photo_id").isin("p1", "p3") & (F.col("piece_ord") % 2 == 0))
-    library.save(photos_of(again), folder)
-    library.delete(spark, folder, "p2")
-    return library.flat(library.open_index(spark, folder)).drop("contour")
+    store.save(photos_of(again), folder)
+    store.delete(spark, folder, "p2")
+    return library.flat(store.open_index(spark, folder)).drop("contour")
+
+
+@query(f"WITH {A.RESOLVED}, new AS (SELECT *, row_number() OVER (PARTITION BY photo_id ORDER BY piece_ord) - 1 AS place FROM pieces WHERE photo_id IN ('p1', 'p3') AND piece_ord % 2 = 0), old AS (SELECT *, row_number() OVER (PARTITION BY photo_id ORDER BY piece_ord) - 1 AS place FROM resolved WHERE photo_id NOT IN ('p1', 'p2', 'p3')) SELECT code, photo_id, place AS piece_ord FROM (SELECT code, photo_id, place FROM old UNION ALL SELECT code, photo_id, place FROM new) WHERE code <> ''")
+def code_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table of codes that library_save's index keeps beside its photos."""
+    folder = fresh_folder(spark, "index")
+    store.save(photos_of(resolve(A.pieces(spark, sf_dir))), folder)
+    store.save(photos_of(A.pieces(spark, sf_dir).where(F.col("photo_id").isin("p1", "p3") & (F.col("piece_ord") % 2 == 0))), folder)
+    store.delete(spark, folder, "p2")
+    return store.current(spark, folder).codes()
 
 
 @query(f"WITH {A.PIECES} SELECT photo_id, piece_ord, piece_id, code, confidence, method FROM (SELECT *, row_number() OVER (PARTITION BY photo_id ORDER BY piece_ord) AS rn FROM pieces WHERE code = 'A-101') WHERE rn = 1")
@@ -671,7 +681,7 @@ def stream_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     for v in range(3):
         stream = spark.readStream.schema(kinds).parquet(f"{folder}/in/v{v}")
         follow(stream, f"{folder}/index", f"{folder}/checkpoint{v}").awaitTermination()
-    photos = library.open_index(spark, f"{folder}/index")
+    photos = store.open_index(spark, f"{folder}/index")
     found = library.flat(photos).groupBy("photo_id").agg(F.count("*").alias("n"), F.count_distinct(F.when(F.col("code") != "", F.col("code"))).alias("codes"), F.min("piece_id").alias("first_piece"))
     return photos.select("photo_id", "created_at").join(found, "photo_id")
 

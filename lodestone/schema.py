@@ -41,3 +41,4 @@ DETECTION = T.StructType(
         T.StructField("poly", POINTS),
     ]
 )
+CODE = T.StructType([T.StructField("code", T.StringType()), T.StructField("photo_id", T.StringType()), T.StructField("piece_ord", T.LongType())])

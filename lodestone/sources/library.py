@@ -1,4 +1,4 @@
-"""The library of photos and their pieces: JSON files in, partitioned Parquet kept, rows replaced by photo."""
+"""The library of photos and their pieces: JSON files in and out, photos with pieces nested or flat, rows replaced by photo."""
 
 from __future__ import annotations
 
@@ -9,12 +9,7 @@ from pyspark.sql import types as T
 
 from ..operators.order import running
 from ..schema import PHOTO
-
-
-def exists(spark: SparkSession, path: str) -> bool:
-    """Whether a path is there, in whatever store Spark reads it from."""
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+from .store import exists
 
 
 def scan_json(spark: SparkSession, path: str) -> DataFrame:
@@ -81,26 +76,6 @@ def export_json(photos: DataFrame, path: str) -> None:
     photos.select(*PHOTO.names).write.option("maxRecordsPerFile", 1).option("ignoreNullFields", "false").json(path)
 
 
-def save(photos: DataFrame, path: str) -> None:
-    """Write photos to the index; those already there with the same ids are replaced, others stay."""
-    photos.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("photo_id").parquet(path)
-
-
-def open_index(spark: SparkSession, path: str) -> DataFrame:
-    """The index as written by save(); empty where there is none."""
-    if not exists(spark, path):
-        return spark.createDataFrame([], PHOTO)
-    kinds = T.StructType([*[f for f in PHOTO.fields if f.name != "photo_id"], PHOTO["photo_id"]])
-    return spark.read.schema(kinds).option("basePath", path).parquet(path).select(*PHOTO.names)
-
-
-def delete(spark: SparkSession, path: str, photo_id: str) -> bool:
-    """Drop a photo's partition; false if there is none."""
-    escape = spark.sparkContext._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/photo_id={escape(photo_id)}")
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
 def upsert(old: DataFrame, new: DataFrame, key: str = "photo_id") -> DataFrame:
     """Rows of ``new``, and those of ``old`` with none of its keys."""
     return old.join(new.select(key).distinct(), key, "left_anti").select(*old.columns).unionByName(new.select(*old.columns))

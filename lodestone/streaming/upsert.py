@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..sources.library import open_index, save
 from ..sources.scratch import stored
+from ..sources.store import current, save
 
 
 def latest(photos: DataFrame, key: str = "photo_id", order: str = "created_at") -> DataFrame:
@@ -29,13 +29,13 @@ def follow(stream: DataFrame, index: str, checkpoint: str, once: bool = True) ->
 
     Versions may come late and in any order: one older than the index's own changes nothing, nor
     does a batch that is repeated. What a batch brings is stored before it is written, as the index
-    is read for it. Only the times of the batch's own photos are asked for.
+    is read for it, of which only the buckets that its photos fall into.
     """
 
     def put(batch: DataFrame, number: int) -> None:
-        fresh = latest(batch)
-        old = open_index(batch.sparkSession, index).select("photo_id", "created_at").join(fresh.select("photo_id"), "photo_id", "left_semi")
-        save(stored(newer(fresh, old), "fresh"), index)
+        fresh = stored(latest(batch), "fresh")
+        old = current(batch.sparkSession, index).photos_of(fresh.select("photo_id")).select("photo_id", "created_at")
+        save(newer(fresh, old), index)
 
     writer = stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(put)
     return (writer.trigger(availableNow=True) if once else writer).start()

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from lodestone.operators import lookup, recognize
 from lodestone.operators.resolve import resolve
-from lodestone.sources import library
+from lodestone.sources import library, store
 from lodestone.streaming.upsert import follow, latest
 
 RESULT = "photo_id string, piece_ord long, piece_id int, code string, confidence double, raw_text string, method string, angle int"
@@ -93,12 +93,12 @@ def test_library_files(spark, tmp_path):
 def test_index_replaces_by_photo(spark, tmp_path):
     index = str(tmp_path / "index")
     rows = lambda *p: library.from_json(spark.createDataFrame([(json.dumps(x),) for x in p], "json string"))
-    assert library.open_index(spark, index).count() == 0
-    library.save(rows(photo("a"), photo("左上角")), index)
-    library.save(rows(photo("a", "A-9")), index)
-    assert {(r["photo_id"], r["pieces"][0]["code"]) for r in library.open_index(spark, index).collect()} == {("a", "A-9"), ("左上角", "A-1")}
-    assert library.delete(spark, index, "左上角") and not library.delete(spark, index, "none")
-    assert [r["photo_id"] for r in library.open_index(spark, index).collect()] == ["a"]
+    assert store.open_index(spark, index).count() == 0
+    store.save(rows(photo("a"), photo("左上角")), index)
+    store.save(rows(photo("a", "A-9")), index)
+    assert {(r["photo_id"], r["pieces"][0]["code"]) for r in store.open_index(spark, index).collect()} == {("a", "A-9"), ("左上角", "A-1")}
+    assert store.delete(spark, index, "左上角") and not store.delete(spark, index, "none")
+    assert [r["photo_id"] for r in store.open_index(spark, index).collect()] == ["a"]
 
 
 def test_a_stream_keeps_the_latest(spark, tmp_path):
@@ -108,7 +108,7 @@ def test_a_stream_keeps_the_latest(spark, tmp_path):
     made.write.parquet(source)
     query = follow(spark.readStream.schema(made.schema).parquet(source), index, str(tmp_path / "state"))
     query.awaitTermination()
-    assert [r["pieces"][0]["code"] for r in library.open_index(spark, index).collect()] == ["A-2"]
+    assert [r["pieces"][0]["code"] for r in store.open_index(spark, index).collect()] == ["A-2"]
 
 
 def test_payload(spark):

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestone.schema import PHOTO
-from lodestone.sources import library
+from lodestone.sources import library, store
 from lodestone.streaming.upsert import follow, latest, newer
 
 
@@ -21,7 +21,7 @@ def feed(spark, tmp_path):
         frame.coalesce(1).write.parquet(f"{tmp_path}/in{batch}")
         stream = spark.readStream.schema(PHOTO).parquet(f"{tmp_path}/in{batch}")
         follow(stream, f"file://{tmp_path}/index", f"{tmp_path}/state{batch}").awaitTermination()
-        return {r["photo_id"]: r["image_path"] for r in library.open_index(spark, f"file://{tmp_path}/index").collect()}
+        return {r["photo_id"]: r["image_path"] for r in store.open_index(spark, f"file://{tmp_path}/index").collect()}
 
     return put
 
