@@ -101,3 +101,30 @@ def mapped(by: Column, x: Column, y: Column) -> Column:
     """struct(x, y): where a homography takes a point; null on its horizon."""
     below = F.nullif(by["g"] * x + by["h"] * y + 1, F.lit(0.0))
     return F.struct(((by["a"] * x + by["b"] * y + by["c"]) / below).alias("x"), ((by["d"] * x + by["e"] * y + by["f"]) / below).alias("y"))
+
+
+def _view(scale: Column, tx: Column, ty: Column) -> Column:
+    return F.struct(scale.cast("double").alias("scale"), tx.cast("double").alias("tx"), ty.cast("double").alias("ty"))
+
+
+def fitted(view_w, view_h, width, height) -> Column:
+    """The view struct(scale, tx, ty), by which a point p of an image is shown at scale * p + (tx, ty): all of the image, in the middle. Null for an image without size."""
+    within = F.least(view_w / F.nullif(width, F.lit(0)), view_h / F.nullif(height, F.lit(0)))
+    whole = F.nullif(width, F.lit(0)) * F.nullif(height, F.lit(0))
+    return F.when(whole.isNotNull(), let(within, lambda s: _view(s, (view_w - width * s) / 2, (view_h - height * s) / 2)))
+
+
+def zoomed(view: Column, x, y, factor) -> Column:
+    """A view enlarged by a factor about a point of the screen, which keeps showing the same place."""
+    return F.when(view.isNotNull(), _view(view["scale"] * factor, x - (x - view["tx"]) * factor, y - (y - view["ty"]) * factor))
+
+
+def centred(view: Column, x, y, w, h, view_w, view_h, largest: float = 6.0) -> Column:
+    """A view moved so that a box's middle is in the screen's, and enlarged where the box takes less than a fifth of the screen's height; scales beyond the largest shrink to it."""
+    scale = F.least(F.lit(largest), F.greatest(view["scale"], view_h / (F.nullif(h, F.lit(0)) * 5)))
+    return F.when(view.isNotNull(), let(scale, lambda s: _view(s, view_w / 2 - (x + w / 2) * s, view_h / 2 - (y + h / 2) * s)))
+
+
+def shown(view: Column, x, y) -> Column:
+    """struct(x, y): where a view shows a point of the image."""
+    return F.struct((view["scale"] * x + view["tx"]).alias("x"), (view["scale"] * y + view["ty"]).alias("y"))

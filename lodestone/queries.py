@@ -742,3 +742,21 @@ def resample_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     image = F.col("image")
     sizes = {"height": F.lit(8), "width": F.lit(8), "to_height": 3 + image % 17, "to_width": 2 + image % 19}
     return pixels.resampled(A.pixels(spark, sf_dir).withColumns(sizes))
+
+
+@query(f"""WITH {A.BOXES}, sized AS (SELECT *, 320 + piece_ord % 900 AS vw, 240 + piece_ord % 700 AS vh, 1 + piece_ord % 9 * 0.25::DOUBLE AS factor FROM boxes),
+fit AS (SELECT *, least(vw / 4000::DOUBLE, vh / 3000::DOUBLE) AS s0 FROM sized),
+zoom AS (SELECT *, s0 * factor AS s1, vw / 3::DOUBLE - (vw / 3::DOUBLE - (vw - 4000 * s0) / 2) * factor AS tx1, vh / 4::DOUBLE - (vh / 4::DOUBLE - (vh - 3000 * s0) / 2) * factor AS ty1 FROM fit),
+mid AS (SELECT *, least(6::DOUBLE, greatest(s1, vh / (h * 5)::DOUBLE)) AS s2 FROM zoom)
+SELECT piece_ord, floor(s0 * 1e6 + 0.1234567)::BIGINT AS fit_scale, floor((s1 * x + tx1) * 1000 + 0.1234567)::BIGINT AS zoom_x, floor((s1 * y + ty1) * 1000 + 0.1234567)::BIGINT AS zoom_y, floor(s2 * 1e6 + 0.1234567)::BIGINT AS centre_scale, floor((vw / 2::DOUBLE + (0 - w / 2::DOUBLE) * s2) * 1000 + 0.1234567)::BIGINT AS centre_x, floor((vh / 2::DOUBLE + (0 - h / 2::DOUBLE) * s2) * 1000 + 0.1234567)::BIGINT AS centre_y FROM mid""")
+def view_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where a box's corner is shown when its photo is fitted into a window and then enlarged about a point, and when the box is centred."""
+    e = F.col("piece_ord")
+    sized = A.boxes(spark, sf_dir).withColumns({"vw": 320 + e % 900, "vh": 240 + e % 700, "factor": 1 + (e % 9) * F.lit(0.25)})
+    vw, vh = F.col("vw"), F.col("vh")
+    fit = sized.withColumn("fit", geometry.fitted(vw, vh, F.lit(4000), F.lit(3000)))
+    zoom = fit.withColumn("zoom", geometry.zoomed(F.col("fit"), vw / 3, vh / 4, F.col("factor")))
+    views = zoom.withColumn("mid", geometry.centred(F.col("zoom"), *[F.col(c) for c in "xywh"], vw, vh))
+    at, mid = (geometry.shown(F.col(v), F.col("x"), F.col("y")) for v in ("zoom", "mid"))
+    whole = lambda c, m: F.floor(c * m + 0.1234567)
+    return views.select("piece_ord", whole(F.col("fit.scale"), 1e6).alias("fit_scale"), whole(at["x"], 1000).alias("zoom_x"), whole(at["y"], 1000).alias("zoom_y"), whole(F.col("mid.scale"), 1e6).alias("centre_scale"), whole(mid["x"], 1000).alias("centre_x"), whole(mid["y"], 1000).alias("centre_y"))
