@@ -5,7 +5,6 @@ from __future__ import annotations
 import math
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import SPACES, free, let, stored, words
@@ -74,10 +73,11 @@ def measure(docs: DataFrame, text_col: str = "text", to: str = "_quality") -> Da
     return docs.withColumn(to, let(s, flat))
 
 
-def vector(q: Column) -> list[Column]:
-    """The transformed statistics: logarithms of sizes, and square roots of rates, which spread small rates."""
-    n = F.greatest(q["n_words"], F.lit(1)).cast("double")
-    return [F.log(n), F.log(F.greatest(q["word_chars"], F.lit(1)) / n), F.sqrt(q["n_symbols"] / n), F.sqrt(q["n_dup_lines"] / F.greatest(q["lines"], F.lit(1))), F.sqrt(q["n_repeat_words"] / n)]
+def vector(quality: str) -> list[str]:
+    """SQL of the transformed statistics of a column: logarithms of sizes, and square roots of rates, which spread small rates."""
+    q = f"`{quality}`"
+    n = f"CAST(greatest({q}.n_words, 1) AS DOUBLE)"
+    return [f"ln({n})", f"ln(greatest({q}.word_chars, 1) / {n})", f"sqrt({q}.n_symbols / {n})", f"sqrt({q}.n_dup_lines / greatest({q}.lines, 1))", f"sqrt({q}.n_repeat_words / {n})"]
 
 
 def chi2_cdf(x: float, k: int) -> float:
@@ -103,36 +103,41 @@ def chi2_quantile(p: float, k: int) -> float:
     return hi
 
 
-def _distance(x: list[Column], g: Column) -> Column:
-    """Squared Mahalanobis distance by forward substitution with the Cholesky factor in g."""
-    z: list[Column] = []
+# The formulas below are SQL texts: as chains of Column calls, building them took longer than the jobs on small tables.
+X = [f"x{i}" for i in range(P)]
+MEANS = [f"m{i}" for i in range(P)]
+LOWER = [(i, j) for i in range(P) for j in range(i + 1)]
+FACTOR = [f"l{i}{j}" for i, j in LOWER]
+SUMS = ["n", *[f"s{i}" for i in range(P)], *[f"s{i}{j}" for i, j in LOWER]]
+
+
+def _distance(x: list[str], g: str) -> Column:
+    """Squared Mahalanobis distance by forward substitution with the mean and Cholesky factor in struct ``g``."""
+    z: list[str] = []
     for i in range(P):
-        rest = x[i] - g[f"m{i}"]
-        for j in range(i):
-            rest = rest - g[f"l{i}{j}"] * z[j]
-        z.append(rest / g[f"l{i}{i}"])
-    return sum((v * v for v in z[1:]), z[0] * z[0])
+        rest = "".join(f" - `{g}`.l{i}{j} * {z[j]}" for j in range(i))
+        z.append(f"(({x[i]} - `{g}`.m{i}{rest}) / `{g}`.l{i}{i})")
+    return F.expr(" + ".join(f"{v} * {v}" for v in z))
 
 
 def _factored(moments: DataFrame, factor: float) -> DataFrame:
-    """(grp, m*, l*) from sums: mean, and the Cholesky factor of factor times the covariance plus the squared floors."""
-    out = moments
-    for i in range(P):
-        out = out.withColumn(f"m{i}", F.col(f"s{i}") / F.col("n"))
-    for i in range(P):
-        for j in range(i + 1):
-            cov = F.lit(factor) * (F.col(f"s{i}{j}") / F.col("n") - F.col(f"m{i}") * F.col(f"m{j}"))
+    """(grp, m*, l*) from sums: mean, and the Cholesky factor of factor times the covariance plus the squared floors.
+
+    Columns refer to earlier ones of the same list.
+    """
+    out = [f"s{i} / n AS m{i}" for i in range(P)]
+    for j in range(P):
+        for i in range(j, P):
+            cov = f"{factor!r}D * (s{i}{j} / n - m{i} * m{j})"
             if i == j:
-                cov = F.greatest(cov, F.lit(0.0)) + F.lit(FLOORS[i] ** 2)
-            for k in range(j):
-                cov = cov - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
-            out = out.withColumn(f"l{i}{j}", F.sqrt(F.greatest(cov, F.lit(1e-12))) if i == j else cov / F.col(f"l{j}{j}"))
-    return out.select("grp", *[f"m{i}" for i in range(P)], *[f"l{i}{j}" for i in range(P) for j in range(i + 1)])
+                cov = f"greatest({cov}, 0D) + {FLOORS[i] ** 2!r}D"
+            cov += "".join(f" - l{i}{k} * l{j}{k}" for k in range(j))
+            out.append(f"sqrt(greatest({cov}, 1e-12D)) AS l{i}{i}" if i == j else f"({cov}) / l{j}{j} AS l{i}{j}")
+    return moments.selectExpr("grp", *out).select("grp", *MEANS, *FACTOR)
 
 
 def _sums() -> list[Column]:
-    x = [F.col(f"x{i}") for i in range(P)]
-    return [F.count("*").alias("n"), *[F.sum(x[i]).alias(f"s{i}") for i in range(P)], *[F.sum(x[i] * x[j]).alias(f"s{i}{j}") for i in range(P) for j in range(i + 1)]]
+    return [F.expr(f"{what} AS {name}") for name, what in zip(SUMS, ["count(*)", *[f"sum({x})" for x in X], *[f"sum({X[i]} * {X[j]})" for i, j in LOWER]], strict=True)]
 
 
 #: Tables of groups of up to so many rows (of some 200 bytes) are broadcast; larger ones are joined by shuffle.
@@ -151,29 +156,31 @@ def fit(rows: DataFrame, groups: int, share: float = 0.75, steps: int = 4) -> Da
     Covariances are scaled to be consistent for normal data; floors on the diagonal keep
     statistics that hardly vary from making them singular.
     """
-    x = [F.col(f"x{i}") for i in range(P)]
     hint = F.broadcast if groups <= BROADCAST_GROUPS else lambda t: t
-    middle = rows.groupBy("grp").agg(*[F.percentile_approx(x[i], 0.5).alias(f"m{i}") for i in range(P)])
-    spread = rows.join(hint(middle), "grp").groupBy("grp").agg(*[F.first(f"m{i}").alias(f"m{i}") for i in range(P)], *[F.percentile_approx(F.abs(x[i] - F.col(f"m{i}")), 0.5).alias(f"d{i}") for i in range(P)])
-    now = spread.select("grp", *[f"m{i}" for i in range(P)], *[(F.sqrt(F.pow(1.4826 * F.col(f"d{i}"), 2) + FLOORS[i] ** 2) if i == j else F.lit(0.0)).alias(f"l{i}{j}") for i in range(P) for j in range(i + 1)])
-    now = stored(now, "mcd", groups)
+    middle = rows.groupBy("grp").agg(*[F.expr(f"percentile_approx(x{i}, 0.5) AS m{i}") for i in range(P)])
+    apart = [F.expr(f"percentile_approx(abs(x{i} - m{i}), 0.5) AS d{i}") for i in range(P)]
+    spread = rows.join(hint(middle), "grp").groupBy("grp").agg(*[F.expr(f"first({m}) AS {m}") for m in MEANS], *apart)
+    start = [f"sqrt(pow(1.4826D * d{i}, 2) + {FLOORS[i] ** 2!r}D) AS l{i}{i}" if i == j else f"0D AS l{i}{j}" for i, j in LOWER]
+    now = stored(spread.selectExpr("grp", *MEANS, *start), "mcd", groups)
     raw = share / chi2_cdf(chi2_quantile(share, P), P + 2)
     edge = chi2_quantile(0.975, P)
-    sums = [c for c in ["n", *[f"s{i}" for i in range(P)], *[f"s{i}{j}" for i in range(P) for j in range(i + 1)]]]
+
+    def beside(models: DataFrame) -> DataFrame:
+        """The rows, each with its group's model as a struct ``g``."""
+        return rows.join(hint(models.select("grp", F.struct(*MEANS, *FACTOR).alias("g"))), "grp")
+
     for _ in range(steps):
-        g = F.col("g")
-        at = rows.join(hint(now.select("grp", F.struct(*[c for c in now.columns if c != "grp"]).alias("g"))), "grp")
-        step = F.floor(STEPS * F.log2(_distance(x, g) + 1e-3)).cast("int")
-        parts = at.withColumn("step", step).groupBy("grp", "step").agg(*_sums())
-        ordered = W.partitionBy("grp").orderBy("step")
-        below = F.coalesce(F.sum("n").over(ordered.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-        taken = parts.withColumn("below", below).withColumn("all", F.sum("n").over(W.partitionBy("grp"))).where(F.col("below") < F.ceil(share * F.col("all")))
-        now = stored(_factored(taken.groupBy("grp").agg(*[F.sum(c).alias(c) for c in sums]), raw), "mcd", groups)
-    g = F.col("g")
-    at = rows.join(hint(now.select("grp", F.struct(*[c for c in now.columns if c != "grp"]).alias("g"))), "grp")
-    near = at.where(_distance(x, g) <= edge).groupBy("grp").agg(*_sums())
+        step = F.floor(STEPS * F.log2(_distance(X, "g") + 1e-3)).cast("int")
+        parts = beside(now).withColumn("step", step).groupBy("grp", "step").agg(*_sums())
+        below = "coalesce(sum(n) OVER (PARTITION BY grp ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below"
+        taken = parts.selectExpr("*", below, "sum(n) OVER (PARTITION BY grp) AS all").where(f"below < ceil({share!r}D * all)")
+        now = stored(_factored(taken.groupBy("grp").agg(*[F.sum(c).alias(c) for c in SUMS]), raw), "mcd", groups)
+    near = beside(now).where(_distance(X, "g") <= edge).groupBy("grp").agg(*_sums())
     final = _factored(near, 0.975 / chi2_cdf(edge, P + 2))
-    return stored(final.unionByName(now.join(final.select("grp"), "grp", "left_anti")), "mcd", groups)
+    # A group without a near row keeps its model.
+    model = F.struct(*MEANS, *FACTOR)
+    found = now.select("grp", model.alias("own")).join(hint(final.select("grp", model.alias("last"))), "grp", "left")
+    return stored(found.select("grp", F.coalesce("last", "own").alias("g")).select("grp", "g.*"), "mcd", groups)
 
 
 def grouped(measured: DataFrame, lang_col: str, source_col: str, quality: str, least: int) -> tuple[DataFrame, int]:
@@ -204,14 +211,15 @@ def judge(measured: DataFrame, lang_col: str = "lang", source_col: str = "source
     table, n = grouped(measured, lang_col, source_col, quality, least)
     hint = F.broadcast if n <= BROADCAST_GROUPS else lambda t: t
     q = F.col(quality)
-    x = vector(q)
-    rows = measured.where(~q["base_failed"]).select(_key(lang_col, source_col).alias("key"), *[v.alias(f"x{i}") for i, v in enumerate(x)]).join(hint(table), "key").select("grp", *[f"x{i}" for i in range(P)])
+    x = vector(quality)
+    passed = measured.where(~q["base_failed"])
+    rows = passed.select(_key(lang_col, source_col).alias("key"), *[F.expr(v).alias(name) for name, v in zip(X, x, strict=True)]).join(hint(table), "key").select("grp", *X)
     models = fit(rows, n)
     by_key = table.join(models, "grp").drop("grp")
     k, g = free(measured, "_k"), free(measured, "_g")
     packed = stored(by_key.select(F.col("key").alias(k), F.struct(*[c for c in by_key.columns if c != "key"]).alias(g)), "models", n)
     joined = measured.withColumn(k, _key(lang_col, source_col)).join(hint(packed), k, "left")
-    ok = ~q["base_failed"] & F.coalesce(_distance(x, F.col(g)) <= chi2_quantile(1 - tail, P), F.lit(True))
+    ok = ~q["base_failed"] & F.coalesce(_distance(x, g) <= chi2_quantile(1 - tail, P), F.lit(True))
     return joined.withColumn(to, ok).drop(k, g)
 
 
