@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -9,6 +13,10 @@ from pyspark.sql import functions as F
 #: The 5 x 5 elliptic element, and the binomial weights of the 5 x 5 blur.
 ELLIPSE = ((0, 0, 1, 0, 0), (1, 1, 1, 1, 1), (1, 1, 1, 1, 1), (1, 1, 1, 1, 1), (0, 0, 1, 0, 0))
 BINOMIAL = (1, 4, 6, 4, 1)
+#: Side of the squares in which neighbourhoods are looked at.
+SIDE = 128
+#: Pixels of equal squares that are looked at together.
+HELD = 1 << 20
 
 
 def gray(b: Column, g: Column, r: Column) -> Column:
@@ -42,37 +50,135 @@ def foreground(mask: DataFrame, image: str = "image") -> DataFrame:
     return mask.groupBy(image).agg(F.count("*").alias("n"), F.count_if(F.col("v") > 0).alias("lit"))
 
 
-def _spread(pixels: DataFrame, image: str, how) -> DataFrame:
-    """Each pixel takes how() of the values under the element, those outside the image not counting."""
-    spots = F.array(*[F.struct(F.lit(j - 2).alias("dy"), F.lit(i - 2).alias("dx")) for j, row in enumerate(ELLIPSE) for i, on in enumerate(row) if on])
-    cast = pixels.select(image, "y", "x", "v", F.explode(spots).alias("d"))
-    met = cast.select(image, (F.col("y") + F.col("d.dy")).alias("y"), (F.col("x") + F.col("d.dx")).alias("x"), F.col("v").alias("u"), ((F.col("d.dy") == 0) & (F.col("d.dx") == 0)).alias("own"))
-    return met.groupBy(image, "y", "x").agg(how("u").alias("v"), F.bool_or("own").alias("real")).where("real").drop("real")
+Look = Callable[[np.ndarray, np.ndarray, np.ndarray, int, int], tuple[np.ndarray, np.ndarray]]
+
+
+def _looked(batch: pa.RecordBatch, look: Look, fractions: bool) -> pa.RecordBatch:
+    """The squares' own pixels with what look(values, known, there, y, x) makes of them; ``batch`` has whole squares in order.
+
+    Squares of one place and extent are stacked and looked at together. Repeated pixels are one.
+    """
+    starts, y, x, own = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("first", "y", "x", "own"))
+    level = batch.column("v")
+    sure = level.is_valid().to_numpy(zero_copy_only=False)
+    values = level.fill_null(0).to_numpy(zero_copy_only=False)
+    begin = np.flatnonzero(starts)
+    square = np.cumsum(starts) - 1
+    box = [f.reduceat(c, begin) for c in (y, x) for f in (np.minimum, np.maximum)]
+    kinds, kind = np.unique(np.stack(box, 1), axis=0, return_inverse=True)
+    kind = kind.reshape(-1)
+    made, known = np.zeros(len(y), np.float64 if fractions else np.int64), np.zeros(len(y), bool)
+    for k, (y0, y1, x0, x1) in enumerate(kinds.tolist()):
+        h, w = y1 - y0 + 1, x1 - x0 + 1
+        squares = np.flatnonzero(kind == k)
+        some = max(1, HELD // (h * w))
+        place = np.full(len(begin), -1)
+        for part in (squares[i : i + some] for i in range(0, len(squares), some)):
+            place[part] = np.arange(len(part))
+            at = np.flatnonzero(place[square] >= 0)
+            spots = place[square[at]], y[at] - y0, x[at] - x0
+            stack, valued, there = np.zeros((len(part), h, w), made.dtype), *np.zeros((2, len(part), h, w), bool)
+            stack[spots], valued[spots], there[spots] = values[at], sure[at], True
+            got, found = look(stack, valued, there, y0, x0)
+            made[at], known[at] = got[spots], found[spots]
+            place[part] = -1
+    again = np.concatenate([[False], (y[1:] == y[:-1]) & (x[1:] == x[:-1])]) & ~starts
+    kept = own & ~again
+    columns = [batch.column(c).filter(pa.array(kept)) for c in (0, 1, 2)]
+    return pa.RecordBatch.from_arrays([*columns, pa.array(made[kept], mask=~known[kept])], [*batch.schema.names[:3], "v"])
+
+
+def _in_squares(pixels: DataFrame, image: str, reach: int, look: Look, last: Column) -> DataFrame:
+    """(image, y, x, v) with v from look(), which sees every pixel within ``reach`` of those that it judges.
+
+    Pixels go to the squares of SIDE that need them, so that no image meets in one group; squares
+    begin half a side before the origin, so that small images are one. A table dealt by image is
+    not dealt again. Of repeated pixels the last by ``last`` counts.
+    """
+    fractions = pixels.schema["v"].dataType.typeName() in ("float", "double", "decimal")
+    square = lambda c, d: F.floor((F.col(c) + (SIDE // 2 + d)) / SIDE).cast("long")
+    needed = lambda c: F.explode(F.sequence(square(c, -reach), square(c, reach)))
+    cast = pixels.select(F.col(image), F.col("y"), F.col("x"), F.col("v").cast("double" if fractions else "long").alias("v"))
+    cast = cast.select("*", needed("y").alias("ty")).select("*", needed("x").alias("tx"))
+    own = (square("y", 0) == F.col("ty")) & (square("x", 0) == F.col("tx"))
+    first = F.row_number().over(W.partitionBy(image, "ty", "tx").orderBy("y", "x", last)) == 1
+    told = cast.select(image, "y", "x", "v", own.alias("own"), first.alias("first"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            starts = np.flatnonzero(batch.column("first").to_numpy(zero_copy_only=False))
+            if len(starts):
+                # Whole squares end where the last one of this batch begins.
+                whole = [b for b in (*held, batch.slice(0, starts[-1])) if len(b)]
+                held = [batch.slice(starts[-1])]
+                if whole:
+                    yield _looked(pa.concat_batches(whole), look, fractions)
+            else:
+                held.append(batch)
+        if held:
+            yield _looked(pa.concat_batches(held), look, fractions)
+
+    kind = lambda c: pixels.schema[c].dataType.simpleString()
+    found = told.mapInArrow(run, f"`{image}` {kind(image)}, y {kind('y')}, x {kind('x')}, v {'double' if fractions else 'long'}")
+    return found.withColumn("v", F.col("v").cast(pixels.schema["v"].dataType))
+
+
+def _under(stack: np.ndarray, known: np.ndarray, how: np.ufunc) -> tuple[np.ndarray, np.ndarray]:
+    """how() of the known values under the element, and where there is one."""
+    limits = np.iinfo(stack.dtype) if stack.dtype.kind == "i" else np.finfo(stack.dtype)
+    edge = limits.max if how is np.minimum else limits.min
+    h, w = stack.shape[1:]
+    around = ((0, 0), (2, 2), (2, 2))
+    wide = np.pad(np.where(known, stack, edge), around, constant_values=edge)
+    there = np.pad(known, around)
+    spots = [(j, i) for j, row in enumerate(ELLIPSE) for i, on in enumerate(row) if on]
+    made, any_ = np.full(stack.shape, edge, stack.dtype), np.zeros(stack.shape, bool)
+    for j, i in spots:
+        how(made, wide[:, j : j + h, i : i + w], out=made)
+        any_ |= there[:, j : j + h, i : i + w]
+    return np.where(any_, made, 0), any_
 
 
 def erode(pixels: DataFrame, image: str = "image") -> DataFrame:
-    return _spread(pixels, image, F.min)
+    """Each pixel takes the least of the values under the element, those outside the image not counting."""
+    return _in_squares(pixels, image, 2, lambda stack, known, there, y, x: _under(stack, known, np.minimum), F.desc_nulls_first("v"))
 
 
 def dilate(pixels: DataFrame, image: str = "image") -> DataFrame:
-    return _spread(pixels, image, F.max)
+    return _in_squares(pixels, image, 2, lambda stack, known, there, y, x: _under(stack, known, np.maximum), F.asc_nulls_first("v"))
 
 
 def open_close(mask: DataFrame, image: str = "image") -> DataFrame:
-    """Opening, which drops specks, and then closing, which fills pinholes."""
-    return erode(dilate(dilate(erode(mask, image), image), image), image)
+    """Opening, which drops specks, and then closing, which fills pinholes: four passes in one look at what lies within their reach."""
+
+    def look(stack: np.ndarray, known: np.ndarray, there: np.ndarray, y: int, x: int) -> tuple[np.ndarray, np.ndarray]:
+        for how in (np.minimum, np.maximum, np.maximum, np.minimum):
+            stack, found = _under(stack, known, how)
+            known = found & there
+        return stack, known
+
+    return _in_squares(mask, image, 8, look, F.desc_nulls_first("v"))
 
 
 def blur(pixels: DataFrame, height: int, width: int, image: str = "image") -> DataFrame:
     """5 x 5 binomial blur, rounded, with borders mirrored about their own pixels; sizes of 3 or more."""
-    spots = F.array(*[F.struct(F.lit(j - 2).alias("dy"), F.lit(i - 2).alias("dx"), F.lit(a * b).alias("weight")) for j, a in enumerate(BINOMIAL) for i, b in enumerate(BINOMIAL)])
-
-    def mirrored(p: Column, n: int) -> Column:
-        return F.when(p < 0, -p).when(p >= n, 2 * (n - 1) - p).otherwise(p)
 
-    asked = pixels.select(image, "y", "x", F.explode(spots).alias("d")).select(image, "y", "x", mirrored(F.col("y") + F.col("d.dy"), height).alias("sy"), mirrored(F.col("x") + F.col("d.dx"), width).alias("sx"), F.col("d.weight").alias("weight"))
-    got = asked.join(pixels.select(image, F.col("y").alias("sy"), F.col("x").alias("sx"), "v"), [image, "sy", "sx"])
-    return got.groupBy(image, "y", "x").agg(F.shiftright(F.sum(F.col("v") * F.col("weight")) + 128, 8).cast("int").alias("v"))
+    def along(values: np.ndarray, first: int, n: int) -> np.ndarray:
+        """Weighted sums along the middle axis, whose places begin at ``first`` of ``n``."""
+        total = np.zeros_like(values)
+        for d, weight in enumerate(BINOMIAL, -2):
+            p = np.arange(first, first + values.shape[1]) + d
+            p = np.where(p < 0, -p, np.where(p >= n, 2 * (n - 1) - p, p)) - first
+            in_ = (p >= 0) & (p < values.shape[1])
+            total[:, in_] += weight * values[:, p[in_]]
+        return total
+
+    def look(stack: np.ndarray, known: np.ndarray, there: np.ndarray, y: int, x: int) -> tuple[np.ndarray, np.ndarray]:
+        both = [along(along(a, y, height).swapaxes(1, 2), x, width).swapaxes(1, 2) for a in (stack, known.astype(stack.dtype))]
+        return (both[0].astype(np.int64) + 128) >> 8, both[1] > 0
+
+    return _in_squares(pixels, image, 2, look, F.asc_nulls_first("v")).withColumn("v", F.col("v").cast("int"))
 
 
 def dimmed(pixels: DataFrame, inside: Column, dim: float) -> DataFrame:
