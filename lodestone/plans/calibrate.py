@@ -30,8 +30,9 @@ def pictures(image: np.ndarray, settings: Settings = SETTINGS) -> Iterator[tuple
     """Names and pictures: 01_mask, 02_blobs, 03_split and crops/000 on, up to CROPS of them."""
     mask = kernels.build_mask(image, settings)
     yield "01_mask", np.repeat(mask[..., None], 3, 2)
-    yield "02_blobs", overlay(image, kernels.find_blobs(mask, settings), BLOBS)
-    found = kernels.extract_contours(image, settings)
+    blobs = kernels.find_blobs(mask, settings)
+    yield "02_blobs", overlay(image, blobs, BLOBS)
+    found = kernels.split_blobs(image.shape[:2], blobs, settings)
     yield "03_split", overlay(image, found, SPLIT)
     for i, c in enumerate(found[:CROPS]):
         yield f"crops/{i:03d}", kernels.crop_piece(image, c, found[:i] + found[i + 1 :], settings)
