@@ -30,3 +30,17 @@ def test_blobs_are_found_once(monkeypatch):
     whole = K.build_mask
     monkeypatch.setattr(K, "build_mask", lambda *a: calls.append(1) or whole(*a))
     assert len(list(calibrate.pictures(image))) == 4 and len(calls) == 1
+
+
+def test_payloads_are_parsed_once_a_row(spark):
+    """Within the loop over finds the JSON was parsed anew for each, so that long lists took the square of their length."""
+    made = payload(spark.createDataFrame([('{"rec_texts": ["a", 5, "b"], "rec_scores": [0.5, 1, 0.25, 3], "dt_polys": [[[1.9, 2]]]}',), ('{"res": {"rec_texts": [], "rec_scores": []}}',)], "payload string"))
+    assert [tuple(r)[1:] for r in made.collect()] == [(0, "a", 0.5, [[1, 2]]), (2, "b", 0.25, None)]
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.split("Generate")[1].split("\n")[0].count("from_json") == 1
+
+
+def test_detections_stay_where_they_are_until_joined_by_piece(spark):
+    """Matched texts are few and broadcast; detections, sixteen a piece, are not shuffled by their texts, of which some are much more frequent than others."""
+    plan = queries.cascade(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(_raw" not in plan and "BroadcastHashJoin [_raw" in plan
