@@ -296,11 +296,21 @@ def similar(texts: DataFrame, nodes: DataFrame, width: int, likeness: float, see
     return roots
 
 
+def with_fingerprints(nodes: DataFrame) -> DataFrame:
+    """(node, n, keys) of nodes (node, n, keys, fp), with one key more: that of all fingerprints that links() connects to a node's. Nodes without shingles get none."""
+    some = nodes.where("n > 0")
+    linked = components(links(some), nodes.count()).select(F.col("node").alias("fp"), "root")
+    key = F.xxhash64(F.lit("fingerprint"), F.coalesce("root", "fp"))
+    return nodes.join(linked, "fp", "left").select("node", "n", F.when(F.col("n") > 0, F.array_append("keys", key)).otherwise(F.col("keys")).alias("keys"))
+
+
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, likeness: float = 0.8, seed: int = 42) -> DataFrame:
     """The rows of ``docs`` that have the smallest id of their group of near copies, one for each group.
 
     Groups are linked by pairs whose sets of ``width``-word shingles have a Jaccard likeness of
-    ``likeness`` (0.8 or more) at least; texts of equal sets, and null and wordless ones, are of
+    ``likeness`` (0.8 or more) at least. Candidates are the texts whose SimHash fingerprints reach one
+    another by steps of two or fewer bits, as operator 1 links them, and, since most pairs of that
+    likeness are further apart, those that share a band of least hashes. Texts of equal sets, and null and wordless ones, are of
     one group. Null ids come after all others; of rows with equal ids one stays, which is the first
     as the table was written to the shared folder. Columns stay as they are.
     """
@@ -309,14 +319,14 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def marks(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         yield from trimmed(set_marks(iter(texts), width, seed) for texts in batches)
 
-    mark, row = free(docs, "_mark"), free(docs, "_row")
-    full = stored(docs.withColumns({mark: marks(F.col(text_col)), row: F.monotonically_increasing_id()}), "marked")
+    mark, row, fp = free(docs, "_mark"), free(docs, "_row"), free(docs, "_bits")
+    full = stored(docs.withColumns({mark: marks(F.col(text_col)), fp: fingerprint(F.col(text_col), seed=seed), row: F.monotonically_increasing_id()}), "marked")
     n = full.count()
     rank = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col(row).alias("row"))
     of = full.select(F.col(f"{mark}.digest").alias("digest"), rank.alias("rank"), F.col(row).alias("row"))
     least = of.groupBy("digest").agg(F.min("rank").alias("rank")).select("rank", F.col("rank.row").alias("node"))
-    nodes = stored(least.join(full.select(F.col(row).alias("node"), f"{mark}.n", f"{mark}.keys"), "node"), "nodes", n)
-    roots = similar(full.select(F.col(row).alias("row"), F.col(text_col).alias("text")), nodes, width, likeness, seed)
+    nodes = stored(least.join(full.select(F.col(row).alias("node"), f"{mark}.n", f"{mark}.keys", F.col(fp).alias("fp")), "node"), "nodes", n)
+    roots = similar(full.select(F.col(row).alias("row"), F.col(text_col).alias("text")), with_fingerprints(nodes), width, likeness, seed)
     first = nodes.select("node", "rank").join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("rank").alias("rank")).select(F.col("rank.row").alias(row))
     gone = stored(full.select(row).join(first, row, "left_anti"), "gone", n)
     discard(docs.sparkSession, nodes, roots)

@@ -154,3 +154,16 @@ def test_one_of_each_is_exact(spark):
     kept = {r["doc_id"] for r in S.one_of_each(spark.createDataFrame(rows, KIND)).collect()}
     assert kept == {top(i) for i in range(len(rows))}
     assert len(kept) < 300
+
+
+def test_fingerprints_give_candidates(spark):
+    """Texts near by their fingerprints are held against each other exactly, whatever their bands."""
+    base = [f"w{i}" for i in range(3000)]
+    other = [f"v{i}" for i in range(3000)]
+    rows = [(1, " ".join(base), "x", "y"), (2, " ".join([*base, "end"]), "x", "y"), (3, " ".join(other), "x", "y"), (4, None, "x", "y")]
+    fps = S.simhashes(iter(r[1] for r in rows), 3, 42).tolist()
+    assert (fps[0] ^ fps[1]).bit_count() <= 2 < (fps[0] ^ fps[2]).bit_count()
+    nodes = spark.createDataFrame([(i, 5 if f else 0, [], S._signed(f)) for i, f in enumerate(fps)], "node long, n int, keys array<long>, fp long")
+    keys = {r["node"]: r["keys"] for r in S.with_fingerprints(nodes).collect()}
+    assert keys[0] == keys[1] != keys[2] and len(keys[2]) == 1 and keys[3] == []
+    assert {r["doc_id"] for r in S.one_of_each(spark.createDataFrame(rows, KIND)).collect()} == {1, 3, 4}
