@@ -44,3 +44,8 @@ def test_detections_stay_where_they_are_until_joined_by_piece(spark):
     """Matched texts are few and broadcast; detections, sixteen a piece, are not shuffled by their texts, of which some are much more frequent than others."""
     plan = queries.cascade(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(_raw" not in plan and "BroadcastHashJoin [_raw" in plan
+
+
+def test_images_of_tiles_are_dealt_before_they_are_drawn(spark):
+    plan = queries.touching(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(image" in plan and "REPARTITION_BY_NUM" in plan.split("Generate")[-1]
