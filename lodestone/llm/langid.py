@@ -5,10 +5,9 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,7 +17,7 @@ UNKNOWN = "und"
 #: Stands before every text, so that its first bytes have contexts too.
 START = b"\n"
 #: Bytes scored at once for up to four languages, and texts held as bytes at once.
-CHUNK = 1 << 19
+CHUNK = 1 << 17
 SLICE = 256
 LETTER = re.compile(r"[A-Za-z]")
 
@@ -86,7 +85,7 @@ class Coder:
 
     def __init__(self, model: Model):
         self.order, self.base, self.symbol, langs = model.order, len(model.alphabet) + 1, symbols(model.alphabet), len(model.languages)
-        contexts = sum(len(np.unique(np.concatenate([c[k][0] // self.base for c in model.counts]))) for k in range(self.order + 1))
+        contexts = sum(len(_contexts(model, k)) for k in range(self.order + 1))
         need = 4 * (contexts * self.base * langs + self.base**self.order)
         self.costs = Dense(model) if need <= model.table_mb << 20 else Sparse(model)
         #: Bytes scored at once, fewer the more languages they are scored for.
@@ -119,17 +118,24 @@ class Coder:
                 data = b"".join([START * k + t for t in texts[i:j]])
                 cost = self.bits(data)
                 begin = np.cumsum([0, *(len(t) + k for t in texts[i:j])])
-                whole = np.concatenate((np.zeros((1, cost.shape[1])), np.cumsum(cost, 0, dtype=np.float64)))
+                whole = np.zeros((len(cost) + 1, self.langs))
+                np.cumsum(cost, 0, out=whole[1:])
                 # The costs of text t are those at begin[t] to begin[t + 1] - k: what follows belongs to the next one's start.
                 out[i:j] = whole[begin[1:] - k] - whole[begin[:-1]]
             i = j
         return out
 
 
+def _contexts(model: Model, k: int) -> np.ndarray:
+    """The contexts of k symbols of all languages in order."""
+    base = len(model.alphabet) + 1
+    return np.unique(np.concatenate([c[k][0] // base for c in model.counts]))
+
+
 def _seen(model: Model, k: int) -> tuple[np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray, np.ndarray]]]:
     """Of order k: the contexts of all languages in order; for each language and context n + d, and d; (place of the context, symbol, count) by language."""
     base = len(model.alphabet) + 1
-    now = np.unique(np.concatenate([c[k][0] // base for c in model.counts]))
+    now = _contexts(model, k)
     total, kinds = np.zeros((2, len(model.languages), len(now)), np.int64)
     each = []
     for lang, of in enumerate(model.counts):
@@ -142,23 +148,24 @@ def _seen(model: Model, k: int) -> tuple[np.ndarray, np.ndarray, list[tuple[np.n
 
 
 class Dense:
-    """The cost of every symbol after every context, in one table."""
+    """The cost of every symbol after every context, in one table, which is made in its place: beside it stand only the orders below the highest."""
 
     def __init__(self, model: Model):
         order, base, langs = model.order, len(model.alphabet) + 1, len(model.languages)
         likely, nodes = np.full((1, base, langs), 1 / 256, np.float32), np.zeros(1, np.int64)
-        tables, offset, place = [], 0, np.zeros(base**order, np.int32)
+        ends = np.cumsum([len(_contexts(model, k)) for k in range(order + 1)])
+        cost, offset, place = np.empty((ends[-1], base, langs), np.float32), 0, np.zeros(base**order, np.int32)
         for k in range(order + 1):
             now, (total, kinds), each = _seen(model, k)
-            p = likely[np.searchsorted(nodes, now % base ** (k - 1)) if k else np.zeros(1, np.int64)]
+            p = cost[offset : ends[k]]
+            np.take(likely, np.searchsorted(nodes, now % base ** (k - 1)) if k else np.zeros(1, np.int64), 0, out=p, mode="clip")
             for lang, (at, s, c) in enumerate(each):
                 p[:, :, lang] *= np.where(total[lang] > 0, kinds[lang] / np.maximum(total[lang], 1), 1).astype(np.float32)[:, None]
                 p[at, s, lang] = c / total[lang][at]
             place.reshape(-1, base**k)[:, now] = offset + np.arange(len(now), dtype=np.int32)
-            tables.append(-np.log2(p).reshape(-1, langs))
-            offset += len(now)
-            likely, nodes = p, now
-        self.base, self.place, self.cost = base, place, np.concatenate(tables)
+            likely, nodes, offset = p.copy() if k < order else p, now, ends[k]
+            np.negative(np.log2(p, out=p), out=p)
+        self.base, self.place, self.cost = base, place, cost.reshape(-1, langs)
 
     def of(self, ctx: np.ndarray, s: np.ndarray) -> np.ndarray:
         at = self.place[ctx].astype(np.int64) * self.base
@@ -203,10 +210,15 @@ class Sparse:
         return self._upto(self.order, ctx, s)
 
 
-@lru_cache(1)
+_HELD: dict[Model, Coder] = {}
+
+
 def coder(model: Model) -> Coder:
-    """This process's tables."""
-    return Coder(model)
+    """This process's tables. Those of another model go before these are made, so that a worker which lives on never has both."""
+    if model not in _HELD:
+        _HELD.clear()
+        _HELD[model] = Coder(model)
+    return _HELD[model]
 
 
 def has_letter(text: str) -> bool:
@@ -221,20 +233,21 @@ def predict(text: Column, model: Model) -> Column:
     without languages give ``und`` and 0.
     """
 
-    @F.pandas_udf("lang string, score double")
-    def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf("lang string, score double")
+    def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = coder(model) if model.languages else None
 
-        def told_by(texts: pd.Series) -> pd.DataFrame:
+        def told_by(texts: pa.Array) -> pa.Array:
             lang, score = np.full(len(texts), UNKNOWN, object), np.zeros(len(texts))
-            told = [i for i, t in enumerate(texts) if t is not None and own is not None and has_letter(t)]
-            values = texts.tolist()
-            for lo in range(0, len(told), SLICE):
-                some = told[lo : lo + SLICE]
-                bits = own.lengths([values[i].encode("utf-8", "surrogatepass") for i in some])
-                lang[some] = np.array(model.languages, object)[bits.argmin(1)]
-                score[some] = 1 / np.exp2(np.maximum(bits.min(1, keepdims=True) - bits, -1000)).sum(1)
-            return pd.DataFrame({"lang": lang, "score": score})
+            for lo in range(0, len(texts), SLICE):
+                values = texts.slice(lo, SLICE).to_pylist()
+                told = [i for i, t in enumerate(values) if t is not None and own is not None and has_letter(t)]
+                if told:
+                    bits = own.lengths([values[i].encode("utf-8", "surrogatepass") for i in told])
+                    some = lo + np.array(told)
+                    lang[some] = np.array(model.languages, object)[bits.argmin(1)]
+                    score[some] = 1 / np.exp2(np.maximum(bits.min(1, keepdims=True) - bits, -1000)).sum(1)
+            return pa.StructArray.from_arrays([pa.array(lang, pa.string()), pa.array(score)], ["lang", "score"])
 
         yield from trimmed(map(told_by, batches))
 
@@ -263,8 +276,8 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     labelled = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).where("text IS NOT NULL AND lang IS NOT NULL")
     spot = F.xxhash64(F.coalesce("id", F.lit("")), "text").bitwiseAND(F.lit((1 << 32) - 1)) / F.lit(float(1 << 32))
     size = F.least(F.octet_length("text"), F.lit(longest)).cast("long")
-    one = F.min_by(F.left("text", F.lit(LEAST)), F.when(F.col("text") != "", F.struct(spot.alias("spot"), F.left("text", F.lit(LEAST)).alias("part"))))
-    found = labelled.groupBy("lang").agg(F.count("*").alias("count"), F.sum(size).alias("bytes"), one.alias("one")).orderBy("lang").collect()
+    found = labelled.select("lang", size.alias("bytes")).groupBy("lang").agg(F.count("*").alias("count"), F.sum("bytes").alias("bytes")).collect()
+    found.sort(key=lambda r: r["lang"])
     if not found:
         return Model((), order, START, (), 1)
     part = (total_mb << 20) / len(found)
@@ -277,9 +290,11 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     for r in sorted(chosen.collect(), key=lambda r: (r["lang"], r["spot"], r["text"])):
         if len(texts[r["lang"]]) < rows:
             texts[r["lang"]][r["text"]] = None
-    for r in found:
-        if r["one"] is not None and not any(texts[r["lang"]]):
-            texts[r["lang"]][r["one"]] = None
+    bare = [lang for lang, own in texts.items() if not any(own)]
+    if bare:
+        one = labelled.where(F.col("lang").isin(bare) & (F.col("text") != "")).select("lang", F.struct(spot.alias("spot"), F.left("text", F.lit(LEAST)).alias("part")).alias("one"))
+        for r in one.groupBy("lang").agg(F.min("one").alias("one")).collect():
+            texts[r["lang"]][r["one"]["part"]] = None
     return train({k: list(v) for k, v in texts.items() if v}, order)
 
 

@@ -108,3 +108,45 @@ def test_a_language_has_a_text_in_the_sample_even_if_none_is_chosen(spark):
     rows = [(i, "abc def " * 200, "aa", None) for i in range(40)] + [(100 + i, f"xyz {i} uvw " * 300, "bb", None) for i in range(40)] + [(500, "", "cc", None)]
     model = L.fit(docs(spark, rows), total_mb=0, order=1)
     assert {"aa", "bb"} <= set(model.languages)
+
+
+def test_tables_are_made_in_their_place_and_texts_scored_in_small_parts():
+    """Copies of the whole table, and of costs of half a million bytes at once, took several times what a worker keeps."""
+    import tracemalloc
+
+    import numpy as np
+
+    some = np.random.default_rng(5)
+    model = L.train({lang: [some.integers(97, 123, 30_000, np.uint8).tobytes().decode()] for lang in ("aa", "bb", "cc", "dd")})
+    tracemalloc.start()
+    try:
+        own = L.Coder(model)
+        table = own.costs.cost.nbytes + own.costs.place.nbytes
+        assert isinstance(own.costs, L.Dense) and tracemalloc.get_traced_memory()[1] < 2 * table
+        tracemalloc.reset_peak()
+        before = tracemalloc.get_traced_memory()[0]
+        own.lengths([b"abcdefgh" * 1000] * 200)
+        assert tracemalloc.get_traced_memory()[1] - before < 20 << 20
+    finally:
+        tracemalloc.stop()
+
+
+def test_a_worker_never_holds_the_tables_of_two_models(monkeypatch):
+    import gc
+    import weakref
+
+    alive = []
+
+    class Watched(L.Coder):
+        def __init__(self, model):
+            gc.collect()
+            alive.append(sum(r() is not None for r in made))
+            super().__init__(model)
+            made.append(weakref.ref(self))
+
+    made = []
+    monkeypatch.setattr(L, "Coder", Watched)
+    first, second = L.train(TEXTS, 2), L.train(TEXTS, 1)
+    assert L.coder(first) is L.coder(first)
+    L.coder(second)
+    assert alive == [0, 0]
