@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from lodestone import adapters, queries
 from lodestone.operators import kernels as K
@@ -49,3 +50,13 @@ def test_detections_stay_where_they_are_until_joined_by_piece(spark):
 def test_images_of_tiles_are_dealt_before_they_are_drawn(spark):
     plan = queries.touching(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(image" in plan and "REPARTITION_BY_NUM" in plan.split("Generate")[-1]
+
+
+def test_a_task_of_pixels_holds_few_grids_however_many_there_are(spark, monkeypatch):
+    """Through the passes too: pixels stay in the partition in which their image was dealt, so that its sorts have a bound."""
+    monkeypatch.setattr(adapters, "GRIDS", 8)
+    n = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").count()
+    made = queries.morph_open_close(spark, "/root/testdata/sf0.001")
+    sizes = made.groupBy(F.spark_partition_id().alias("p")).agg(F.count_distinct("image").alias("grids")).collect()
+    assert made.rdd.getNumPartitions() == max(8, -(-n // 8)) > 8
+    assert sum(r["grids"] for r in sizes) == n and max(r["grids"] for r in sizes) <= 32
