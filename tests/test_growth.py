@@ -60,3 +60,18 @@ def test_a_task_of_pixels_holds_few_grids_however_many_there_are(spark, monkeypa
     sizes = made.groupBy(F.spark_partition_id().alias("p")).agg(F.count_distinct("image").alias("grids")).collect()
     assert made.rdd.getNumPartitions() == max(8, -(-n // 8)) > 8
     assert sum(r["grids"] for r in sizes) == n and max(r["grids"] for r in sizes) <= 32
+
+
+def test_pixels_stay_where_they_are_when_thresholds_are_too_many_to_broadcast(spark, monkeypatch):
+    """Larger tables join by sorting. That needs no other dealing than by image, so a task's sorts are of as few grids."""
+    monkeypatch.setattr(adapters, "GRIDS", 8, raising=False)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        made = queries.morph_open_close(spark, "/root/testdata/sf0.001")
+        plan = made._jdf.queryExecution().executedPlan().toString()
+        sizes = made.groupBy(F.spark_partition_id().alias("p")).agg(F.count_distinct("image").alias("grids"), F.count("*").alias("n")).collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    assert "ENSURE_REQUIREMENTS" not in plan
+    assert len(sizes) > 8 and max(r["grids"] for r in sizes) <= 32 and all(r["n"] == 64 * r["grids"] for r in sizes)
