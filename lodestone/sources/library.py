@@ -47,11 +47,11 @@ def quarantined(spark: SparkSession, path: str) -> DataFrame:
     return scan_json(spark, path).where("bad").select("file")
 
 
-def flat(photos: DataFrame) -> DataFrame:
-    """A row for each piece, with its place and its box in columns."""
-    rows = photos.select("photo_id", F.posexplode("pieces").alias("piece_ord", "p"))
+def flat(photos: DataFrame, *more: str) -> DataFrame:
+    """A row for each piece, with its place and its box in columns, and ``more`` columns of its photo."""
+    rows = photos.select("photo_id", *more, F.posexplode("pieces").alias("piece_ord", "p"))
     box = [F.get("p.bbox", F.lit(i)).alias(c) for i, c in enumerate("xywh")]
-    return rows.select("photo_id", F.col("piece_ord").cast("long").alias("piece_ord"), "p.piece_id", *box, "p.area", "p.code", "p.confidence", "p.raw_text", "p.method", "p.angle", "p.contour")
+    return rows.select("photo_id", F.col("piece_ord").cast("long").alias("piece_ord"), "p.piece_id", *box, "p.area", "p.code", "p.confidence", "p.raw_text", "p.method", "p.angle", "p.contour", *more)
 
 
 def nested(photos: DataFrame, pieces: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tracemalloc
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -75,3 +77,41 @@ def test_pixels_stay_where_they_are_when_thresholds_are_too_many_to_broadcast(sp
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
     assert "ENSURE_REQUIREMENTS" not in plan
     assert len(sizes) > 8 and max(r["grids"] for r in sizes) <= 32 and all(r["n"] == 64 * r["grids"] for r in sizes)
+
+
+def test_a_turned_crop_is_computed_in_small_parts_where_its_pixels_differ():
+    """The same samples as by doubles over the whole canvas, which held some hundred bytes a pixel and took ten times as long."""
+
+    def plainly(image, angle, gray):
+        h, w = image.shape[:2]
+        s, c = np.sin(np.radians(angle)), np.cos(np.radians(angle))
+        new_w, new_h = int(h * abs(s) + w * abs(c)), int(h * abs(c) + w * abs(s))
+        y, x = np.mgrid[:new_h, :new_w]
+        dx, dy = x - new_w / 2, y - new_h / 2
+        x, y = c * dx - s * dy + w / 2, s * dx + c * dy + h / 2
+        x0, y0 = np.floor(x).astype(int), np.floor(y).astype(int)
+        fx, fy = (x - x0)[..., None], (y - y0)[..., None]
+        wide = np.full((3 * h, 3 * w, 3), float(gray))
+        wide[h : 2 * h, w : 2 * w] = image
+        at = lambda j, i: wide[np.clip(j + h, 0, 3 * h - 1), np.clip(i + w, 0, 3 * w - 1)]
+        top, low = at(y0, x0) * (1 - fx) + at(y0, x0 + 1) * fx, at(y0 + 1, x0) * (1 - fx) + at(y0 + 1, x0 + 1) * fx
+        return np.rint(top * (1 - fy) + low * fy).astype(np.uint8)
+
+    noise = np.random.default_rng(2).integers(0, 256, (90, 130, 3), dtype=np.uint8)
+    disc = np.full((100, 80, 3), 20, np.uint8)
+    disc[np.hypot(*(np.mgrid[:100, :80] - np.array([[[50]], [[40]]]))) < 30] = (235, 210, 220)
+    for image in (noise, disc):
+        for angle in (30, 90, 135, 180, 330):
+            assert np.array_equal(K.rotate_expand(image, angle), plainly(image, angle, 128)), angle
+    piece = K.resize(disc, 410, 512)
+    tracemalloc.start()
+    K.rotate_expand(piece, 30)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 24 * 410 * 512
+
+
+def test_photos_are_drawn_once_for_their_rows(spark):
+    """What a piece takes from its photo goes along with it, instead of a join of the photos with themselves, both sides of which were computed."""
+    plan = queries.build_photos(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInPandas") == 1
