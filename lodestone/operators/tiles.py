@@ -31,6 +31,17 @@ REACH = 2
 SIDE = 256
 #: Pixels of tiles made that a task holds before it hands them on.
 HELD = 1 << 22
+#: Pixels of tiles that are computed at once.
+AT_ONCE = 1 << 15
+
+
+def _apart(rows: DataFrame) -> DataFrame:
+    """One side of a join, which is to be dealt by its key as is the other.
+
+    What files of tiles and of numbers in a row hold is many times their size, by which Spark
+    judges what may be broadcast; broadcast tables are whole in the driver.
+    """
+    return rows.hint("merge")
 
 
 def spot(y: Column, x: Column) -> Column:
@@ -127,64 +138,86 @@ def union(edges: DataFrame) -> DataFrame:
         moved = not done
         while moved:
             ahead = to.select(F.col("node").alias("at"), F.col("to").alias("next"))
-            to = stored(to.join(ahead, F.col("to") == F.col("at")).select("node", F.col("next").alias("to"), (F.col("next") != F.col("to")).alias("moved")), "pointers")
+            to = stored(to.join(_apart(ahead), F.col("to") == F.col("at")).select("node", F.col("next").alias("to"), (F.col("next") != F.col("to")).alias("moved")), "pointers")
             moved = not to.where("moved").isEmpty()
         if total is None:
             total = to.select("node", F.col("to").alias("root"))
         else:
             ahead = to.select(F.col("node").alias("at"), F.col("to").alias("next"))
-            total = stored(total.join(ahead, F.col("root") == F.col("at"), "left").select("node", F.coalesce("next", "root").alias("root")), "roots")
+            total = stored(total.join(_apart(ahead), F.col("root") == F.col("at"), "left").select("node", F.coalesce("next", "root").alias("root")), "roots")
         first, second = (to.select(F.col("node").alias(c), F.col("to").alias(f"{c}_to")) for c in "ab")
-        left = stored(left.join(first, "a").join(second, "b").select(F.col("a_to").alias("a"), F.col("b_to").alias("b")).where("a != b").distinct(), "edges")
+        left = stored(left.join(_apart(first), "a").join(_apart(second), "b").select(F.col("a_to").alias("a"), F.col("b_to").alias("b")).where("a != b").distinct(), "edges")
 
 
 def _local(tiles: DataFrame, side: int) -> DataFrame:
-    """Of each tile: its components (a number, extent and tag each) and the pixels by which they touch other tiles."""
+    """Of each tile with any: its components (a number, extent and tag each) and the pixels by which they touch other tiles.
 
-    def of(at: tuple, tile: np.ndarray) -> list[tuple]:
-        count, labels = components(tile > 0)
-        oy, ox = at[0] * side, at[1] * side
-        y, x = np.nonzero(labels)
-        own = labels[y, x] - 1
-        if not count:
-            return []
+    ``here`` are those that follow pixels of other tiles, ``there`` those of other tiles that follow its own, as spot().
+    Some tiles are labelled at once, as one image in which a row of zeros parts them.
+    """
+    part = "array<struct<id: bigint, n: bigint, tag: bigint, y0: int, x0: int, y1: int, x1: int>>"
+    rims = ("here", "here_ids", "there", "there_ids")
+    whole = f"image {tiles.schema['image'].dataType.simpleString()}, ty int, tx int, parts {part}, " + ", ".join(f"{c} array<bigint>" for c in rims)
+    arrow = tiles.sparkSession.createDataFrame([], whole).toArrow().schema
+
+    def label(heads: pa.RecordBatch, some: np.ndarray) -> pa.RecordBatch:
+        stacked = np.zeros((len(some), side + 1, side), bool)
+        stacked[:, :side] = some > 0
+        count, labels = components(stacked.reshape(-1, side))
+        at, y, x = np.nonzero(labels.reshape(stacked.shape))
+        own = labels.reshape(stacked.shape)[at, y, x] - 1
+        oy, ox = (heads.column(c).to_numpy().astype(np.int64)[at] * side for c in (1, 2))
         first = np.full(count, len(own))
         np.minimum.at(first, own, np.arange(len(own)))
-        ids = ((y[first] + oy) << 32) + x[first] + ox + 1
+        spot = ((y + oy) << 32) + x + ox + 1
         low, high = ([np.full(count, big) for _ in range(2)] for big in (1 << 62, -1))
         for v, lo, hi in ((y + oy, low[0], high[0]), (x + ox, low[1], high[1])):
             np.minimum.at(lo, own, v)
             np.maximum.at(hi, own, v)
-        keys = ("id", "n", "tag", "y0", "x0", "y1", "x1")
-        parts = [dict(zip(keys, r, strict=True)) for r in zip(*[a.tolist() for a in (ids, np.bincount(own, minlength=count), tile[y[first], x[first]], low[0], low[1], high[0], high[1])], strict=True)]
-        rim = (y == 0) | (x == 0) | (y == side - 1) | (x == side - 1)
-        ry, rx, rid = y[rim], x[rim], ids[own[rim]]
-        here = [{"y": b + oy, "x": a + ox, "id": i} for b, a, i in zip(ry.tolist(), rx.tolist(), rid.tolist(), strict=True)]
-        there = []
+        # Only pixels in the first row and at the sides follow one of another tile.
+        front = (y == 0) | (x == 0) | (x == side - 1)
+        rim = front | (y == side - 1)
+        asked = []
         for dy, dx in LATER:
-            ny, nx = ry + dy, rx + dx
-            out = (ny < 0) | (nx < 0) | (ny >= side) | (nx >= side)
-            there += [{"y": b + oy, "x": a + ox, "id": i} for b, a, i in zip(ny[out].tolist(), nx[out].tolist(), rid[out].tolist(), strict=True)]
-        return [(*at, parts, here, there)]
+            ny, nx = y[rim] + dy, x[rim] + dx
+            out = (ny >= side) | (nx < 0) | (nx >= side)
+            asked.append(np.stack([spot[first[own[rim][out]]], (spot[rim] + (dy << 32) + dx)[out], at[rim][out]]))
+        there = np.concatenate(asked, axis=1)
+        there = there[:, np.lexsort(there)]
+        there = there[:, np.append(True, (there[:, 1:] != there[:, :-1]).any(0))[: there.shape[1]]]
+        # All of it is in order of the tiles.
+        lists = lambda of, values: pa.ListArray.from_arrays(pa.array(np.searchsorted(of, np.arange(len(some) + 1)).astype(np.int32)), values)
+        columns = (spot[first], np.bincount(own, minlength=count), some[at[first], y[first], x[first]], low[0], low[1], high[0], high[1])
+        fields = list(arrow.field("parts").type.value_type)
+        parts = lists(at[first], pa.StructArray.from_arrays([pa.array(c.astype(f.type.to_pandas_dtype())) for c, f in zip(columns, fields, strict=True)], fields=fields))
+        rest = [lists(at[front], pa.array(spot[front])), lists(at[front], pa.array(spot[first[own[front]]])), lists(there[2], pa.array(there[1])), lists(there[2], pa.array(there[0]))]
+        made = [c.cast(f.type) for c, f in zip([*heads.columns, parts, *rest], arrow, strict=True)]
+        return pa.RecordBatch.from_arrays(made, schema=arrow).take(pa.array(np.unique(at)))
 
-    pixel = "array<struct<y: int, x: int, id: bigint>>"
-    part = "array<struct<id: bigint, n: bigint, tag: bigint, y0: int, x0: int, y1: int, x1: int>>"
-    return stored(_per_tile(tiles, of, f"ty int, tx int, parts {part}, here {pixel}, there {pixel}", side), "parts")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        most = max(1, AT_ONCE // side**2)
+        for batch in batches:
+            for k in range(0, len(batch), most):
+                own = batch.slice(k, most)
+                some = np.stack([np.frombuffer(d.as_buffer(), np.int64).reshape(side, side) for d in own.column(3)])
+                yield label(pa.RecordBatch.from_arrays(own.columns[:3], ["image", "ty", "tx"]), some)
+
+    return stored(tiles.select("image", "ty", "tx", "data").mapInArrow(run, whole), "parts")
 
 
 def _roots(local: DataFrame) -> DataFrame:
     """(image, id, root) of the tiles' components that touch one of another tile."""
-    rim = lambda c: local.select("image", F.explode(c).alias("p")).select("image", "p.*")
-    asked, met = rim("there").withColumnRenamed("id", "a").alias("t"), rim("here").withColumnRenamed("id", "b").alias("h")
-    same = F.col("t.image").eqNullSafe(F.col("h.image")) & (F.col("t.y") == F.col("h.y")) & (F.col("t.x") == F.col("h.x"))
+    rim = lambda c, name: local.select("image", F.explode(F.arrays_zip(c, f"{c}_ids")).alias("p")).select("image", F.col(f"p.{c}").alias("at"), F.col(f"p.{c}_ids").alias(name))
+    asked, met = rim("there", "a").alias("t"), rim("here", "b").alias("h")
+    same = F.col("t.image").eqNullSafe(F.col("h.image")) & (F.col("t.at") == F.col("h.at"))
     node = lambda c: F.struct(F.col("t.image").alias("image"), F.col(c).alias("id"))
-    links = asked.join(met, same).select(node("a").alias("a"), node("b").alias("b"))
+    links = asked.join(_apart(met), same).select(node("a").alias("a"), node("b").alias("b"))
     return union(links).select(F.col("node.image").alias("image"), F.col("node.id").alias("id"), F.col("root.id").alias("root"))
 
 
 def _with_roots(parts: DataFrame, roots: DataFrame) -> DataFrame:
     r = roots.select(F.col("image").alias("_image"), F.col("id").alias("_id"), "root")
-    return parts.join(r, F.col("image").eqNullSafe(F.col("_image")) & (F.col("id") == F.col("_id")), "left").withColumn("root", F.coalesce("root", "id")).drop("_image", "_id")
+    return parts.join(_apart(r), F.col("image").eqNullSafe(F.col("_image")) & (F.col("id") == F.col("_id")), "left").withColumn("root", F.coalesce("root", "id")).drop("_image", "_id")
 
 
 def component_table(tiles: DataFrame, side: int = SIDE) -> DataFrame:
@@ -208,6 +241,11 @@ def distances(tiles: DataFrame, side: int = SIDE) -> DataFrame:
     done. Rounds grow with the tiles that a shortest way crosses, not with the image. Beyond the
     image all is far; where an image has no background, distances are 0.
     """
+    return _per_tile(_settled(tiles, side), lambda at, tile: [(*at, np.where(tile >= FAR, 0, tile).tobytes())], "ty int, tx int, data binary", side)
+
+
+def _settled(tiles: DataFrame, side: int) -> DataFrame:
+    """distances(), stored, but FAR or more where no background is near: so pixels above 0 are those of ``tiles``."""
     kind = tiles.schema["image"].dataType.simpleString()
     moves = {(sy * dy, sx * dx): c for (a, b), c in STEPS.items() for dy, dx in ((a, b), (b, a)) for sy in (1, -1) for sx in (1, -1)}
 
@@ -232,33 +270,34 @@ def distances(tiles: DataFrame, side: int = SIDE) -> DataFrame:
         return slice(0, REACH) if d < 0 else slice(side + REACH, side + 2 * REACH) if d > 0 else slice(REACH, side + REACH)
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        some = max(1, AT_ONCE // side**2)
         for batch in batches:
-            keep, data, sank = [], [], []
-            for i, sent in enumerate(batch.column(3).to_pylist()):
-                wide = np.full((side + 2 * REACH,) * 2, FAR)
-                own = next((s["data"] for s in sent if not s["dy"] and not s["dx"]), None)
-                if own is None:
-                    continue
-                for s in sent:
-                    shape = tuple(REACH if s[k] else side for k in ("dy", "dx"))
-                    part = np.frombuffer(s["data"], np.int64).reshape(shape)
-                    wide[_rim(s["dy"]), _rim(s["dx"])] = np.where(part == ABSENT, FAR, part)
-                before = np.frombuffer(own, np.int64).reshape(side, side)
-                there = before != ABSENT
-                middle = wide[REACH:-REACH, REACH:-REACH]
+            ends, sent = batch.column(3).offsets.to_numpy(), batch.column(3).values
+            dy, dx = (sent.field(c).to_numpy(zero_copy_only=False) for c in ("dy", "dx"))
+            got, of = sent.field("data"), np.repeat(np.arange(len(batch)), np.diff(ends))
+            # What neighbours send to tiles that are not there is left.
+            whole = of[np.flatnonzero((dy[ends[0] : ends[-1]] == 0) & (dx[ends[0] : ends[-1]] == 0))]
+            for k in range(0, len(whole), some):
+                part = whole[k : k + some]
+                wide = np.full((len(part), side + 2 * REACH, side + 2 * REACH), FAR)
+                for i, at in enumerate(part):
+                    for j in range(ends[at], ends[at + 1]):
+                        to = wide[i, _rim(dy[j]), _rim(dx[j])]
+                        to[:] = np.frombuffer(got[j].as_buffer(), np.int64).reshape(to.shape)
+                middle = wide[:, REACH:-REACH, REACH:-REACH]
+                before, there = middle.copy(), middle != ABSENT
+                wide[wide == ABSENT] = FAR
                 while True:
                     now = middle.copy()
-                    for (dy, dx), cost in moves.items():
-                        np.minimum(now, wide[REACH + dy : REACH + dy + side, REACH + dx : REACH + dx + side] + cost, out=now)
+                    for (a, b), cost in moves.items():
+                        np.minimum(now, wide[:, REACH + a : REACH + a + side, REACH + b : REACH + b + side] + cost, out=now)
                     now = np.where(there, now, FAR)
                     if np.array_equal(now, middle):
                         break
                     middle[:] = now
-                keep.append(i)
-                data.append(np.where(there, middle, ABSENT).tobytes())
-                sank.append(bool((np.where(there, middle, ABSENT) != before).any()))
-            if keep:
-                yield pa.RecordBatch.from_arrays([*[c.take(pa.array(keep)) for c in batch.columns[:3]], pa.array(data, pa.binary()), pa.array(sank)], ["image", "ty", "tx", "data", "sank"])
+                now = np.where(there, middle, ABSENT)
+                columns = [*[c.take(pa.array(part)) for c in batch.columns[:3]], pa.array([t.tobytes() for t in now], pa.binary()), pa.array((now != before).any((1, 2)))]
+                yield pa.RecordBatch.from_arrays(columns, ["image", "ty", "tx", "data", "sank"])
 
     state = stored(_per_tile(tiles, begin, "ty int, tx int, data binary, sank boolean", side), "distances")
     while not state.where("sank").isEmpty():
@@ -266,7 +305,7 @@ def distances(tiles: DataFrame, side: int = SIDE) -> DataFrame:
         # A tile gets nine rows at most.
         met = sent.groupBy("image", "ty", "tx").agg(F.collect_list(F.struct("dy", "dx", "data")).alias("sent"))
         state = stored(met.mapInArrow(settle, f"image {kind}, ty int, tx int, data binary, sank boolean"), "distances")
-    return _per_tile(state, lambda at, tile: [(*at, np.where(tile >= FAR, 0, tile).tobytes())], "ty int, tx int, data binary", side)
+    return state
 
 
 def peaks(tiles: DataFrame, side: int = SIDE, shares: tuple[float, ...] = PEAK_SHARES) -> DataFrame:
@@ -277,56 +316,45 @@ def peaks(tiles: DataFrame, side: int = SIDE, shares: tuple[float, ...] = PEAK_S
     labelled together, as images of their own, and counted in one aggregation.
     """
     local = _local(tiles, side)
-    flat = local.select("image", "ty", "tx", F.posexplode("parts").alias("at", "p")).select("image", "ty", "tx", F.col("p.id").alias("id"))
-    rooted = _with_roots(flat, _roots(local))
-    deep = stored(distances(tiles, side), "deep")
-    lit = stored(_joined(tiles, deep, rooted, side), "lit")
+    deep = _settled(tiles, side)
+
+    def numbered(at: tuple, tile: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Where a tile's components are, which one is at each place, and their ids."""
+        count, labels = components(tile > 0)
+        own = labels[on := labels > 0] - 1
+        first = np.full(count, tile.size)
+        np.minimum.at(first, own, np.flatnonzero(on))
+        y, x = np.divmod(first, side)
+        return on, own, ((y + at[0] * side) << 32) + x + at[1] * side + 1
 
     def greatest(at: tuple, tile: np.ndarray) -> list[tuple]:
-        depth = np.frombuffer(at[2], np.int64)
-        on = tile.ravel() > 0
-        roots, own = np.unique(tile.ravel()[on], return_inverse=True)
-        top = np.zeros(len(roots), np.int64)
-        np.maximum.at(top, own, depth[on])
-        return list(zip(roots.tolist(), top.tolist(), strict=True))
-
-    tops = stored(_per_tile(lit, greatest, "root long, top long", side, "deep").groupBy("image", "root").agg(F.max("top").alias("top")), "tops")
+        on, own, ids = numbered(at, tile)
+        top = np.zeros(len(ids), np.int64)
+        np.maximum.at(top, own, tile[on])
+        return [(*at, i, t if t < FAR else 0) for i, t in zip(ids.tolist(), top.tolist(), strict=True)]
+
+    rooted = stored(_with_roots(_per_tile(deep, greatest, "ty int, tx int, id long, top long", side), _roots(local)), "rooted")
+    tops = stored(rooted.groupBy("image", "root").agg(F.max("top").alias("top")), "tops")
     # Of each tile the greatest depths of the components in it, no more than its pixels.
-    inside = rooted.select("image", "ty", "tx", "root").distinct().alias("r").join(tops.alias("t"), F.col("r.image").eqNullSafe(F.col("t.image")) & (F.col("r.root") == F.col("t.root")))
-    known = inside.groupBy(F.col("r.image").alias("_image"), F.col("ty").alias("_ty"), F.col("tx").alias("_tx")).agg(F.collect_list(F.struct(F.col("r.root").alias("root"), "top")).alias("tops"))
+    inside = rooted.select("image", "ty", "tx", "id", "root").alias("r").join(_apart(tops).alias("t"), F.col("r.image").eqNullSafe(F.col("t.image")) & (F.col("r.root") == F.col("t.root")))
+    known = inside.groupBy(F.col("r.image").alias("_image"), F.col("ty").alias("_ty"), F.col("tx").alias("_tx")).agg(F.collect_list(F.struct("id", F.col("r.root").alias("root"), F.col("t.top").alias("top"))).alias("tops"))
     spots = F.col("image").eqNullSafe(F.col("_image")) & (F.col("ty") == F.col("_ty")) & (F.col("tx") == F.col("_tx"))
 
     def above(at: tuple, tile: np.ndarray) -> list[tuple]:
-        ty, tx, deep, tops = at
-        depth = np.frombuffer(deep, np.int64).reshape(side, side)
-        roots = np.array([0, *sorted(t["root"] for t in tops)])
-        top = np.array([0, *[t["top"] for t in sorted(tops, key=lambda t: t["root"])]])
-        least = top[np.searchsorted(roots, np.maximum(tile, 0))]
-        return [(s, ty, tx, np.where((tile > 0) & (depth > share * least), tile, 0).tobytes()) for s, share in enumerate(shares)]
-
-    cuts = _per_tile(lit.join(known, spots), above, "share int, ty int, tx int, data binary", side, "deep", "tops")
+        on, own, ids = numbered(at, tile)
+        of = {t["id"]: (t["root"], t["top"]) for t in at[2]}
+        root, top = (np.array(c, np.int64)[own] for c in zip(*[of[i] for i in ids.tolist()], strict=True))
+        depth = np.where(tile[on] < FAR, tile[on], 0)
+        rows = []
+        for s, share in enumerate(shares):
+            left = np.zeros(tile.shape, np.int64)
+            left[on] = np.where(depth > share * top, root, 0)
+            if left.any():
+                rows.append((s, *at[:2], left.tobytes()))
+        return rows
+
+    cuts = _per_tile(deep.join(_apart(known), spots), above, "share int, ty int, tx int, data binary", side, "tops")
     found = component_table(cuts.select(F.struct("image", "share").alias("image"), "ty", "tx", "data"), side)
     counts = found.groupBy(F.col("image.image").alias("image"), F.col("image.share").alias("share"), F.col("tag").alias("root")).agg(F.count("*").alias("n")).groupBy("image", "root").agg(F.max("n").alias("n"))
     same = F.col("t.image").eqNullSafe(F.col("c.image")) & (F.col("t.root") == F.col("c.root"))
-    return tops.alias("t").join(counts.alias("c"), same, "left").select("t.image", F.col("t.root").alias("component"), F.greatest(F.lit(1), F.coalesce("n", F.lit(1))).alias("peaks"), F.col("top").alias("deepest"))
-
-
-def _joined(tiles: DataFrame, deep: DataFrame, rooted: DataFrame, side: int) -> DataFrame:
-    """Tiles whose pixels hold the number of their component, with column ``deep``, their distances."""
-    names = rooted.groupBy(F.col("image").alias("_image"), F.col("ty").alias("_ty"), F.col("tx").alias("_tx")).agg(F.collect_list(F.struct("id", "root")).alias("names"))
-    spots = F.col("image").eqNullSafe(F.col("_image")) & (F.col("ty") == F.col("_ty")) & (F.col("tx") == F.col("_tx"))
-    depths = deep.select(F.col("image").alias("_image"), F.col("ty").alias("_ty"), F.col("tx").alias("_tx"), F.col("data").alias("deep"))
-    both = tiles.join(names, spots).drop("_image", "_ty", "_tx").join(depths, spots).drop("_image", "_ty", "_tx")
-
-    def of(at: tuple, tile: np.ndarray) -> list[tuple]:
-        ty, tx, names, deep = at
-        count, labels = components(tile > 0)
-        y, x = np.nonzero(labels)
-        first = np.full(count, len(y))
-        np.minimum.at(first, labels[y, x] - 1, np.arange(len(y)))
-        ids = ((y[first] + ty * side) << 32) + x[first] + tx * side + 1
-        root = {n["id"]: n["root"] for n in names}
-        made = np.array([0, *[root[i] for i in ids.tolist()]])
-        return [(ty, tx, made[labels].tobytes(), deep)]
-
-    return _per_tile(both, of, "ty int, tx int, data binary, deep binary", side, "names", "deep")
+    return tops.alias("t").join(_apart(counts).alias("c"), same, "left").select("t.image", F.col("t.root").alias("component"), F.greatest(F.lit(1), F.coalesce("n", F.lit(1))).alias("peaks"), F.col("top").alias("deepest"))

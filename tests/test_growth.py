@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lodestone import adapters, queries
 from lodestone.operators import kernels as K
+from lodestone.operators import tiles
 from lodestone.operators.recognize import payload
 from lodestone.plans import calibrate, index
 
@@ -115,3 +116,14 @@ def test_photos_are_drawn_once_for_their_rows(spark):
     """What a piece takes from its photo goes along with it, instead of a join of the photos with themselves, both sides of which were computed."""
     plan = queries.build_photos(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("MapInPandas") == 1
+
+
+def test_tiles_are_not_broadcast(spark, monkeypatch):
+    """Their files are so much smaller than what they hold that Spark took them for small tables, which pass through the driver whole."""
+    plans = []
+    whole = tiles.stored
+    shown = lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or df
+    monkeypatch.setattr(tiles, "stored", lambda df, name: whole(shown(df), name))
+    shown(queries.tile_peaks(spark, "/root/testdata/sf0.001"))
+    joined = [p for p in plans if "Join" in p]
+    assert len(joined) > 5 and all("SortMergeJoin" in p and "Broadcast" not in p for p in joined)
