@@ -76,6 +76,7 @@ def build_index(images: DataFrame, factory: Callable[[], Recognizer], created_at
     named = snap(found.withColumnRenamed("text", "raw_text"), "raw_text", settings=settings)
     results = cascade(parts, named, settings).withColumn("piece_ord", F.col("piece_id"))
     unique = resolve(results)
-    pieces = parts.drop("finds").join(unique, ["photo_id", "piece_id"]).withColumn("piece_id", F.col("piece_id").cast("int"))
+    # Contours are many times the size of their files, by which Spark would broadcast them through the driver.
+    pieces = parts.drop("finds").join(unique.hint("merge"), ["photo_id", "piece_id"]).withColumn("piece_id", F.col("piece_id").cast("int"))
     photos = images.select("photo_id", "image_path", "width", "height", F.lit(created_at).alias("created_at"))
     return nested(photos, pieces)

@@ -127,3 +127,10 @@ def test_tiles_are_not_broadcast(spark, monkeypatch):
     shown(queries.tile_peaks(spark, "/root/testdata/sf0.001"))
     joined = [p for p in plans if "Join" in p]
     assert len(joined) > 5 and all("SortMergeJoin" in p and "Broadcast" not in p for p in joined)
+
+
+def test_contours_are_not_broadcast(spark):
+    """As tiles: 168 MB of pieces with their contours were, for 12,000 photos."""
+    plan = queries.build_photos(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan()
+    wide = [j for j in plan.toString().split("\n") if "Join" in j and "rightHint=(strategy=merge)" in j]
+    assert len(wide) == 1
