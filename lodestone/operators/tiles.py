@@ -2,7 +2,7 @@
 
 A tile is a row (image, ty, tx, data): ``data`` holds SIDE x SIDE whole numbers of 64 bits, row by
 row, of the pixels from (ty * side, tx * side) on. Beyond the image, and wherever a pixel has no
-row, stands ABSENT. One tile at a time is in a task's memory; what tiles know of one another goes
+row, stands ABSENT. A few tiles at a time are in a task's memory; what tiles know of one another goes
 through joins on their borders, so results do not depend on how an image is cut. ``image`` may be
 of any type that can be a key, null included: null images are one image.
 """
